@@ -9,14 +9,15 @@ from inkgrid.session import cut_lineage
 
 
 def _compressed(parent: DataFrame, scope: str) -> DataFrame:
-    """Follow ``id -> up`` until every row points at a root."""
+    """Follow ``id -> up`` until every row points at a root; every round looks four steps ahead."""
     while True:
-        above = parent.select(scope, F.col("id").alias("up"), F.col("up").alias("_next"))
-        jumped = cut_lineage(parent.join(above, [scope, "up"], "left").select(
-            scope, "id", F.coalesce("_next", "up").alias("up"), (F.coalesce("_next", "up") != F.col("up")).alias("_moved")
-        ))
-        parent = jumped.drop("_moved")
-        if jumped.where("_moved").isEmpty():
+        state = parent.select(scope, "id", "up")
+        for _ in range(2):
+            above = state.select(scope, F.col("id").alias("up"), F.col("up").alias("_next"))
+            state = state.join(above, [scope, "up"], "left").select(scope, "id", F.coalesce("_next", "up").alias("up"))
+        jumped = cut_lineage(state.join(parent.select(scope, "id", F.col("up").alias("_was")), [scope, "id"]))
+        parent = jumped.drop("_was")
+        if jumped.where("up <> _was").isEmpty():
             return parent
 
 
@@ -30,13 +31,17 @@ def connected_components(nodes: DataFrame, edges: DataFrame, scope: str = "doc_i
     label = nodes.select(scope, "id", F.col("id").alias("root")).distinct()
     one_way = edges.where("src <> dst").select(scope, "src", "dst")
     live = cut_lineage(one_way.unionByName(one_way.select(scope, F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    rounds = 0
     while not live.isEmpty():
+        rounds += 1
         hooks = live.groupBy(scope, "src").agg(F.min("dst").alias("least")).select(
             scope, F.col("src").alias("id"), F.least("src", "least").alias("up")
         )
         parent = _compressed(cut_lineage(hooks), scope)
         step = parent.select(scope, F.col("id").alias("root"), "up")
-        label = cut_lineage(label.join(step, [scope, "root"], "left").select(scope, "id", F.coalesce("up", "root").alias("root")))
+        label = label.join(step, [scope, "root"], "left").select(scope, "id", F.coalesce("up", "root").alias("root"))
+        if rounds % 3 == 0:
+            label = cut_lineage(label)
         ends = [parent.select(scope, F.col("id").alias(e), F.col("up").alias(f"{e}_up")) for e in ("src", "dst")]
         live = cut_lineage(
             live.join(ends[0], [scope, "src"]).join(ends[1], [scope, "dst"])

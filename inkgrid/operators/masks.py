@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_CELL = ["image_id", "y", "x"]
+_CELL = ["image_id", "mask_id", "y", "x"]
 
 
 def empty_masks(mask_pixels: DataFrame, masks: DataFrame) -> DataFrame:
@@ -23,11 +23,12 @@ def union_masks(mask_pixels: DataFrame, selection: DataFrame) -> DataFrame:
 
 
 def intersect_masks(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pixels in both mask sets (same image and mask id)."""
     return a.select(*_CELL).intersect(b.select(*_CELL))
 
 
 def xor_masks(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pixels of exactly one of the two masks, in one shuffle."""
+    """Pixels in exactly one of two mask sets, in one shuffle."""
     tagged = a.select(*_CELL, F.lit(1).alias("side")).unionByName(b.select(*_CELL, F.lit(2).alias("side")))
     return tagged.groupBy(*_CELL).agg(F.bit_or("side").alias("sides")).where("sides <> 3").select(*_CELL)
 

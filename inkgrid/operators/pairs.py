@@ -107,10 +107,6 @@ def _segment_boxes(segments: DataFrame, margin: Column) -> DataFrame:
     return boxed
 
 
-def _xy(prefix: str, k: int) -> tuple[Column, Column]:
-    return F.col(f"{prefix}_x{k}"), F.col(f"{prefix}_y{k}")
-
-
 def touch_pairs(
     vertices: DataFrame, bounds: DataFrame, ratio: float = 0.001, shaped: DataFrame | None = None
 ) -> DataFrame:
@@ -127,10 +123,10 @@ def touch_pairs(
         "doc_id", F.struct("node", "i", "closing").alias("seg"), "node", "tolerance", "x1", "y1", "x2", "y2",
         "min_x", "min_y", "max_x", "max_y",
     )
-    gap = geometry.segment_distance(_xy("a", 1), _xy("a", 2), _xy("b", 1), _xy("b", 2))
-    near = overlapping_boxes(boxes, "doc_id", "seg").where("a_node <> b_node").select(
+    met = overlapping_boxes(boxes, "doc_id", "seg").where("a_node <> b_node")
+    near = geometry.with_nearest(met).select(
         "doc_id", F.least("a_node", "b_node").alias("src"), F.greatest("a_node", "b_node").alias("dst"),
-        gap.alias("distance"), F.col("a_tolerance").alias("tolerance"),
+        F.col("gap").alias("distance"), F.col("a_tolerance").alias("tolerance"),
     ).where("distance <= tolerance")
     return copy_edges(shaped).withColumn("distance", F.lit(0.0)).unionByName(
         near.groupBy("doc_id", "src", "dst").agg(F.min("distance").alias("distance"))
@@ -208,19 +204,19 @@ def near_pieces(segments: DataFrame, radius: DataFrame) -> DataFrame:
     """
     margin = F.col("radius") * 0.5000001 + 1e-12
     boxes = _segment_boxes(segments.join(radius, "selection_id"), margin)
-    ends = (_xy("a", 1), _xy("a", 2), _xy("b", 1), _xy("b", 2))
+    met = overlapping_boxes(boxes, "selection_id", "seg").where("a_piece <> b_piece")
     low_first = F.col("a_piece") < F.col("b_piece")
-    near = geometry.nearest_points(*ends)
-    turned = F.struct(near["distance"].alias("distance"), near["bx"].alias("ax"), near["by"].alias("ay"), near["ax"].alias("bx"), near["ay"].alias("by"))
-    crossing = F.struct(*[F.lit(0.0).alias("distance"), *[near[c].alias(c) for c in ("ax", "ay", "bx", "by")]])
-    best = F.when(geometry.segments_intersect(*ends), crossing).otherwise(F.when(low_first, near).otherwise(turned))
-    found = overlapping_boxes(boxes, "selection_id", "seg").where("a_piece <> b_piece").select(
-        "selection_id", F.least("a_piece", "b_piece").alias("src"), F.greatest("a_piece", "b_piece").alias("dst"),
-        best.alias("best"), F.col("a_radius").alias("radius"),
-    ).where("best.distance <= radius")
-    return found.groupBy("selection_id", "src", "dst").agg(F.min("best").alias("best")).select(
-        "selection_id", "src", "dst", "best.*"
+
+    def side(low: str, high: str) -> Column:
+        return F.when(low_first, F.col(low)).otherwise(F.col(high))
+
+    best = F.struct(
+        F.round("gap", 9).alias("distance"), side("ax", "bx").alias("ax"), side("ay", "by").alias("ay"),
+        side("bx", "ax").alias("bx"), side("by", "ay").alias("by"),
     )
+    return geometry.with_nearest(met).where("gap <= a_radius").groupBy(
+        "selection_id", F.least("a_piece", "b_piece").alias("src"), F.greatest("a_piece", "b_piece").alias("dst")
+    ).agg(F.min(best).alias("best")).select("selection_id", "src", "dst", "best.*")
 
 
 def outline_key(df: DataFrame, node: str) -> DataFrame:

@@ -146,6 +146,7 @@ def cluster_colors(
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            ranks = []
             for row in batch.itertuples(index=False):
                 weight = -np.asarray(row.order, dtype=np.int64)
                 points = np.stack([row.l0, row.l1, row.l2], axis=1).astype(float)
@@ -154,8 +155,12 @@ def cluster_colors(
                     groups.fold_tiny(tiny_ratio * int(weight.sum()))
                 if max_colors is not None:
                     groups.fold_closest(max_colors)
+                ranks.append(groups.ranks())
+            if ranks:
+                sizes = [len(r) for r in ranks]
                 yield pd.DataFrame({
-                    "image_id": row.image_id, "b": row.b, "g": row.g, "r": row.r, "group_no": groups.ranks()
+                    "image_id": np.repeat(batch["image_id"].to_numpy(), sizes),
+                    **{c: np.concatenate(batch[c].to_numpy()) for c in ("b", "g", "r")}, "group_no": np.concatenate(ranks),
                 })
 
     found = per_image.mapInPandas(fold, "image_id long, b int, g int, r int, group_no int")

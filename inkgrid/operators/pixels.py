@@ -19,7 +19,7 @@ PIXEL_SCHEMA = "image_id long, y int, x int, b int, g int, r int, a int"
 _CHANNELS = ("b", "g", "r")
 
 
-def explode_pixels(images: DataFrame, rows_per_slice: int = 64) -> DataFrame:
+def explode_pixels(images: DataFrame, rows_per_slice: int = 64, keep_alpha: bool = True) -> DataFrame:
     """Image bytes to one row per pixel; one channel is repeated to three.
 
     The bytes are cut into slices of whole pixel rows first, so that one huge
@@ -42,7 +42,7 @@ def explode_pixels(images: DataFrame, rows_per_slice: int = 64) -> DataFrame:
                 block = np.frombuffer(s.data, np.uint8).reshape(-1, s.width, s.n_channels)
                 height = block.shape[0]
                 colour = np.repeat(block[:, :, :1], 3, axis=2) if s.n_channels < 3 else block[:, :, :3]
-                alpha = block[:, :, 3] if s.n_channels == 4 else np.full((height, s.width), 255, np.uint8)
+                alpha = block[:, :, 3] if s.n_channels == 4 and keep_alpha else np.full((height, s.width), 255, np.uint8)
                 yield pd.DataFrame({
                     "image_id": s.image_id,
                     "y": np.repeat(np.arange(s.y0, s.y0 + height, dtype=np.int32), s.width),

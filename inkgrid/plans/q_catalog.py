@@ -568,7 +568,7 @@ def patch_layers(spark, d):
 
 
 @query("document_graph", _CAT + """select v.id, v.document_id, v.version_number, count(l.id) as layer_count,
-  coalesce(string_agg(case when l.id is not null then concat_ws(':', l."order", l.group_id, coalesce(l.operation,'-'), c.hex) end, ';' order by l."order", l.id, l.group_id, c.hex), '') as layers
+  coalesce(string_agg(case when l.id is not null then concat_ws(':', l."order", l.group_id, coalesce(l.operation,'-'), c.hex) end, ';' order by l."order", l.id, l.group_id, l.visible nulls first, l.locked, l.operation nulls first, c.hex), '') as layers
   from cversions v left join (clayers l join ccolors c on c.id = l.color_id) on l.version_id = v.id group by 1,2,3""")
 def document_graph(spark, d):
     cat = _catalog(spark, d)

@@ -303,16 +303,14 @@ def duplicate_groups(spark, d):
     return groups.withColumn("max_point_distance", F.round("max_point_distance", 6))
 
 
-_GRAPH = """with links as (select distinct cast(floor(l_suppkey/4) as bigint) as doc_id, l_orderkey as src, l_orderkey + 1 + l_linenumber as dst
-  from lineitem where l_quantity < 4)
+_GRAPH = """with links as (select distinct l_suppkey as doc_id, l_orderkey as src, l_orderkey + 1 + l_linenumber as dst from lineitem)
 """
 
 
 @query("connected_components", _recursive(_GRAPH) + _reach("links", "g") + "select doc_id, node as id, root from roots_g")
 def connected_components(spark, d):
-    items = views.table(spark, d, "lineitem").where("l_quantity < 4")
-    links = items.select(
-        F.floor(F.col("l_suppkey") / 4).alias("doc_id"), F.col("l_orderkey").alias("src"),
+    links = views.table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("doc_id"), F.col("l_orderkey").alias("src"),
         (F.col("l_orderkey") + 1 + F.col("l_linenumber")).alias("dst"),
     ).distinct()
     nodes = links.select("doc_id", F.explode(F.array("src", "dst")).alias("id"))

@@ -256,17 +256,17 @@ def _shifted(spark, d):
 _REC = ctes("mask_pixels") + ", rec as (select image_id, mask_id, y, x+1 as x from mask_pixels where x < 7)\n"
 
 
-@query("intersect_masks", _REC + """select image_id, y, x from rec where mask_id = 2
-  intersect select image_id, y, x from mask_pixels where mask_id = 2""")
+@query("intersect_masks", _REC + """select image_id, mask_id, y, x from rec
+  intersect select image_id, mask_id, y, x from mask_pixels""")
 def intersect_masks(spark, d):
-    return masks.intersect_masks(_shifted(spark, d).where("mask_id = 2"), views.mask_pixels(spark, d).where("mask_id = 2"))
+    return masks.intersect_masks(_shifted(spark, d), views.mask_pixels(spark, d))
 
 
-@query("xor_masks", _REC + """, a as (select image_id, y, x from rec where mask_id = 2)
-, b as (select image_id, y, x from mask_pixels where mask_id = 2)
+@query("xor_masks", _REC + """, a as (select image_id, mask_id, y, x from rec)
+, b as (select image_id, mask_id, y, x from mask_pixels)
 (select * from a except select * from b) union all (select * from b except select * from a)""")
 def xor_masks(spark, d):
-    return masks.xor_masks(_shifted(spark, d).where("mask_id = 2"), views.mask_pixels(spark, d).where("mask_id = 2"))
+    return masks.xor_masks(_shifted(spark, d), views.mask_pixels(spark, d))
 
 
 _FIDELITY = _REC + """, cells as (select coalesce(r.image_id,m.image_id) as image_id, coalesce(r.mask_id,m.mask_id) as mask_id,
