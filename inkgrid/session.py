@@ -1,4 +1,4 @@
-"""Session helpers: local builder, checkpoint folder, lineage cuts."""
+"""Session helpers: local builder, shared folder, lineage cuts."""
 
 from __future__ import annotations
 
@@ -21,7 +21,6 @@ def build_session(app: str = "inkgrid", cores: str = "*", **conf: str) -> SparkS
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", os.environ.get("INKGRID_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -30,6 +29,9 @@ def build_session(app: str = "inkgrid", cores: str = "*", **conf: str) -> SparkS
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
@@ -40,12 +42,11 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return os.path.dirname(current)
     if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return tempfile.mkdtemp(prefix="inkgrid-")
+    if sc.applicationId not in _LOCAL_DIRS:
+        _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="inkgrid-")
+    return _LOCAL_DIRS[sc.applicationId]
 
 
 def run_dir(spark: SparkSession, label: str) -> str:
@@ -54,8 +55,12 @@ def run_dir(spark: SparkSession, label: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a loop state in the shared folder, so lost executors only re-read it."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Write a loop state as a table in the shared folder and read it back.
+
+    Lost executors only re-read files.  A written table also has its real size:
+    a checkpointed frame keeps the size estimate of the plan it came from, which
+    multiplies with every join of a loop until planning stands still.
+    """
+    folder = run_dir(df.sparkSession, "cut")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

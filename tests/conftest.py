@@ -10,7 +10,7 @@ from inkgrid.session import build_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", cores="4", **{"spark.sql.shuffle.partitions": "4"})
+    session = build_session("tests", cores="8", **{"spark.sql.shuffle.partitions": "2", "spark.default.parallelism": "2"})
     yield session
     session.stop()
 
