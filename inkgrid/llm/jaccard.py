@@ -295,13 +295,12 @@ def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> D
 
     Rows without words stay.  A row repeated with its id and text stays once.
     """
-    has_words = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     rows = link_components(docs, width, percent, row_key()).where("n_shingles > 0")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    winners = rows.groupBy("group").agg(F.min(order).alias("first")).select(F.col("first.key").alias("_key"))
-    worded = docs.where(has_words).withColumn("_key", row_key())
-    kept = worded.join(winners, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
-    return docs.where(~has_words).unionByName(kept)
+    winners = rows.groupBy("group").agg(F.min(order).alias("first")).select("first.key")
+    packed = docs.select(F.struct("*").alias("row"), row_key().alias("key"), F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("worded"))
+    kept = packed.where("worded").join(winners, "key", "left_semi").dropDuplicates(["key"])
+    return packed.where("not worded").select("row.*").unionByName(kept.select("row.*"))
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, key: Column | None = None) -> DataFrame:

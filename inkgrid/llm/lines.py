@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgrid.llm.common import SPACES, lower_ascii
+from inkgrid.llm.common import SPACES, lower_ascii, written
 
 
 def line_key(line: Column) -> Column:
@@ -47,7 +47,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
         .select("doc_id", "_of", "pos", _hashes(F.col("norm")).alias("key"))
     )
     # What is dropped depends on the text alone, so the positions are keyed by its hash, not by an id that may repeat.
-    drops = lines.select("_of", "pos", "key").join(shared_lines(lines, min_docs), "key").groupBy("_of").agg(F.collect_set("pos").alias("gone"))
+    # The small sides of both joins are written first: then a hot line or a hot text can be split between tasks.
+    shared = written(shared_lines(lines, min_docs), "shared-lines")
+    drops = written(lines.select("_of", "pos", "key").join(shared, "key").groupBy("_of").agg(F.collect_set("pos").alias("gone")), "line-drops")
     split = F.split("text", "\n", -1)
     gone = F.coalesce("gone", F.array().cast("array<int>"))
     kept = F.when(F.size(gone) == 0, F.col("text")).otherwise(

@@ -48,10 +48,10 @@ def source_targets(totals: DataFrame, weights: Column, cap: float = 3.0) -> Data
 
 def repeated(docs: DataFrame, seed: int = 17, cap: float = 3.0) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix takes it."""
-    numbered = written(docs.withColumn("_uid", F.monotonically_increasing_id()), "mix-rows")
-    times = mix_sources(numbered, seed, cap, uid="_uid").select(F.col("uid").alias("_uid"), (F.col("epochs") + F.col("picked").cast("long")).cast("int").alias("_times"))
-    taken = numbered.join(times.where("_times > 0"), "_uid").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return taken.select(*docs.columns)
+    numbered = written(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "mix-rows")
+    times = mix_sources(numbered.select("uid", "row.doc_id", "row.source", "row.text"), seed, cap, uid="uid")
+    times = times.select("uid", (F.col("epochs") + F.col("picked").cast("long")).cast("int").alias("times")).where("times > 0")
+    return numbered.join(times, "uid").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def mix_sources(docs: DataFrame, seed: int = 17, cap: float = 3.0, ranges: int = RANGES, uid: str | None = None) -> DataFrame:

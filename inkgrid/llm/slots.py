@@ -113,7 +113,8 @@ def shard_records(docs: DataFrame, shards: int, slots: int = SLOTS, folder: str
     The slot is hashed from ``doc_id`` and the text's checksum, so equal ids or
     null ids with different texts spread; rows equal in both share a slot.  The
     map's versions are stored in ``folder`` (by default below the shared folder).
-    Null texts have size 16 and checksum 0.  An empty table gives an empty result.
+    Null texts have size 16 and checksum 0.  A column of ``docs`` that has the name of
+    an added one is replaced.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
