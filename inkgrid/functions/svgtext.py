@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from inkgrid.functions.geometry import NUMBER
+from inkgrid.functions.text import finite_number, trimmed
 
 _COMMANDS = "MLHVCSQTAZmlhvcsqtaz"
 PATH_TAG = r"(?i)<(?:[\w.-]+:)?path(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
@@ -41,7 +42,7 @@ def is_supported_path(d: Column) -> Column:
 
 def parse_translate(transform: Column) -> Column:
     """(tx, ty) of an empty transform or a lone ``translate``; null for anything else."""
-    text = F.trim(F.coalesce(transform, F.lit("")))
+    text = trimmed(F.coalesce(transform, F.lit("")))
     pattern = rf"^translate\(\s*({NUMBER})(?:[\s,]+({NUMBER}))?\s*\)$"
 
     def part(group: int) -> Column:
@@ -54,13 +55,15 @@ def parse_translate(transform: Column) -> Column:
 
 def translate_lenient(transform: Column) -> Column:
     """Statistics take the first ``translate(`` with a separator anywhere, else no shift."""
-    text = F.coalesce(transform, F.lit(""))
-    pattern = r"translate\(\s*([-+]?\d*\.?\d+)\s*[, ]\s*([-+]?\d*\.?\d+)?\s*\)"
+    # First the arguments of a call that is written as one or two decimals after which a separator stands, then the decimals in them.
+    decimal = r"[-+]?(?:\d*\.)?\d+"
+    call = F.regexp_extract(F.coalesce(transform, F.lit("")), rf"translate\((\s*{decimal}\s*[ ,]\s*(?:{decimal}\s*)?)\)", 1)
+    found = F.transform(F.regexp_extract_all(call, F.lit(f"({decimal})")), lambda n: n.try_cast("double"))
 
-    def part(group: int) -> Column:
-        return F.coalesce(F.regexp_extract(text, pattern, group).try_cast("double"), F.lit(0.0))
+    def part(at: int) -> Column:
+        return F.coalesce(F.get(found, F.lit(at)), F.lit(0.0))
 
-    return F.struct(part(1).alias("tx"), part(2).alias("ty"))
+    return F.struct(part(0).alias("tx"), part(1).alias("ty"))
 
 
 def local_name(tag: Column) -> Column:
@@ -99,17 +102,17 @@ def root_tag(svg: Column) -> Column:
 def canvas_size(svg: Column) -> Column:
     """Rounded width and height of the root; both 0 when either is missing or no number."""
     tag = root_tag(svg)
-    w, h = (F.coalesce(attribute(tag, n), F.lit("0")).try_cast("double") for n in ("width", "height"))
+    w, h = (finite_number(F.coalesce(attribute(tag, n), F.lit("0"))) for n in ("width", "height"))
     bad = w.isNull() | h.isNull() | (tag == "")
 
     def side(v: Column) -> Column:
-        return F.when(bad, 0).otherwise(F.bround(v, 0).cast("int"))
+        return F.when(bad, 0).otherwise(F.coalesce(F.bround(v, 0).try_cast("int"), F.lit(0)))
 
     return F.struct(side(w).alias("width"), side(h).alias("height"))
 
 
 def parse_viewbox(text: Column) -> Column:
-    parts = F.split(F.trim(text), r"\s+")
+    parts = F.split(trimmed(text), r"\s+")
     names = ("min_x", "min_y", "width", "height")
     return F.struct(*[F.try_element_at(parts, F.lit(i + 1)).try_cast("double").alias(n) for i, n in enumerate(names)])
 

@@ -10,22 +10,37 @@ _DEVICES = "(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])$"
 _LONGEST_BASE = 80
 
 
+def trimmed(value: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
+
+
+def blank(value: Column) -> Column:
+    return F.coalesce(trimmed(value), F.lit("")) == ""
+
+
+def finite_number(value: Column) -> Column:
+    """A double written in digits; null for suffixes, words such as Infinity, and what overflows."""
+    number = F.when(trimmed(value).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), trimmed(value)).try_cast("double")
+    return F.when(F.abs(number) < float("inf"), number)
+
+
 def safe_base_name(name: Column) -> Column:
     """Download-safe base name: no folders, extension, control or reserved characters."""
     last = F.regexp_replace(name, r"(?s)^.*[/\\]", "")
     stem = F.regexp_replace(last, r"(?s)(?<=.)\.[^.]*$", "")
     plain = F.regexp_replace(stem, r'[\x00-\x1f\x7f-\x9f<>:"/\\|?*]', "_")
     # one leading and trailing trim of blanks, then of dots and blanks
-    trimmed = F.regexp_replace(F.regexp_replace(plain, r"(?U)^\s+|\s+$", ""), r"^[. ]+|[. ]+$", "")
+    core = F.regexp_replace(trimmed(plain), r"^[. ]+|[. ]+$", "")
     short = F.when(
-        F.length(trimmed) > _LONGEST_BASE, F.regexp_replace(F.substring(trimmed, 1, _LONGEST_BASE), r"[. _]+$", "")
-    ).otherwise(trimmed)
+        F.length(core) > _LONGEST_BASE, F.regexp_replace(F.substring(core, 1, _LONGEST_BASE), r"[. _]+$", "")
+    ).otherwise(core)
     named = F.when(short.rlike(_DEVICES), F.concat(F.lit("_"), short)).otherwise(short)
     return F.when(name.isNull() | (F.coalesce(named, F.lit("")).rlike(r"(?U)^\s*$")), "export").otherwise(named)
 
 
 def safe_file_name(name: Column, suffix: Column) -> Column:
-    part = F.coalesce(F.nullif(F.trim(suffix), F.lit("")), F.lit("export"))
+    part = F.coalesce(F.nullif(trimmed(suffix), F.lit("")), F.lit("export"))
     return F.concat(safe_base_name(name), F.lit("-"), part, F.lit(".svg"))
 
 
@@ -74,12 +89,12 @@ def format_mm(v: Column) -> Column:
 
 
 def parse_mm(text: Column) -> Column:
-    return F.nullif(F.trim(text), F.lit("")).try_cast("double")
+    return finite_number(text)
 
 
 def parse_enum(text: Column, allowed: list[str]) -> Column:
     """Trimmed, case-insensitive member of ``allowed``; null for anything else."""
-    value = F.lower(F.trim(text))
+    value = F.lower(trimmed(text))
     return F.when(value.isin(allowed), value)
 
 
@@ -96,7 +111,7 @@ EXTENSIONS = {"image/png": ".png", "image/jpeg": ".jpg", "image/webp": ".webp",
 
 def mime_extension(mime: Column) -> Column:
     table = F.create_map(*[F.lit(v) for pair in EXTENSIONS.items() for v in pair])
-    return F.try_element_at(table, F.lower(F.trim(mime)))
+    return F.try_element_at(table, F.lower(trimmed(mime)))
 
 
 def asset_key(project: Column, kind: Column, asset: Column, mime: Column) -> Column:

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkgrid.functions.text import blank, trimmed
+
 Catalog = dict[str, DataFrame]
 
 # The origins a document version may have.
@@ -61,9 +63,14 @@ def list_versions(versions: DataFrame) -> DataFrame:
 
 def clean_name(text: Column, longest: int = 200) -> tuple[Column, Column]:
     """Trimmed name and the reason it is refused (null when fine)."""
-    trimmed = F.trim(text)
-    reason = F.when(F.coalesce(trimmed, F.lit("")) == "", "invalid_name").when(F.length(trimmed) > longest, "invalid_name")
-    return trimmed, reason
+    name = trimmed(text)
+    reason = F.when(blank(text), "invalid_name").when(F.length(name) > longest, "invalid_name")
+    return name, reason
+
+
+def description_reason(description: Column, longest: int = 2000) -> Column:
+    """Why a description is refused: only for its length.  It is kept as written, blanks and all."""
+    return F.when(F.length(description) > longest, "invalid_description")
 
 
 def derived_id(*parts: Column | str) -> Column:
@@ -71,14 +78,21 @@ def derived_id(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("|", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]), 256)
 
 
-def create_projects(projects: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
-    """Valid requests (``id, owner_id, name``) become new rows, created and updated now."""
+def create_projects(projects: DataFrame, requests: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Valid requests (``id, owner_id, name``, maybe ``description``) become new rows, created and updated now.
+
+    Gives the projects with the new ones, and the refused requests as ``id, reason``.
+    """
     name, reason = clean_name(F.col("name"))
-    fresh = requests.where(reason.isNull()).select(
-        "id", "owner_id", name.alias("name"), now.alias("created_at"), now.alias("updated_at"),
+    told = ["description"] if "description" in requests.columns else []
+    if told:
+        reason = F.coalesce(reason, description_reason(F.col("description")))
+    checked = requests.withColumn("_reason", reason)
+    fresh = checked.where("_reason is null").select(
+        "id", "owner_id", name.alias("name"), *told, now.alias("created_at"), now.alias("updated_at"),
         F.lit(None).cast("timestamp").alias("deleted_at"),
     )
-    return projects.unionByName(fresh, allowMissingColumns=True)
+    return projects.unionByName(fresh, allowMissingColumns=True), checked.where("_reason is not null").select("id", F.col("_reason").alias("reason"))
 
 
 def update_projects(projects: DataFrame, patches: DataFrame, fields: list[str], now: Column) -> DataFrame:
@@ -262,8 +276,22 @@ def patch_layers(catalog: Catalog, patches: DataFrame) -> DataFrame:
     return catalog["layers"].join(p, ["version_id", "group_id"], "left").select(*columns)
 
 
+# The references of the catalogue.
+REFERENCES = [
+    ("projects", "owner_id", "users", "project_owner"), ("projects", "thumbnail_asset_id", "assets", "project_thumbnail"),
+    ("projects", "current_version_id", "versions", "project_version"), ("assets", "project_id", "projects", "asset_project"),
+    ("documents", "project_id", "projects", "document_project"), ("versions", "document_id", "documents", "version_document"),
+    ("versions", "svg_asset_id", "assets", "version_asset"), ("layers", "version_id", "versions", "layer_version"),
+    ("layers", "color_id", "colors", "layer_color"), ("layers", "svg_asset_id", "assets", "layer_asset"),
+    ("colors", "version_id", "versions", "color_version"),
+]
+
+
 def integrity_check(catalog: Catalog) -> DataFrame:
-    """Broken rules as ``rule, key, n``: double keys, dangling references, unknown origins."""
+    """Broken rules as ``rule, key, n``: double keys, dangling references, unknown origins.
+
+    References are checked where the catalogue holds both tables and the column.
+    """
     def doubles(df: DataFrame, keys: list[str], rule: str) -> DataFrame:
         return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(
             F.lit(rule).alias("rule"), F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("key"), "n"
@@ -281,11 +309,10 @@ def integrity_check(catalog: Catalog) -> DataFrame:
     parts = [
         doubles(catalog["layers"], ["version_id", "group_id"], "layer_key"),
         doubles(catalog["versions"], ["document_id", "version_number"], "version_key"),
-        dangling(catalog["versions"], "document_id", catalog["documents"], "version_document"),
-        dangling(catalog["documents"], "project_id", catalog["projects"], "document_project"),
-        dangling(catalog["layers"], "version_id", catalog["versions"], "layer_version"),
-        dangling(catalog["layers"], "color_id", catalog["colors"], "layer_color"),
-        dangling(catalog["colors"], "version_id", catalog["versions"], "color_version"),
+        *[
+            dangling(catalog[table], column, catalog[target], rule) for table, column, target, rule in REFERENCES
+            if table in catalog and target in catalog and column in catalog[table].columns
+        ],
         unknown,
     ]
     out = parts[0]

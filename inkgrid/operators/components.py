@@ -6,25 +6,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrid.operators.graph import connected_components
-from inkgrid.operators.outlines import document_bounds, open_paths, subpaths, with_node, within_guard
+from inkgrid.operators.outlines import open_paths, subpaths, with_node
 from inkgrid.operators.pairs import NODE, duplicate_pairs, nesting, outline_key, point_distances, shapes, touch_pairs
 from inkgrid.session import cut_lineage
 
 EXACT = 1e-9
+_BOX = ["min_x", "min_y", "max_x", "max_y"]
 
 
-def component_members(
-    vertices: DataFrame, touch_ratio: float = 0.001, bounds: DataFrame | None = None
-) -> DataFrame:
+def component_members(vertices: DataFrame, bounds: DataFrame, touch_ratio: float = 0.001) -> DataFrame:
     """Every outline with its piece: ``component_no``, role, depth and area.
 
     Holes join the outline directly around them; outlines that touch belong
-    together.  Pieces are numbered by their first outline.  A document holds at
-    most 20 000 outlines here, others are kept out by the guard.
+    together.  Pieces are numbered by their first outline.  ``bounds`` spans the
+    whole drawing (``drawing_bounds``).
     """
-    vertices = cut_lineage(within_guard(vertices))
-    bounds = document_bounds(vertices) if bounds is None else bounds
-    shaped = cut_lineage(shapes(vertices))
+    vertices = cut_lineage(vertices)
+    shaped = cut_lineage(shapes(vertices, either_way=False))
     nested = cut_lineage(nesting(vertices, shaped))
     to_parent = nested.where("depth % 2 = 1 and parent is not null").select("doc_id", F.col("node").alias("src"), F.col("parent").alias("dst"))
     touching = touch_pairs(vertices, bounds, touch_ratio, shaped).select("doc_id", "src", "dst")
@@ -58,36 +56,45 @@ def component_summary(pieces: DataFrame) -> DataFrame:
 
 
 def duplicate_groups(vertices: DataFrame, bounds: DataFrame, ratio: float = 0.002) -> tuple[DataFrame, DataFrame]:
-    """Groups of duplicates (``id``, members, largest distance, exact) and their member rows."""
-    edges = cut_lineage(duplicate_pairs(vertices, bounds, ratio))
+    """Groups of duplicates (``id``, members, largest distance, exact, bounds) and their member rows."""
+    shaped = cut_lineage(shapes(vertices))
+    edges = cut_lineage(duplicate_pairs(vertices, bounds, ratio, shaped))
     ends = edges.select("doc_id", F.explode(F.array("src", "dst")).alias("id")).distinct()
     roots = connected_components(ends, edges)
     order = Window.partitionBy("doc_id").orderBy("root")
-    members = roots.withColumn("group_no", F.dense_rank().over(order)).withColumnRenamed("id", "node")
-    shaped = shapes(vertices).where("node = shape").select(*NODE, "n")
+    members = cut_lineage(roots.withColumn("group_no", F.dense_rank().over(order)).withColumnRenamed("id", "node"))
     # copies are at distance 0, so only the distinct shapes of a group are compared
-    distinct = members.join(shaped, NODE)
+    distinct = members.join(shaped.where("node = shape").select(*NODE, "n"), NODE)
     a = distinct.select("doc_id", "group_no", F.col("node").alias("src"), "n")
     b = distinct.select("doc_id", "group_no", F.col("node").alias("dst"))
     pairs = a.join(b, ["doc_id", "group_no"]).where("src < dst").select("doc_id", "group_no", "src", "dst", "n")
     widest = pairs.join(point_distances(pairs.drop("group_no"), vertices), ["doc_id", "src", "dst"]).groupBy("doc_id", "group_no").agg(
         F.max("distance").alias("widest")
     )
-    sizes = members.groupBy("doc_id", "group_no").agg(F.count("*").alias("members"))
+    box = with_node(subpaths(vertices)).select(*NODE, *_BOX)
+    sizes = members.join(box, NODE).groupBy("doc_id", "group_no").agg(
+        F.count("*").alias("members"), *[F.min(c).alias(c) for c in _BOX[:2]], *[F.max(c).alias(c) for c in _BOX[2:]]
+    )
     worst = F.coalesce("widest", F.lit(0.0))
     groups = sizes.join(widest, ["doc_id", "group_no"], "left").select(
         "doc_id", "group_no", F.concat(F.lit("dup-"), F.col("group_no").cast("string")).alias("id"), "members",
         worst.alias("max_point_distance"), (worst <= EXACT).alias("exact"),
-        F.when(worst <= EXACT, "error").otherwise("warning").alias("severity"),
+        F.when(worst <= EXACT, "error").otherwise("warning").alias("severity"), *_BOX,
     )
     return groups, outline_key(members, "node").select("doc_id", "group_no", "path_index", "subpath_index")
 
 
 def all_issues(open_rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """One issue table: open outlines first, then duplicate groups, numbered per document."""
-    first = open_rows.select("doc_id", "id", "type", "severity", "path_index", "subpath_index", "gap_distance", F.lit(0).alias("_part"))
+    """One issue table: open outlines first, then duplicate groups, numbered per document.
+
+    Open outlines carry their end points, duplicates their distance and number of
+    members, both their bounds; which outlines belong to a group is a table of its own.
+    """
+    first = open_rows.select(
+        "doc_id", "id", "type", "severity", "path_index", "subpath_index", "first_point", "last_point", "gap_distance", *_BOX, F.lit(0).alias("_part")
+    )
     second = groups.select(
-        "doc_id", "id", F.lit("duplicate_path").alias("type"), "severity", "exact", "max_point_distance", "members",
+        "doc_id", "id", F.lit("duplicate_path").alias("type"), "severity", "exact", "max_point_distance", "members", *_BOX,
         "group_no", F.lit(1).alias("_part"),
     )
     both = first.unionByName(second, allowMissingColumns=True)
@@ -95,11 +102,14 @@ def all_issues(open_rows: DataFrame, groups: DataFrame) -> DataFrame:
     return both.withColumn("ordinal", F.row_number().over(order)).drop("_part", "group_no")
 
 
-def check(vertices: DataFrame, gap_ratio: float = 0.005, duplicate_ratio: float = 0.002) -> DataFrame:
-    """Open and duplicate outlines of every document within the outline limit."""
-    vertices = within_guard(vertices)
-    groups, _ = duplicate_groups(vertices, document_bounds(vertices), duplicate_ratio)
-    return all_issues(open_paths(vertices, gap_ratio), groups)
+def check(vertices: DataFrame, bounds: DataFrame, gap_ratio: float = 0.005, duplicate_ratio: float = 0.002) -> tuple[DataFrame, DataFrame]:
+    """The issues of every document, and the outlines of each duplicate group (``doc_id, id, path_index, subpath_index``).
+
+    Tolerances are shares of the drawing's diagonal: ``bounds`` covers all paths (``drawing_bounds``).
+    """
+    groups, members = duplicate_groups(vertices, bounds, duplicate_ratio)
+    named = members.select("doc_id", F.concat(F.lit("dup-"), F.col("group_no").cast("string")).alias("id"), "path_index", "subpath_index")
+    return all_issues(open_paths(vertices, bounds, gap_ratio), groups), named
 
 
 def check_summary(issues: DataFrame, skipped: DataFrame) -> DataFrame:

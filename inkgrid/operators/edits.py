@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkgrid.functions import text
 from inkgrid.operators.history import running_total
 
 
@@ -166,14 +167,14 @@ def apply_group_edits(edits: DataFrame, components: DataFrame, order: list[str],
     )
     day = F.date_trunc(bucket, F.col(f"_at.{order[0]}"))
     live = running_total(ticks, ["vector_id"], day, ["_at"], "_d", "_live").where("_d = 1").select("vector_id", F.col("_at").alias("_start"), "_live")
-    renames = edits.where((F.col("action") == "rename") & (F.coalesce(F.trim("name"), F.lit("")) != "")).select(
-        "vector_id", "group_id", stamp.alias("_at"), F.trim("name").alias("_new")
+    renames = edits.where((F.col("action") == "rename") & ~text.blank(F.col("name"))).select(
+        "vector_id", "group_id", stamp.alias("_at"), text.trimmed(F.col("name")).alias("_new")
     )
     last = renames.join(life.select("vector_id", "group_id", "_start", "_end"), ["vector_id", "group_id"]).where(
         "_at > _start and (_end is null or _at < _end)"
     ).groupBy("vector_id", "group_id").agg(F.max(F.struct("_at", "_new"))["_new"].alias("_renamed"))
     default = F.concat(F.lit("Grupo "), F.col("_live").cast("string"))
-    given = F.nullif(F.trim("name"), F.lit(""))
+    given = F.nullif(text.trimmed(F.col("name")), F.lit(""))
     return life.where("_end is null").join(live, ["vector_id", "_start"]).join(last, ["vector_id", "group_id"], "left").select(
         "vector_id", "group_id", F.coalesce("_renamed", given, default).alias("name"), "component_ids", "analysis_id"
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkgrid.functions import text
+
 
 def latest_version(history: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
     """Last row per key as one aggregate with map-side combine, so a hot key costs no sort."""
@@ -88,7 +90,7 @@ def lineage(stages: dict[str, DataFrame]) -> DataFrame:
 
 def idempotent_ingest(uploads: DataFrame, key: str, order: list[str]) -> DataFrame:
     """First upload per idempotency key; blank keys are never taken for repeats."""
-    blank = F.coalesce(F.trim(key), F.lit("")) == ""
+    blank = text.blank(key)
     rest = [c for c in uploads.columns if c not in (key, *order)]
     first = uploads.where(~blank).groupBy(key).agg(F.min(F.struct(*order, *rest)).alias("first"))
     return first.select(key, "first.*").select(uploads.columns).unionByName(uploads.where(blank))

@@ -48,6 +48,12 @@ def document_bounds(vertices: DataFrame) -> DataFrame:
     return box.select("doc_id", F.hypot(w, h).alias("diagonal"), (w * h).alias("box_area"))
 
 
+def drawing_bounds(stats: DataFrame) -> DataFrame:
+    """The same from document statistics (``svg_stats``), which cover curves and paths that are not analysed."""
+    w, h = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")
+    return stats.select("doc_id", F.hypot(w, h).alias("diagonal"), (w * h).alias("box_area"))
+
+
 def edges(vertices: DataFrame) -> DataFrame:
     """Consecutive vertices as ``i, x1, y1, x2, y2, closing``; the closing edge is always given.
 
@@ -82,9 +88,13 @@ def polygon_area(vertices: DataFrame) -> DataFrame:
     return vertices.select(*KEY).distinct().join(summed, KEY, "left").na.fill(0.0, ["area"])
 
 
-def open_paths(vertices: DataFrame, ratio: float = 0.005) -> DataFrame:
-    """Open outlines whose ends almost meet: at least three points, gap within the tolerance."""
-    diagonal = document_bounds(vertices).select("doc_id", "diagonal")
+def open_paths(vertices: DataFrame, bounds: DataFrame, ratio: float = 0.005) -> DataFrame:
+    """Open outlines whose ends almost meet: at least three points, gap within the tolerance.
+
+    ``bounds`` (``doc_id, diagonal``) spans the whole drawing, curves and skipped paths
+    included: ``drawing_bounds``, or ``document_bounds`` where vertices are all there is.
+    """
+    diagonal = bounds.select("doc_id", "diagonal")
     gap = F.hypot(F.col("first_point.x") - F.col("last_point.x"), F.col("first_point.y") - F.col("last_point.y"))
     return (
         subpaths(vertices).where("not closed and n_points >= 3").join(diagonal, "doc_id")
@@ -98,15 +108,11 @@ def open_paths(vertices: DataFrame, ratio: float = 0.005) -> DataFrame:
 
 
 def subpath_guard(vertices: DataFrame, limit: int = MAX_SUBPATHS) -> DataFrame:
-    """Documents with more analysable subpaths than the limit, with the reason."""
+    """Documents with more analysable subpaths than the limit, with the reason: a filter for callers who want one; no operator applies it."""
     counts = vertices.where("i = 0").groupBy("doc_id").agg(F.count("*").alias("n_subpaths"))
     return counts.where(F.col("n_subpaths") > limit).select("doc_id", "n_subpaths", F.lit("too_many_subpaths").alias("reason"))
 
 
-def within_guard(vertices: DataFrame, limit: int = MAX_SUBPATHS) -> DataFrame:
-    return vertices.join(subpath_guard(vertices, limit).select("doc_id"), "doc_id", "left_anti")
-
-
 # ------------------------------------------------------------- point location
 
 def inward_points(vertices: DataFrame) -> DataFrame:

@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 from inkgrid.functions import geometry
 from inkgrid.operators.grid import overlapping_boxes, points_in_boxes
 from inkgrid.operators.outlines import drawn_edges, edges, inward_points, polygon_area, with_node
-from inkgrid.operators.svg import KEY
 from inkgrid.session import cut_lineage
 
 NODE = ["doc_id", "node"]
 
 
-def shapes(vertices: DataFrame) -> DataFrame:
-    """``doc_id, node, shape``: shape is the first outline with the same points, in either direction.
+def shapes(vertices: DataFrame, either_way: bool = True) -> DataFrame:
+    """``doc_id, node, shape``: shape is the first outline with the same points, in either direction or only in the same one.
+
+    An outline drawn backwards has another first edge, and so an inward point of its
+    own: containment needs ``either_way=False``.
 
     Two 64-bit sums over the points, once per direction, identify a sequence;
     they are partial aggregates, so no outline is gathered anywhere.
@@ -36,7 +38,7 @@ def shapes(vertices: DataFrame) -> DataFrame:
     marks = rows.groupBy(*NODE).agg(
         F.first("closed").alias("closed"), F.first("n").alias("n"),
         F.struct(mark(F.col("i"), 1), mark(F.col("i"), 2)).alias("fore"), F.struct(mark(back, 1), mark(back, 2)).alias("aft"),
-    ).select(*NODE, "closed", "n", F.least("fore", "aft").alias("mark"))
+    ).select(*NODE, "closed", "n", (F.least("fore", "aft") if either_way else F.col("fore")).alias("mark"))
     same = ["doc_id", "closed", "n", "mark"]
     first = marks.groupBy(*same).agg(F.min("node").alias("shape"), F.count("*").alias("copies"))
     return marks.join(first, same).select(*NODE, "shape", "copies", "closed", "n")
@@ -70,9 +72,12 @@ def point_distances(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
     return per_way.groupBy("doc_id", "src", "dst").agg(F.min("distance").alias("distance"))
 
 
-def duplicate_pairs(vertices: DataFrame, bounds: DataFrame, ratio: float = 0.002) -> DataFrame:
-    """Edges between duplicates: every copy with its first, and near copies among distinct shapes."""
-    shaped = shapes(vertices)
+def duplicate_pairs(vertices: DataFrame, bounds: DataFrame, ratio: float = 0.002, shaped: DataFrame | None = None) -> DataFrame:
+    """Edges between duplicates: every copy with its first, and near copies among distinct shapes.
+
+    Copies come as a star around their first outline instead of all pairs; the groups are the same.
+    """
+    shaped = shapes(vertices) if shaped is None else shaped
     tolerance = _tolerance(bounds, ratio)
     corners = with_node(vertices).groupBy(*NODE).agg(
         *[F.min(c).alias(f"min_{c}") for c in "xy"], *[F.max(c).alias(f"max_{c}") for c in "xy"]
@@ -137,9 +142,10 @@ def containment_pairs(vertices: DataFrame, shaped: DataFrame | None = None) -> D
     """``inner, outer``: the inward point of shape ``inner`` lies inside polygon ``outer``.
 
     A shape holds its own point too; that row stands for the copies it has.
+    ``shaped`` folds copies of the same direction only (``shapes(..., either_way=False)``).
     Big polygons are cut into y bands, so a point meets about sqrt(n) edges.
     """
-    shaped = shapes(vertices) if shaped is None else shaped
+    shaped = shapes(vertices, either_way=False) if shaped is None else shaped
     firsts = cut_lineage(shape_members(vertices, shaped))
     points = inward_points(firsts).withColumnRenamed("node", "inner")
     ring = with_node(edges(firsts))
@@ -171,7 +177,7 @@ def nesting(vertices: DataFrame, shaped: DataFrame | None = None) -> DataFrame:
     Depth counts the other outlines around the inward point, copies included;
     the parent is the smallest of them with an area, the first one on ties.
     """
-    shaped = cut_lineage(shapes(vertices)) if shaped is None else shaped
+    shaped = cut_lineage(shapes(vertices, either_way=False)) if shaped is None else shaped
     pairs = containment_pairs(vertices, shaped)
     area = with_node(polygon_area(vertices)).select(*NODE, "area")
     shape_area = area.withColumnRenamed("node", "outer").withColumnRenamed("area", "outer_area")
@@ -224,9 +230,3 @@ def outline_key(df: DataFrame, node: str) -> DataFrame:
     return df.withColumns({
         "path_index": F.shiftright(node, 32).cast("int"), "subpath_index": F.col(node).bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     })
-
-
-__all__ = [
-    "KEY", "NODE", "containment_pairs", "copy_edges", "duplicate_pairs", "near_pieces", "nesting", "outline_key",
-    "point_distances", "shape_members", "shapes", "touch_pairs",
-]

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrid.functions.colour import bgr_to_lab, encode_hex, parse_hex, posterize_value
+from inkgrid.functions.text import trimmed
 
 COLOUR_BUDGET = 512
 _LAST_STEP = 128
@@ -69,60 +70,79 @@ def unique_colors(px: DataFrame, budget: int = COLOUR_BUDGET) -> DataFrame:
     ).agg(F.sum("pixel_count").alias("pixel_count"), F.bool_or("has_partial_alpha").alias("has_partial_alpha"))
 
 
-class _Clusters:
-    """Mutable clusters of one image: Lab centroid and pixel weight each."""
-
-    def __init__(self, lab: np.ndarray, weight: np.ndarray, tolerance: float) -> None:
-        self.centre = np.empty((len(lab), 3))
-        self.weight = np.zeros(len(lab), dtype=np.int64)
-        self.member = np.empty(len(lab), dtype=np.int64)
-        used = 0
-        for i, (point, n) in enumerate(zip(lab, weight)):
-            target = used
-            if used:
-                gap = np.linalg.norm(self.centre[:used] - point, axis=1)
-                near = int(gap.argmin())
-                if gap[near] <= tolerance:
-                    target = near
-            if target == used:
-                self.centre[used], self.weight[used] = point, n
-                used += 1
-            else:
-                self._absorb(target, point, n)
-            self.member[i] = target
-        self.live = np.arange(used)
-
-    def _absorb(self, into: int, point: np.ndarray, n: int) -> None:
-        total = self.weight[into] + n
-        self.centre[into] = (self.centre[into] * self.weight[into] + point * n) / total
-        self.weight[into] = total
-
-    def _fold(self, into: int, gone: int) -> None:
-        self._absorb(into, self.centre[gone].copy(), self.weight[gone])
-        self.member[self.member == gone] = into
-        self.live = self.live[self.live != gone]
-
-    def fold_tiny(self, least: float) -> None:
-        while len(self.live) > 1:
-            gone = self.live[self.weight[self.live].argmin()]
-            if self.weight[gone] >= least:
-                return
-            rest = self.live[self.live != gone]
-            self._fold(rest[np.linalg.norm(self.centre[rest] - self.centre[gone], axis=1).argmin()], gone)
-
-    def fold_closest(self, limit: int) -> None:
-        while len(self.live) > limit:
-            c = self.centre[self.live]
-            gap = np.linalg.norm(c[:, None] - c[None], axis=2)
-            np.fill_diagonal(gap, np.inf)
-            one, two = divmod(int(gap.argmin()), len(c))
-            self._fold(self.live[min(one, two)], self.live[max(one, two)])
-
-    def ranks(self) -> np.ndarray:
-        by_size = self.live[np.lexsort((self.live, -self.weight[self.live]))]
-        rank = np.full(len(self.member), -1)
-        rank[by_size] = np.arange(len(by_size))
-        return rank[self.member]
+class _Groups:
+    """Groups of the colours of one image as weighted sums in Lab; ``of`` says where each colour is."""
+
+    def __init__(self, points: np.ndarray, weights: np.ndarray, reach: float) -> None:
+        """Heaviest colours first: a colour goes to the nearest group in reach, or opens one."""
+        self.sums, self.mass = np.zeros_like(points), np.zeros(len(points))
+        self.of = np.zeros(len(points), dtype=np.int64)
+        opened = 0
+        for k, (point, weight) in enumerate(zip(points, weights)):
+            away = np.sqrt((((self.sums[:opened] / self.mass[:opened, None]) - point) ** 2).sum(axis=1))
+            best = int(away.argmin()) if opened else -1
+            if best < 0 or away[best] > reach:
+                best, opened = opened, opened + 1
+            self.sums[best] += point * weight
+            self.mass[best] += weight
+            self.of[k] = best
+        self.alive = np.arange(len(points)) < opened
+
+    def _away(self, i: int) -> np.ndarray:
+        """Distances of group i to all groups; infinite to itself and to groups that are gone."""
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gap = np.sqrt(((self.sums / self.mass[:, None] - self.sums[i] / self.mass[i]) ** 2).sum(axis=1))
+        gap[~self.alive] = np.inf
+        gap[i] = np.inf
+        return gap
+
+    def _merge(self, keep: int, drop: int) -> None:
+        self.sums[keep] += self.sums[drop]
+        self.mass[keep] += self.mass[drop]
+        self.alive[drop] = False
+        self.of[self.of == drop] = keep
+
+    def absorb_small(self, least: float) -> None:
+        """The lightest group goes to its nearest one, as long as it is lighter than ``least``."""
+        while self.alive.sum() > 1:
+            lightest = int(np.where(self.alive, self.mass, np.inf).argmin())
+            if self.mass[lightest] >= least:
+                break
+            self._merge(int(self._away(lightest).argmin()), lightest)
+
+    def shrink_to(self, count: int) -> None:
+        """Merges the closest two until ``count`` are left.  Every group remembers its nearest one, so a merge looks again only from the groups it concerns."""
+        left = int(self.alive.sum())
+        if left <= count:
+            return
+        near, gap = np.zeros(len(self.alive), dtype=np.int64), np.full(len(self.alive), np.inf)
+
+        def look(i: int) -> None:
+            away = self._away(i)
+            near[i] = away.argmin()
+            gap[i] = away[near[i]]
+
+        for i in np.flatnonzero(self.alive):
+            look(i)
+        while left > count and left > 1:
+            i = int(gap.argmin())
+            keep, drop = sorted((i, int(near[i])))
+            self._merge(keep, drop)
+            left -= 1
+            gap[drop] = np.inf
+            fresh = self._away(keep)
+            for k in np.flatnonzero(self.alive):
+                if k == keep or near[k] in (keep, drop):
+                    look(k)
+                elif fresh[k] < gap[k] or (fresh[k] == gap[k] and keep < near[k]):
+                    near[k], gap[k] = keep, fresh[k]
+
+    def numbers(self) -> np.ndarray:
+        """Number of each colour's group, 0 for the heaviest; the earlier group first on ties."""
+        order = sorted(np.flatnonzero(self.alive), key=lambda k: (-self.mass[k], k))
+        number = np.zeros(len(self.alive), dtype=np.int64)
+        number[order] = np.arange(len(order))
+        return number[self.of]
 
 
 def cluster_colors(
@@ -150,12 +170,12 @@ def cluster_colors(
             for row in batch.itertuples(index=False):
                 weight = -np.asarray(row.order, dtype=np.int64)
                 points = np.stack([row.l0, row.l1, row.l2], axis=1).astype(float)
-                groups = _Clusters(points, weight, tolerance)
+                groups = _Groups(points, weight, tolerance)
                 if tiny_ratio > 0:
-                    groups.fold_tiny(tiny_ratio * int(weight.sum()))
+                    groups.absorb_small(tiny_ratio * int(weight.sum()))
                 if max_colors is not None:
-                    groups.fold_closest(max_colors)
-                ranks.append(groups.ranks())
+                    groups.shrink_to(max_colors)
+                ranks.append(groups.numbers())
             if ranks:
                 sizes = [len(r) for r in ranks]
                 yield pd.DataFrame({
@@ -272,7 +292,7 @@ def merge_groups(groups: DataFrame, selection: DataFrame) -> DataFrame:
         return F.when(weight > 0, value).otherwise(0)
 
     part = F.array_sort(F.collect_list(F.struct("position", "name", "raw_group_ids")))
-    chosen = F.max(F.nullif(F.trim("new_name"), F.lit(""))) if "new_name" in rows.columns else F.lit(None).cast("string")
+    chosen = F.max(F.nullif(trimmed(F.col("new_name")), F.lit(""))) if "new_name" in rows.columns else F.lit(None).cast("string")
     merged = rows.groupBy("image_id", "new_id").agg(
         weight.alias("pixel_count"), F.sum("area_percent").alias("area_percent"),
         F.bool_or("has_partial_alpha").alias("has_partial_alpha"), F.bool_and("is_excluded").alias("is_excluded"),

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrid.functions.geometry import with_crossing
@@ -98,40 +95,9 @@ def linking_distances(segments: DataFrame) -> DataFrame:
             return found
 
 
-def spanning_tree(distances: DataFrame, limit: int = 100_000) -> DataFrame:
-    """Minimum spanning tree per selection.
-
-    Selections with at most ``limit`` distances are solved one per row; larger
-    ones by rounds in which every part takes its shortest way out.
-    """
-    pairs = cut_lineage(distances)
-    sizes = pairs.groupBy("selection_id").agg(F.count("*").alias("n"))
-    small = pairs.join(sizes.where(F.col("n") <= limit).select("selection_id"), "selection_id", "left_semi")
-    large = pairs.join(sizes.where(F.col("n") > limit).select("selection_id"), "selection_id", "left_semi")
-    listed = small.groupBy("selection_id").agg(F.array_sort(F.collect_list(F.struct("distance", "src", "dst"))).alias("e")).select(
-        "selection_id", F.col("e.src").alias("src"), F.col("e.dst").alias("dst")
-    )
-
-    def shortest_first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False):
-                part: dict[int, set[int]] = {}
-                for a, b in zip(row.src, row.dst):
-                    pa, pb = part.setdefault(a, {a}), part.setdefault(b, {b})
-                    if pa is not pb:
-                        rows.append((row.selection_id, a, b))
-                        pa, pb = (pa, pb) if len(pa) >= len(pb) else (pb, pa)
-                        pa |= pb
-                        part.update(dict.fromkeys(pb, pa))
-            yield pd.DataFrame(rows, columns=["selection_id", "src", "dst"])
-
-    chosen = listed.mapInPandas(shortest_first, "selection_id long, src long, dst long")
-    tree = pairs.join(chosen, ["selection_id", "src", "dst"])
-    return tree if large.isEmpty() else tree.unionByName(_tree_by_rounds(large))
-
-
-def _tree_by_rounds(distances: DataFrame) -> DataFrame:
+def spanning_tree(distances: DataFrame) -> DataFrame:
+    """Minimum spanning tree per selection, by rounds in which every part takes its shortest way out."""
+    distances = cut_lineage(distances)
     order = F.struct("distance", "src", "dst")
     label = distances.select("selection_id", F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("part", F.col("id"))
     tree = distances.limit(0)
@@ -157,18 +123,19 @@ def bridge_plan(tree: DataFrame, sizes: DataFrame, width_ratio: float = 0.02, to
         "distance > tolerance"
     )
     width = F.greatest(F.col("diagonal") * width_ratio, F.col("tolerance") * 4, F.lit(1e-6))
-    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
-    length = F.hypot(dx, dy)
-    t = t.withColumns({"width": width, "length": length}).where("length > 1e-9").withColumns({
-        "ux": dx / F.col("length"), "uy": dy / F.col("length"), "extend": F.greatest(F.col("width"), F.col("length") * 0.05, F.lit(1e-6)),
-    })
-    half = F.col("width") / 2.0
-    sx, sy = F.col("ax") - F.col("ux") * F.col("extend"), F.col("ay") - F.col("uy") * F.col("extend")
-    ex, ey = F.col("bx") + F.col("ux") * F.col("extend"), F.col("by") + F.col("uy") * F.col("extend")
-    nx, ny = -F.col("uy") * half, F.col("ux") * half
-    corners = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in (
-        (sx + nx, sy + ny), (ex + nx, ey + ny), (ex - nx, ey - ny), (sx - nx, sy - ny)
-    )])
+    along = {c: F.col(f"b{c}") - F.col(f"a{c}") for c in "xy"}
+    t = t.withColumns({"width": width, "length": F.hypot(along["x"], along["y"])}).where("length > 1e-9").withColumns(
+        {f"u{c}": v / F.col("length") for c, v in along.items()}
+    )
+    # The centre line of the bridge reaches a little into both pieces; corners are the centre plus or minus half of it and of the width.
+    reach = F.col("length") / 2.0 + F.greatest(F.col("width"), F.col("length") * 0.05, F.lit(1e-6))
+
+    def corner(end: float, side: float) -> Column:
+        x = (F.col("ax") + F.col("bx")) / 2.0 + reach * F.col("ux") * end - F.col("width") / 2.0 * F.col("uy") * side
+        y = (F.col("ay") + F.col("by")) / 2.0 + reach * F.col("uy") * end + F.col("width") / 2.0 * F.col("ux") * side
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    corners = F.array(*[corner(end, side) for end, side in ((-1.0, 1.0), (1.0, 1.0), (1.0, -1.0), (-1.0, -1.0))])
     return t.select("selection_id", "src", "dst", "distance", "width", corners.alias("corners"))
 
 

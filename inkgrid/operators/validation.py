@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgrid.functions.text import EXTENSIONS
+from inkgrid.functions.text import EXTENSIONS, trimmed
+from inkgrid.functions.text import blank as is_blank
 
 MAX_UPLOAD_BYTES = 15 * 1024 * 1024
 
@@ -29,7 +30,7 @@ def signature_matches(content: Column, mime: Column) -> Column:
 
 def validate_uploads(files: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
     """``name, mime, content`` (and ``decodable`` when a decode result was joined) with ``reason``."""
-    mime, ending = F.lower(F.trim("mime")), extension(F.col("name"))
+    mime, ending = F.lower(trimmed(F.col("mime"))), extension(F.col("name"))
     known = F.lit(False)
     for kind, endings in _ENDINGS.items():
         known = known | ((mime == kind) & ending.isin(endings))
@@ -44,8 +45,8 @@ def validate_uploads(files: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES) -> Dat
 
 def validate_assets(assets: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
     """``type, mime, size`` with ``reason``: type name, empty, too large, content type."""
-    kind = F.lower(F.trim(F.coalesce("type", F.lit(""))))
-    mime = F.lower(F.trim(F.coalesce("mime", F.lit(""))))
+    kind = F.lower(trimmed(F.coalesce("type", F.lit(""))))
+    mime = F.lower(trimmed(F.coalesce("mime", F.lit(""))))
     reason = (
         F.when(~kind.rlike("^[a-z0-9_-]{1,40}$"), "invalid_type").when(F.coalesce("size", F.lit(0)) == 0, "empty_file")
         .when(F.col("size") > max_bytes, "file_too_large").when(~mime.isin(list(EXTENSIONS)), "unsupported_format")
@@ -70,7 +71,7 @@ def _above(v: Column, lo: float, hi: float) -> Column:
 
 
 def resolve_preset(preset: Column) -> Column:
-    name, value = F.lower(F.trim(preset)), F.lit(None).cast("double")
+    name, value = F.lower(trimmed(preset)), F.lit(None).cast("double")
     for key, ratio in _PRESETS.items():
         value = F.when(name == key, F.lit(ratio)).otherwise(value)
     return value
@@ -95,7 +96,7 @@ def validate_params(requests: DataFrame, kind: str) -> DataFrame:
         rows = requests.withColumns({"gap_ratio": F.coalesce("gap_ratio", F.lit(0.005)), "duplicate_ratio": F.coalesce("duplicate_ratio", F.lit(0.002))})
         fine = _above(F.col("gap_ratio"), 0, 0.5) & _above(F.col("duplicate_ratio"), 0, 0.5)
     elif kind == "simplify":
-        named = F.coalesce(F.trim("preset"), F.lit("")) != ""
+        named = ~is_blank(F.col("preset"))
         rows = requests.withColumn("epsilon", F.when(named, resolve_preset(F.col("preset"))).otherwise(F.col("tolerance")))
         fine = (named != F.col("tolerance").isNotNull()) & _above(F.col("epsilon"), 0, 0.5)
     else:
@@ -152,7 +153,7 @@ def batch_complete(requested: DataFrame, produced: DataFrame, key: str, item: st
     want = requested.groupBy(*keys).agg(F.count("*").alias("w"))
     got = produced.groupBy(*keys).agg(F.count("*").alias("g"))
     both = want.join(got, keys, "full_outer").na.fill(0, ["w", "g"])
-    blank = F.coalesce(F.trim(F.col(item).cast("string")), F.lit("")) == ""
+    blank = is_blank(F.col(item).cast("string"))
     return both.groupBy(key).agg(
         F.sum("w").alias("requested"), F.sum("g").alias("produced"), F.bool_and((F.col("w") == F.col("g")) & ~blank).alias("complete")
     )

@@ -8,6 +8,8 @@ from inkgrid.operators import catalog, edits, history
 from inkgrid.plans import views
 from inkgrid.plans.registry import query
 from inkgrid.plans.views import ctes
+from inkgrid.session import run_dir
+from inkgrid.sources import files
 
 NOW = "timestamp '2025-01-01 00:00:00'"
 
@@ -382,11 +384,32 @@ _CAT = ctes("layers") + """
 """
 
 
-@query("load_catalog", _CAT + "select id, owner_id, name, description, current_version_id, deleted_at from cprojects where deleted_at is null")
+@query("load_catalog", _CAT + """select 'users' as name, cast(n_nationkey as varchar) as id, n_name as detail from nation
+  union all select 'projects', cast(id as varchar), concat_ws('|', name, description, current_version_id, case when deleted_at is not null then 'deleted' end) from cprojects
+  union all select 'assets', cast(p_partkey as varchar), p_type from part
+  union all select 'documents', cast(id as varchar), cast(id as varchar) from cprojects
+  union all select 'versions', cast(id as varchar), concat_ws('|', document_id, version_number, origin) from cversions
+  union all select 'layers', cast(id as varchar), svg_asset_id from clayers
+  union all select 'colors', id, hex from ccolors""")
 def load_catalog(spark, d):
-    return catalog.live_projects(_catalog(spark, d)["projects"]).select(
-        "id", "owner_id", "name", "description", "current_version_id", "deleted_at"
-    )
+    """All seven tables written, loaded again and listed, deleted projects included."""
+    tables = _catalog(spark, d)
+    tables["users"] = views.table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    tables["assets"] = views.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("type"))
+    folder = run_dir(spark, "catalog")
+    for name, table in tables.items():
+        table.write.parquet(f"{folder}/{name}")
+    gone = F.when(F.col("deleted_at").isNotNull(), "deleted")
+    details = {
+        "users": F.col("name"), "assets": F.col("type"), "documents": F.col("project_id").cast("string"), "layers": F.col("svg_asset_id"), "colors": F.col("hex"),
+        "projects": F.concat_ws("|", "name", "description", F.col("current_version_id").cast("string"), gone),
+        "versions": F.concat_ws("|", F.col("document_id").cast("string"), F.col("version_number").cast("string"), "origin"),
+    }
+    rows = [t.select(F.lit(name).alias("name"), F.col("id").cast("string").alias("id"), details[name].alias("detail")) for name, t in files.load_catalog(spark, folder).items()]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 @query("list_projects", ctes("projects") + """, found as (select * from projects where deleted_at is null and name ilike '%urg%')
@@ -408,7 +431,24 @@ def create_projects(spark, d):
         (F.col("c_custkey") + 10000000).alias("id"), F.col("c_nationkey").alias("owner_id"),
         F.concat(F.lit("  "), "c_name").alias("name"),
     )
-    return catalog.create_projects(views.projects(spark, d), requests, _now())
+    return catalog.create_projects(views.projects(spark, d), requests, _now())[0]
+
+
+_REQUESTS = """with r as (select c_custkey as id, case c_custkey % 4 when 0 then chr(9) || chr(10) when 1 then repeat('x', 201) else chr(9) || c_name end as name,
+  case when c_custkey % 5 = 0 then repeat('d', 2001) else repeat(' ', 2000) end as description from customer)
+"""
+
+
+@query("refused_projects", _REQUESTS + """select id, case when id % 4 in (0, 1) then 'invalid_name' else 'invalid_description' end as reason from r where id % 4 in (0, 1) or id % 5 = 0""")
+def refused_projects(spark, d):
+    """Requests with a name of white space only, too long a name or description, and why they are refused."""
+    key = F.col("c_custkey")
+    name = F.when(key % 4 == 0, "\t\n").when(key % 4 == 1, "x" * 201).otherwise(F.concat(F.lit("\t"), "c_name"))
+    requests = views.table(spark, d, "customer").select(
+        key.alias("id"), F.col("c_nationkey").alias("owner_id"), name.alias("name"),
+        F.when(key % 5 == 0, "d" * 2001).otherwise(" " * 2000).alias("description"),
+    )
+    return catalog.create_projects(views.projects(spark, d), requests, _now())[1]
 
 
 @query("update_projects", ctes("projects") + f""", patches as (select l_orderkey as id, min(case when l_tax > 0.04 then concat('P', l_partkey) end) as name
@@ -588,9 +628,20 @@ union all select 'version_document', cast(document_id as varchar), count(*) from
 union all select 'layer_version', cast(version_id as varchar), count(*) from clayers where version_id not in (select id from cversions) group by version_id
 union all select 'layer_color', color_id, count(*) from clayers where color_id not in (select id from ccolors) group by color_id
 union all select 'color_version', cast(version_id as varchar), count(*) from ccolors where version_id not in (select id from cversions) group by version_id
+union all select 'project_owner', cast(owner_id as varchar), count(*) from cprojects where owner_id >= 20 group by owner_id
+union all select 'project_version', cast(current_version_id as varchar), count(*) from cprojects where current_version_id not in (select id from cversions) group by current_version_id
+union all select 'asset_project', cast(p_partkey as varchar), 1 from part where p_partkey not in (select id from cprojects)
+union all select 'document_project', cast(id as varchar), 1 from cprojects where false
+union all select 'version_asset', concat('asset-', id), 1 from cversions where id not in (select p_partkey from part)
+union all select 'layer_asset', svg_asset_id, count(*) from clayers where svg_asset_id not in (select concat('asset-', p_partkey) from part) group by svg_asset_id
 union all select 'version_origin', origin, count(*) from cversions where origin not in ('VECTORIZE','MANUAL_EDIT','AUTOSAVE','RESTORE','AI_EDIT') group by origin""")
 def integrity_check(spark, d):
-    return catalog.integrity_check(_catalog(spark, d))
+    tables = _catalog(spark, d)
+    tables["users"] = views.table(spark, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").alias("id"))
+    part = views.table(spark, d, "part")
+    tables["assets"] = part.select(F.concat(F.lit("asset-"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_partkey").alias("project_id"))
+    tables["versions"] = tables["versions"].withColumn("svg_asset_id", F.concat(F.lit("asset-"), F.col("id").cast("string")))
+    return catalog.integrity_check(tables)
 
 
 @query("touch_updated_at", ctes("projects") + f"select id, {NOW} as updated_at from projects where deleted_at is null")

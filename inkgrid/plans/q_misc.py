@@ -121,9 +121,7 @@ def load_registry(spark, d):
     good = F.to_json(F.struct("project_id", "version", "key"))
     rows = _records(spark, d).select(F.when(F.col("version") % 10 > 0, good).otherwise(F.lit('{"project_id": oops')).alias("value"))
     rows.write.text(folder)
-    full = T.StructType([*_RECORD.fields, T.StructField("_corrupt_record", T.StringType())])
-    found = spark.read.schema(full).option("mode", "PERMISSIVE").json(folder)
-    return found.where(F.col("_corrupt_record").isNull()).select("project_id", "version")
+    return files.load_registry(spark, folder, _RECORD, one_per_file=False).select("project_id", "version")
 
 
 # ----------------------------------------------------------------- validation
@@ -263,7 +261,7 @@ def safe_file_name(spark, d):
 @query("export_manifest", """with req as (select l_orderkey as r, l_linenumber as n, ['vector','simplification','dimension','poster'][l_linenumber%4+1] as kind, l_partkey as source_id from lineitem)
 , hist as (select ['vector','simplification','dimension'][p_partkey%3+1] as kind, p_partkey as source_id, p_partkey%50 as project_id, concat('k/', p_partkey, '.svg') as storage_key, p_size as version from part)
 select concat(r,'-',n) as request_id, storage_key, case when storage_key is not null then 'image/svg+xml' end as content_type, version,
-  case when storage_key is not null then concat('My_', s_name, '-', kind, '-v', version, '.svg') end as download_name,
+  case when storage_key is not null then concat(coalesce('My_' || s_name, 'export'), '-', kind, '-v', version, '.svg') end as download_name,
   case when kind = 'poster' then 'invalid_parameters' when storage_key is null then 'not_found' end as reason
   from req left join hist using (kind, source_id) left join supplier on s_suppkey = project_id""")
 def export_manifest(spark, d):
@@ -483,12 +481,8 @@ def _ps(p, a, b):
 
 @query("segment_distance", _SEG2 + f"""select l_orderkey, l_linenumber, round(case when {_cross_sql()} then 0.0 else least({_ps('p','a','e')}, {_ps('q','a','e')}, {_ps('a','p','q')}, {_ps('e','p','q')}) end, 6) as distance from z""")
 def segment_distance(spark, d):
-    pairs = _seg(spark, d).select(
-        "l_orderkey", "l_linenumber", F.monotonically_increasing_id().alias("n"), F.col("px").alias("a_x1"), F.col("py").alias("a_y1"), (F.col("px") + 3).alias("a_x2"),
-        (F.col("py") + 1).alias("a_y2"), F.col("ax").alias("b_x1"), F.col("ay").alias("b_y1"), F.col("bx").alias("b_x2"), F.col("by").alias("b_y2"),
-    )
-    near = geometry.with_nearest(pairs).groupBy("l_orderkey", "l_linenumber", "n").agg(F.min("gap").alias("distance"))
-    return near.select("l_orderkey", "l_linenumber", F.round("distance", 6).alias("distance"))
+    q = (F.col("px") + 3, F.col("py") + 1)
+    return _seg(spark, d).select("l_orderkey", "l_linenumber", F.round(geometry.segment_distance(_c(_P), q, _c(_A), _c(_B)), 6).alias("distance"))
 
 
 @query("affine_compose", """select o_orderkey, round(2*cos(radians(t)),6) as a, round(2*sin(radians(t)),6) as b, round(-3*sin(radians(t)),6) as c, round(3*cos(radians(t)),6) as d,

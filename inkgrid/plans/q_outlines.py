@@ -96,7 +96,7 @@ _ROT = """, tags as (select doc_id, path_index, case when path_index % 7 = 0 the
   case when path_index % 7 = 0 then 10.0 else 0.0 end as rotation, 1.0 as scale_x, 1.0 as scale_y, 0.0 as skew_x from ranked""".replace("0.0", "0::double").replace("3.0", "3::double").replace("4.0", "4::double").replace("10.0", "10::double").replace("1.0 as", "1::double as"))
 def layer_paths(spark, d):
     found = svg.layer_paths(_rotated(spark, d), "#000000")
-    return found.drop("d").withColumns({c: F.round(c, 6) for c in ("x", "y", "rotation", "scale_x", "scale_y", "skew_x")})
+    return found.drop("d", "reason").withColumns({c: F.round(c, 6) for c in ("x", "y", "rotation", "scale_x", "scale_y", "skew_x")})
 
 
 @query("fill_layers", _V + ", p as (select distinct doc_id, path_index from vertices)" + """
@@ -133,6 +133,15 @@ def sanitize_markup(spark, d):
     return clean.select("doc_id", "reason", F.col("removed").cast("long").alias("removed"))
 
 
+@query("sanitize_removals", _V + _SUBTEXT + """select doc_id, kind, name, n from (select d.doc_id, 'event' as kind, 'onclick' as name, count(*) as n from docs d join ptext p using (doc_id) group by 1
+  union all select doc_id, 'element', 'script', 1 from docs) where doc_id % 5 > 1""")
+def sanitize_removals(spark, d):
+    """What was taken out, as rows."""
+    bad = F.replace(F.replace("svg", F.lit("<path "), F.lit('<path onclick="x()" ')), F.lit("</svg>"), F.lit("<script>x</script></svg>"))
+    gone = svg.sanitize_markup(_docs(spark, d).where("doc_id % 5 > 1").withColumn("svg", bad)).select("doc_id", F.explode("removals").alias("r"))
+    return gone.groupBy("doc_id", "r.kind", "r.name").agg(F.count("*").alias("n"))
+
+
 @query("edges", _V + _EDGES + "select doc_id, path_index, subpath_index, closed, i, x1, y1, x2, y2, closing from edges")
 def edges(spark, d):
     return outlines.edges(_v(spark, d))
@@ -163,7 +172,8 @@ _OPEN = """, ends as (select doc_id, path_index, subpath_index, any_value(closed
 
 @query("open_paths", _V + _EDGES + _OPEN + "select *, 'open_path' as type, 'error' as severity from opens")
 def open_paths(spark, d):
-    return outlines.open_paths(_v(spark, d)).select(
+    v = _v(spark, d)
+    return outlines.open_paths(v, outlines.document_bounds(v)).select(
         "doc_id", "id", "path_index", "subpath_index", F.round("gap_distance", 6).alias("gap_distance"), "type", "severity"
     )
 
@@ -300,7 +310,7 @@ _GROUPS = _DUP + _reach("near", "dup") + """, numbered as (select *, dense_rank(
 def duplicate_groups(spark, d):
     v = _v(spark, d)
     groups, _ = components.duplicate_groups(v, outlines.document_bounds(v), _NEAR)
-    return groups.withColumn("max_point_distance", F.round("max_point_distance", 6))
+    return groups.select("doc_id", "group_no", "id", "members", F.round("max_point_distance", 6).alias("max_point_distance"), "exact", "severity")
 
 
 _GRAPH = """with links as (select distinct l_suppkey as doc_id, l_orderkey as src, l_orderkey + 1 + l_linenumber as dst from lineitem)
@@ -319,14 +329,24 @@ def connected_components(spark, d):
 
 _CHECK = _recursive(_V) + _EDGES + _OPEN + _GROUPS.replace(f"diagonal*{_NEAR}", "diagonal*0.002") + """
 , issues as (select doc_id, id, 'open_path' as type, 'error' as severity, path_index, subpath_index, 0 as part, 0 as group_no, gap_distance,
-    cast(null as boolean) as exact, cast(null as double) as max_point_distance, cast(null as bigint) as members from opens
+    cast(null as boolean) as exact, cast(null as double) as max_point_distance, cast(null as bigint) as members, s.min_x, s.min_y, s.max_x, s.max_y
+    from opens join subs s using (doc_id, path_index, subpath_index)
   union all select doc_id, concat('dup-', group_no), 'duplicate_path', case when exact then 'error' else 'warning' end, null, null, 1, group_no,
-    null, exact, max_point_distance, members from groups)
+    null, exact, max_point_distance, members, min_x, min_y, max_x, max_y from groups join
+    (select n.doc_id, group_no, min(min_x) as min_x, min(min_y) as min_y, max(max_x) as max_x, max(max_y) as max_y from numbered n
+      join subs s on s.doc_id = n.doc_id and s.path_index = n.node >> 32 and s.subpath_index = n.node & 4294967295 group by 1,2) using (doc_id, group_no))
 """
 
 
 def _issues(spark, d):
-    return components.check(_v(spark, d))
+    v = _v(spark, d)
+    return components.check(v, outlines.document_bounds(v))[0]
+
+
+@query("duplicate_members", _CHECK + """select doc_id, concat('dup-', group_no) as id, cast(node >> 32 as int) as path_index, cast(node & 4294967295 as int) as subpath_index from numbered""")
+def duplicate_members(spark, d):
+    v = _v(spark, d)
+    return components.check(v, outlines.document_bounds(v))[1]
 
 
 @query("check", _CHECK + "select doc_id, id, type, severity, path_index, subpath_index, exact, members from issues")
@@ -335,10 +355,11 @@ def check(spark, d):
 
 
 @query("all_issues", _CHECK + """select doc_id, id, cast(row_number() over (partition by doc_id order by part, path_index, subpath_index, group_no) as int) as ordinal,
-  gap_distance, max_point_distance from issues""")
+  gap_distance, max_point_distance, min_x, min_y, max_x, max_y from issues""")
 def all_issues(spark, d):
     return _issues(spark, d).select(
-        "doc_id", "id", "ordinal", F.round("gap_distance", 6).alias("gap_distance"), F.round("max_point_distance", 6).alias("max_point_distance")
+        "doc_id", "id", "ordinal", F.round("gap_distance", 6).alias("gap_distance"), F.round("max_point_distance", 6).alias("max_point_distance"),
+        "min_x", "min_y", "max_x", "max_y",
     )
 
 
@@ -348,7 +369,7 @@ def check_summary(spark, d):
     return components.check_summary(_issues(spark, d), svg.skipped_paths(_docs(spark, d)))
 
 
-@query("issue_overlay", _CHECK + """, hit as (select distinct doc_id, path_index from opens)
+@query("issue_overlay", _CHECK + """, hit as (select distinct doc_id, path_index from opens union select doc_id, node >> 32 from numbered)
 , p as (select distinct doc_id, path_index from vertices), sz as (select doc_id, max(x)-min(x) as w, max(y)-min(y) as h from vertices group by 1)
 select p.doc_id, p.path_index, hit.path_index is not null as hit, case when hit.path_index is not null then '#ff2d55' end as stroke,
   case when hit.path_index is not null then '#ff2d55' end as fill, case when hit.path_index is not null then cast(0.35 as double) end as fill_opacity,
@@ -357,7 +378,9 @@ select p.doc_id, p.path_index, hit.path_index is not null as hit, case when hit.
 def issue_overlay(spark, d):
     v = _v(spark, d)
     sizes = v.groupBy("doc_id").agg((F.max("x") - F.min("x")).alias("width"), (F.max("y") - F.min("y")).alias("height"))
-    return svg.issue_overlay(v.select("doc_id", "path_index").distinct(), outlines.open_paths(v), sizes)
+    issues, members = components.check(v, outlines.document_bounds(v))
+    hits = issues.where("path_index is not null").select("doc_id", "path_index").unionByName(members.select("doc_id", "path_index"))
+    return svg.issue_overlay(v.select("doc_id", "path_index").distinct(), hits, sizes)
 
 
 _COMP = _recursive(_V) + _EDGES + _INWARD + _INSIDE + _DISTS + """
@@ -377,7 +400,8 @@ _COMP = _recursive(_V) + _EDGES + _INWARD + _INSIDE + _DISTS + """
 @query("component_ids", _COMP + """select doc_id, cast(component_no as int) as component_no, path_index, subpath_index, case when depth%2=1 then 'hole' else 'solid' end as role,
   round(area,6) as area from piece join boxes using (doc_id, node)""")
 def component_ids(spark, d):
-    return components.component_members(_v(spark, d)).select(
+    v = _v(spark, d)
+    return components.component_members(v, outlines.document_bounds(v)).select(
         "doc_id", "component_no", *KEY[1:], "role", F.round("area", 6).alias("area")
     )
 
@@ -385,7 +409,7 @@ def component_ids(spark, d):
 def _pieces(spark, d):
     v = _v(spark, d)
     bounds = outlines.document_bounds(v)
-    return components.components(components.component_members(v, bounds=bounds), bounds, 0.0025)
+    return components.components(components.component_members(v, bounds), bounds, 0.0025)
 
 
 @query("components", _COMP + """select doc_id, cast(component_no as int) as component_no, concat('component-',component_no) as component_id, area, members,

@@ -31,13 +31,13 @@ def trace_rings(spark, d):
 
 
 @query("rasterize", _V + """, canvas as (select distinct doc_id, 500 as width, 320 as height from vertices)
-, solid as (select * from rings where closed)
+, solid as (select * from rings)
 , spans as (select doc_id, path_index, cast(ceil(x0-0.5) as int) as xa, cast(ceil(x1-0.5) as int) as xb, cast(ceil(y0-0.5) as int) as ya, cast(ceil(y1-0.5) as int) as yb from solid)
 , cells as (select doc_id, y, unnest(range(greatest(xa,0), least(xb,500))) as x from (select doc_id, xa, xb, unnest(range(greatest(ya,0), least(yb,320))) as y from spans))
 select doc_id, cast(y as int) as y, cast(x as int) as x from cells group by 1,2,3 having count(*) % 2 = 1""")
 def rasterize(spark, d):
-    """Closed outlines filled by the even-odd rule over the whole document."""
-    v = views.vertices(spark, d).where("closed")
+    """All outlines, open ones included, filled by the even-odd rule over the whole document."""
+    v = views.vertices(spark, d)
     canvas = views.vertices(spark, d).select("doc_id").distinct().withColumns({"width": F.lit(500), "height": F.lit(320)})
     return raster.rasterize(outlines.edges(v), canvas, ["doc_id"], ["doc_id"])
 
@@ -93,16 +93,16 @@ def reduction_percent(spark, d):
 # ---------------------------------------------------------------------- union
 
 def _members(spark, d):
-    """Each row of eight shapes of a document is one selection of eight pieces."""
-    rows = views.rings(spark, d).where("path_index < 40")
+    """Each row of eight shapes of a document is one selection; copies of a shape are pieces of their own."""
+    rows = views.rings(spark, d)
     return rows.select(
-        (F.col("doc_id") * 8 + F.floor(F.col("path_index") / 8)).alias("selection_id"), F.col("path_index").cast("long").alias("piece"),
+        (F.col("doc_id") * 8 + F.floor(F.col("path_index") % 40 / 8)).alias("selection_id"), F.col("path_index").cast("long").alias("piece"),
         *svg.KEY, F.when(F.col("subpath_index") == 1, "hole").otherwise("solid").alias("role"),
     )
 
 
-_SEL = _V + _EDGES + _DISTS + """, mem as (select doc_id*8 + cast(floor(path_index/8) as bigint) as selection_id, cast(path_index as bigint) as piece, doc_id, path_index, subpath_index,
-  (cast(path_index as bigint)*4294967296+subpath_index) as node from rings where path_index < 40)
+_SEL = _V + _EDGES + _DISTS + """, mem as (select doc_id*8 + cast(floor(path_index%40/8) as bigint) as selection_id, cast(path_index as bigint) as piece, doc_id, path_index, subpath_index,
+  (cast(path_index as bigint)*4294967296+subpath_index) as node from rings)
 , pd as (select a.selection_id, least(a.piece,b.piece) as src, greatest(a.piece,b.piece) as dst, min(dist) as distance from dists d
   join mem a on a.doc_id=d.doc_id and a.node=d.src join mem b on b.doc_id=d.doc_id and b.node=d.dst
   where a.selection_id=b.selection_id and a.piece<>b.piece group by 1,2,3)
@@ -128,11 +128,12 @@ def piece_distances(spark, d):
     return near_pieces(_segments(spark, d), radius).select("selection_id", "src", "dst", F.round("distance", 6).alias("distance"))
 
 
-# In a row all shapes start on one line, so the shortest tree is the chain from left to right.
-_CHAIN = """, chain as (select doc_id*8 + cast(floor(path_index/8) as bigint) as selection_id, x0 - lag(x1) over (
-  partition by doc_id, floor(path_index/8) order by x0) as gap from rings where path_index < 40 and subpath_index = 0)
-, tree as (select selection_id, gap from chain where gap is not null)
-, diag as (select distinct doc_id*8 + cast(floor(path_index/8) as bigint) as selection_id, diagonal from rings join box using (doc_id) where path_index < 40)
+# In a row all shapes start on one line, so the shortest tree is the chain from left to right; a copy lies on its original.
+_CHAIN = """, chain as (select doc_id*8 + cast(floor(path_index%40/8) as bigint) as selection_id, greatest(x0 - lag(x1) over (
+  partition by doc_id, floor(path_index%40/8) order by x0, path_index), 0) as gap, lag(x1) over (partition by doc_id, floor(path_index%40/8) order by x0, path_index) as before
+  from rings where subpath_index = 0)
+, tree as (select selection_id, gap from chain where before is not null)
+, diag as (select distinct doc_id*8 + cast(floor(path_index%40/8) as bigint) as selection_id, diagonal from rings join box using (doc_id))
 , plan as (select selection_id, count(*) filter (where gap > diagonal*0.001) as bridge_count, count(*) as n, round(sum(gap),6) as total_length
   from tree join diag using (selection_id) group by 1)
 """
@@ -157,8 +158,8 @@ def bridge_plan(spark, d):
     )
 
 
-@query("union_pieces", _V + _EDGES + """select distinct doc_id*8 + cast(floor(path_index/8) as bigint) as selection_id, cast(1 as bigint) as regions, true as accepted
-  from rings where path_index < 40""")
+@query("union_pieces", _V + _EDGES + """select distinct doc_id*8 + cast(floor(path_index%40/8) as bigint) as selection_id, cast(1 as bigint) as regions, true as accepted
+  from rings""")
 def union_pieces(spark, d):
     """Every selection, with its bridges, becomes exactly one region."""
     members, sizes = _members(spark, d), _sizes(spark, d)

@@ -45,14 +45,16 @@ def image_catalog(files: DataFrame) -> DataFrame:
 
 
 def _big_endian(at: int, length: int) -> Column:
-    return F.conv(F.hex(F.substring("content", at, length)), 16, 10).cast("int")
+    """A signed 32-bit number; null where the header holds none that is positive."""
+    value = F.conv(F.hex(F.substring("content", at, length)), 16, 10).try_cast("long")
+    return F.when(value <= 0x7FFFFFFF, value.try_cast("int"))
 
 
 def _little_endian(at: int, length: int) -> Column:
-    return sum(
-        (F.shiftleft(F.conv(F.hex(F.substring("content", at + k, 1)), 16, 10).cast("int"), 8 * k) for k in range(1, length)),
-        F.conv(F.hex(F.substring("content", at, 1)), 16, 10).cast("int"),
-    )
+    def byte(k: int) -> Column:
+        return F.coalesce(F.conv(F.hex(F.substring("content", at + k, 1)), 16, 10).try_cast("long"), F.lit(0))
+
+    return sum((F.shiftleft(byte(k), 8 * k) for k in range(1, length)), byte(0))
 
 
 def header_dims(files: DataFrame) -> DataFrame:
@@ -69,7 +71,7 @@ def header_dims(files: DataFrame) -> DataFrame:
     width = F.when(png, _big_endian(17, 4))
     height = F.when(png, _big_endian(21, 4))
     for code, (w, h) in wide.items():
-        width, height = width.when(riff & (chunk == code), w), height.when(riff & (chunk == code), h)
+        width, height = width.when(riff & (chunk == code), w.cast("int")), height.when(riff & (chunk == code), h.cast("int"))
     native = files.withColumns({"width": width, "height": height})
     is_jpeg = F.coalesce(head.startswith("FFD8"), F.lit(False))
     walked = jpeg_dims(native.where(is_jpeg))
@@ -103,9 +105,10 @@ def jpeg_dims(files: DataFrame) -> DataFrame:
     return files.mapInPandas(walk, files.schema)
 
 
-def load_svg(files: DataFrame, max_bytes: int = MAX_SVG_BYTES) -> tuple[DataFrame, DataFrame]:
-    """SVG text from a binary file table; oversized or non UTF-8 files are refused with a reason."""
-    reason = F.when(F.octet_length("content") > max_bytes, "svg_too_large").when(
+def load_svg(files: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """SVG text from a binary file table; non UTF-8 files, and those over ``max_bytes`` if given, are refused with a reason."""
+    too_large = F.lit(False) if max_bytes is None else F.octet_length("content") > max_bytes
+    reason = F.when(too_large, "svg_too_large").when(
         ~F.is_valid_utf8(F.col("content").cast("string")), "invalid_input_svg"
     )
     rows = files.withColumn("reason", reason)
@@ -113,10 +116,10 @@ def load_svg(files: DataFrame, max_bytes: int = MAX_SVG_BYTES) -> tuple[DataFram
     return good, rows.where("reason is not null").select("path", "reason")
 
 
-def load_registry(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
-    """Version records from a tree of JSON files; unreadable files are skipped."""
+def load_registry(spark: SparkSession, folder: str, schema: T.StructType, one_per_file: bool = True) -> DataFrame:
+    """Version records from a tree of JSON files, one per file or one per line; unreadable ones are skipped."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
-    rows = spark.read.schema(full).option("recursiveFileLookup", "true").option("multiLine", "true").option("mode", "PERMISSIVE").json(folder)
+    rows = spark.read.schema(full).option("recursiveFileLookup", "true").option("multiLine", str(one_per_file).lower()).option("mode", "PERMISSIVE").json(folder)
     return rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkgrid.functions import text
 from inkgrid.operators.history import latest_version
 
 
@@ -16,7 +17,7 @@ def idempotent_stream(uploads: DataFrame, key: str, ts: str | None = None, delay
     With ``delay`` keys are forgotten after it, which bounds the state but lets
     a later repeat in.
     """
-    blank = F.coalesce(F.trim(key), F.lit("")) == ""
+    blank = text.blank(key)
     keyed = uploads.where(~blank)
     if delay is None:
         first = keyed.dropDuplicates([key])

@@ -8,13 +8,10 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from inkgrid.plans import ORACLES, QUERIES, q_outlines, q_shapes
+from inkgrid.plans import ORACLES, QUERIES
 from tools.check import TABLES, norm
 
-# Loops of joins take seconds each whatever the size; INKGRID_FULL=1 runs them here too.
-_LOOPS = {name for name, fn in QUERIES.items() if fn.__module__ in (q_outlines.__name__, q_shapes.__name__)}
-_QUICK = {"write_svg", "svg_to_vertices", "svg_stats", "edges", "polygon_area", "open_paths", "sanitize_markup", "rasterize", "trace_layers"}
-NAMES = [n for n in ORACLES if os.environ.get("INKGRID_FULL") or n not in _LOOPS or n in _QUICK]
+NAMES = list(ORACLES)
 
 
 @pytest.fixture(scope="module")
