@@ -7,13 +7,12 @@ finds every pair.  The order puts rare grams first, by a sketch of fixed size.
 
 * Exact copies are folded into one set before anything else.
 * Short inverted lists are merged: pairs are counted over them.  Long lists are
-  left out of the merge, as in DivideSkip, and a pair's bound is lowered by the
-  long lists it may share.
-* Documents of long lists (families of near copies) are first compared with a few
-  hubs per list.  Only pairs between different components are left then; they are
-  counted in blocks of bounded size.
-* Candidates are verified by DivideSkip on their whole sets: short lists by a heap
-  merge, long lists by binary probing.
+  left out of the merge, as in DivideSkip; a pair's bound is lowered by the long
+  lists it may share, and each long list ties its documents to one of them.
+* Documents tied together are a family, searched in groups of bounded size: large
+  families are cut by set size, where only neighbouring sizes can link, and by hash.
+  A group gets the whole sets, merges its short inverted lists on a heap, looks the
+  survivors up in the long ones by bisection, and gives one link per union it makes.
 """
 
 from __future__ import annotations
@@ -36,8 +35,9 @@ WIDTH, PERCENT = 3, 90
 CELLS, PARTS = 1 << 21, 512
 SHARED = 3
 SHORT_LIST = 64
-BLOCK = 256
-HUBS = 4
+#: Grams held by one group of a family at a time.
+GROUP_GRAMS = 1 << 16
+GROUP = ["family", "c1", "b1", "c2", "b2"]
 _PART = pa.schema([("part", pa.int32()), ("cells", pa.binary())])
 _SIGNED = "kind byte, doc_id long, key string, sig binary, n int, part int, cells binary"
 
@@ -142,103 +142,120 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, width: int, percent: int) -> Da
     return rows.groupBy("token", "sig", "n").count().drop("count")
 
 
-def _near(small: Column, large: Column, percent: int) -> Column:
-    return small * 100 >= large * percent
-
-
-def _pairs_within(lists: DataFrame, percent: int, allowed: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """``a, b, na, nb`` for the pairs of a bounded, sorted array ``members`` of (n, sig, ...) whose sizes allow a link; a comes first."""
+def _pairs(lists: DataFrame, percent: int) -> DataFrame:
+    """``a, b, na, nb`` for the pairs of a short, sorted array ``members`` of (n, sig) whose sizes allow a link."""
     one = lists.select("members", F.posexplode("members").alias("_i", "x"))
     later = F.expr("slice(members, _i + 2, size(members))")
-    fits = F.filter(later, lambda y: _near(F.col("x.n"), y["n"], percent) & (allowed(F.col("x"), y) if allowed else F.lit(True)))
+    fits = F.filter(later, lambda y: F.col("x.n") * 100 >= y["n"] * percent)
     return one.select("x", F.explode(fits).alias("y")).select(F.col("x.sig").alias("a"), F.col("y.sig").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
 
 
-def _apart(x: Column, y: Column) -> Column:
-    """Of different components; and, if the block joins two halves of a list, of different halves."""
-    return (x["comp"] != y["comp"]) & ((x["half"] != y["half"]) | x["whole"])
+class Index:
+    """Inverted lists over the sets of a group (arrays of distinct grams)."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        grams = np.concatenate(sets)
+        order = np.argsort(grams, kind="stable")
+        self.grams, first = np.unique(grams[order], return_index=True)
+        self.bounds = np.append(first, len(grams))
+        self.owners = np.repeat(np.arange(len(sets)), [len(x) for x in sets])[order].tolist()
+
+    def search(self, query: np.ndarray, least: int, skip: Callable[[int], bool] = lambda owner: False) -> Iterator[tuple[int, int]]:
+        """``owner, overlap`` of the sets that share at least ``least`` grams with ``query``, by DivideSkip.
+
+        The longest lists are set apart; the others are merged on a heap.  Owners seen
+        too rarely even if all long lists held them are dropped, the rest is looked up
+        in the long lists by bisection.  Owners that ``skip`` names are passed over.
+        """
+        place = np.searchsorted(self.grams, query)
+        place[place == len(self.grams)] = 0
+        place = place[self.grams[place] == query]
+        if len(place) < least:
+            return
+        spans = sorted(zip(self.bounds[place].tolist(), self.bounds[place + 1].tolist(), strict=True), key=lambda x: x[1] - x[0])
+        apart = min(max(least - SHARED, 0), len(spans))
+        short, long = spans[:len(spans) - apart], spans[len(spans) - apart:]
+        last, seen = -1, 0
+        for owner in [*heapq.merge(*[self.owners[s:e] for s, e in short]), -2]:
+            if owner == last:
+                seen += 1
+                continue
+            if last >= 0 and seen >= least - apart and not skip(last):
+                total = seen
+                for k, (s, e) in enumerate(long):
+                    if total + len(long) - k < least:
+                        break
+                    at = bisect_left(self.owners, last, s, e)
+                    total += at < e and self.owners[at] == last
+                if total >= least:
+                    yield last, total
+            last, seen = owner, 1
+
+
+def group_links(sigs: list[bytes], sides: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[bytes, bytes]]:
+    """Links that join the documents of one group as far as they hang together; 2 is the side that also links with itself."""
+    index, parent, out = Index(sets), list(range(len(sets))), []
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for q, query in enumerate(sets):
+        for other, overlap in index.search(query, least_overlap(len(query), percent), lambda o: o >= q or (sides[o] == sides[q] != 2) or root(o) == root(q)):
+            if 100 * overlap >= percent * (len(query) + len(sets[other]) - overlap):
+                parent[root(q)] = root(other)
+                out.append((sigs[other], sigs[q]))
+    return out
 
 
-def t_occurrence(query: np.ndarray, partners: list[np.ndarray], least: int) -> dict[int, int]:
-    """Overlaps of the partners that share at least ``least`` grams with ``query`` (all arrays ascending), by DivideSkip.
+def _search_groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group; holds one group at a time."""
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+    group, sigs, sides, sets = None, [], [], []
 
-    Of the query's inverted lists over the partners, the longest are set apart; the
-    others are heap-merged, partners seen too rarely even if all long lists held
-    them are dropped, and the rest is looked up in the long lists by bisection.
-    """
-    if not partners or not len(query):
-        return {}
-    grams = np.concatenate(partners)
-    owners = np.repeat(np.arange(len(partners)), [len(p) for p in partners])
-    place = np.searchsorted(query, grams)
-    place[place == len(query)] = 0
-    hit = query[place] == grams
-    place, owners = place[hit], owners[hit]
-    order = np.lexsort((owners, place))
-    place, owners = place[order], owners[order]
-    bounds = np.flatnonzero(np.r_[True, place[1:] != place[:-1], True]) if len(place) else np.zeros(1, np.int64)
-    lists = sorted((owners[s:e].tolist() for s, e in zip(bounds[:-1], bounds[1:], strict=True)), key=len)
-    longest = len(lists[-1]) if lists else 0
-    skip = min(least - 1, int(least / (0.5 * np.log2(longest) + 1)), len(lists)) if longest > 1 else 0
-    short, long = lists[:len(lists) - skip], lists[len(lists) - skip:]
-    out: dict[int, int] = {}
-    last, seen = -1, 0
-    for owner in [*heapq.merge(*short), -2]:
-        if owner == last:
-            seen += 1
-            continue
-        if last >= 0 and seen >= least - skip:
-            total = seen
-            for k, probed in enumerate(long):
-                if total + len(long) - k < least:
-                    break
-                at = bisect_left(probed, last)
-                total += at < len(probed) and probed[at] == last
-            if total >= least:
-                out[last] = total
-        last, seen = owner, 1
-    return out
+    def found() -> pa.RecordBatch:
+        links = group_links(sigs, sides, sets, percent) if len(sets) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], schema=schema)
 
+    for batch in batches:
+        for *key, side, sig, grams in zip(*[batch.column(c).to_pylist() for c in (*GROUP, "side", "sig", "grams")], strict=True):
+            if key != group:
+                yield found()
+                group, sigs, sides, sets = key, [], [], []
+            sigs.append(sig), sides.append(side), sets.append(np.frombuffer(grams, np.uint64))
+    yield found()
 
-def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by ``a, block, role``: the query's set, then its partners'; gives linked pairs."""
-    group, query, names, sets = None, None, [], []
-    found: list[tuple[bytes, bytes]] = []
 
-    def search() -> None:
-        nonlocal names, sets
-        if names and query is not None:
-            least = min(max(least_overlap(max(len(query), len(s)), percent), 1) for s in sets)
-            for k, overlap in t_occurrence(query, sets, least).items():
-                if 100 * overlap >= percent * (len(query) + len(sets[k]) - overlap):
-                    found.append((group[0], names[k]))
-        names, sets = [], []
+def _groups(members: DataFrame, percent: int) -> DataFrame:
+    """``family, c1, b1, c2, b2, side, sig``: the groups in which a document of a family is searched.
 
-    for batch in batches:
-        for a, block, role, sig, grams in zip(*[batch.column(c).to_pylist() for c in ("a", "block", "role", "sig", "grams")], strict=True):
-            if (a, block) != group:
-                search()
-                group, query = (a, block), None
-            if role == 0:
-                query = np.frombuffer(grams, np.uint64)
-            else:
-                names.append(sig), sets.append(np.frombuffer(grams, np.uint64))
-                if len(sets) == SHORT_LIST:
-                    search()
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
-            found = []
-    search()
-    if found:
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([y for _, y in found], pa.binary())], names=["a", "b"])
-
-
-def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs ``a, b`` that link; a query with many partners is spread over ``blocks`` of them."""
-    spread = pairs.select("a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), "b")
-    members = spread.select("a", "block", F.lit(0).alias("role"), F.col("a").alias("sig")).distinct().unionByName(spread.select("a", "block", F.lit(1).alias("role"), F.col("b").alias("sig")))
-    with_sets = members.join(sets, "sig").repartition("a", "block").sortWithinPartitions("a", "block", "role", "sig")
-    return with_sets.select("a", "block", "role", "sig", "grams").mapInArrow(lambda batches: _verify(batches, percent), "a binary, b binary")
+    A family of up to ``GROUP_GRAMS`` grams is one group.  In larger ones a class
+    spans the sizes that may link with each other, so links stay within a class or
+    lead to the next; classes are cut into blocks by hash, and two blocks make a group.
+    """
+    totals = written(members.groupBy("family").agg(F.sum("n").alias("grams")), "jac-families")
+    sized = members.join(totals, "family")
+    plain = [F.lit(-1).alias("c1"), F.lit(0).alias("b1"), F.lit(-1).alias("c2"), F.lit(0).alias("b2"), F.lit(2).alias("side")]
+    small = sized.where(F.col("grams") <= GROUP_GRAMS).select("family", *plain, "sig")
+    large = sized.where(F.col("grams") > GROUP_GRAMS).withColumn("c", F.floor(F.log("n") / (float(np.log(100 / percent)) * 1.000001)).cast("int")).select("family", "c", "sig", "n")
+    if large.isEmpty():
+        return small
+    cuts = written(large.groupBy("family", "c").agg(F.ceil(F.sum("n") * 2 / GROUP_GRAMS).cast("int").alias("k")), "jac-cuts")
+    near = [cuts.select("family", (F.col("c") - step).alias("c"), F.col("k").alias(name)) for step, name in ((0, "k"), (1, "above"), (-1, "below"))]
+    for table in near:
+        large = large.join(table, ["family", "c"], "left")
+    large = large.withColumn("b", F.pmod(F.xxhash64("sig"), "k").cast("int"))
+
+    def blocks(count: str) -> Column:
+        return F.when(F.coalesce(F.col(count), F.lit(0)) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>"))
+
+    own = F.transform(blocks("k"), lambda j: F.struct(
+        F.col("c").alias("c1"), F.least(F.col("b"), j).alias("b1"), F.col("c").alias("c2"), F.greatest(F.col("b"), j).alias("b2"), F.when(F.col("b") == j, 2).when(F.col("b") < j, 0).otherwise(1).alias("side")))
+    up = F.transform(blocks("above"), lambda j: F.struct(F.col("c").alias("c1"), F.col("b").alias("b1"), (F.col("c") + 1).alias("c2"), j.alias("b2"), F.lit(0).alias("side")))
+    down = F.transform(blocks("below"), lambda j: F.struct((F.col("c") - 1).alias("c1"), j.alias("b1"), F.col("c").alias("c2"), F.col("b").alias("b2"), F.lit(1).alias("side")))
+    return small.unionByName(large.select("family", "sig", F.explode(F.concat(own, up, down)).alias("g")).select("family", "g.*", "sig"))
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -321,44 +338,25 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     df = index.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
     lists = written(index.join(df, "token"), "jac-lists")
     long = lists.where(F.col("df") > SHORT_LIST)
-    has_long = not long.isEmpty()
 
     members = lists.where(F.col("df") <= SHORT_LIST).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "sig"))).alias("members"))
-    counted = _pairs_within(members, percent).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
+    counted = _pairs(members, percent).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
     need = F.least(F.lit(SHARED), F.ceil(F.col("na") * percent / 100)).cast("int")
-    blocks = F.lit(1).cast("long").alias("blocks")
-    if has_long:
-        counted = written(counted, "jac-counted")
+    if long.isEmpty():
+        ties = counted.where(F.col("c") >= need).select("a", "b")
+    else:
         skipped = written(long.groupBy("sig").agg(F.count(F.lit(1)).alias("skipped")), "jac-skipped")
         both = counted.join(skipped.select(F.col("sig").alias("a"), F.col("skipped").alias("_sa")), "a", "left").join(skipped.select(F.col("sig").alias("b"), F.col("skipped").alias("_sb")), "b", "left")
-        lowered = need - F.coalesce(F.least(F.coalesce("_sa", F.lit(0)), F.coalesce("_sb", F.lit(0))), F.lit(0))
-        first = both.where(F.col("c") >= F.greatest(F.lit(1), lowered)).select("a", "b", blocks)
-        hubs = [long.groupBy("token").agg(F.min(F.struct(F.xxhash64("sig", F.lit(salt)).alias("h"), "sig", "n")).alias("hub")) for salt in range(HUBS)]
-        hub = hubs[0]
-        for more in hubs[1:]:
-            hub = hub.unionByName(more)
-        hub = written(hub.select("token", F.col("hub.sig").alias("a"), F.col("hub.n").alias("na")), "jac-hubs")
-        stars = long.join(hub, "token").where((F.col("sig") != F.col("a")) & _near(F.least("n", "na"), F.greatest("n", "na"), percent))
-        stars = stars.groupBy("a", F.col("sig").alias("b")).agg(F.ceil(F.max("df") / SHORT_LIST).cast("long").alias("blocks"))
-        first = first.unionByName(stars.join(first, ["a", "b"], "left_anti"))
-    else:
-        first = counted.where(F.col("c") >= need).select("a", "b", blocks)
-    first = written(first, "jac-first")
-    wanted = first.select(F.col("a").alias("sig")).unionByName(first.select(F.col("b").alias("sig")))
-    if has_long:
-        wanted = wanted.unionByName(long.select("sig"))
-    sets = written(_whole_sets(docs, written(wanted.distinct(), "jac-wanted"), width), "jac-sets")
-    links = written(verified(first, sets, percent), "jac-links")
-    comps = _components(links)
-
-    if has_long:
-        named = long.join(comps, "sig", "left").withColumn("comp", F.coalesce("comp", "sig"))
-        mixed = written(named.groupBy("token").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo <> _hi").select("token"), "jac-mixed")
-        if not mixed.isEmpty():
-            second = written(_between_components(written(named.join(mixed, "token"), "jac-named"), counted, need, percent).join(first, ["a", "b"], "left_anti").withColumn("blocks", blocks), "jac-second")
-            more = written(verified(second, sets, percent), "jac-more")
-            if not more.isEmpty():
-                comps = _components(links.unionByName(more))
+        lowered = need - F.least(F.coalesce("_sa", F.lit(0)), F.coalesce("_sb", F.lit(0)))
+        hubs = written(long.groupBy("token").agg(F.min("sig").alias("a")), "jac-hubs")
+        stars = long.join(hubs, "token").where(F.col("sig") != F.col("a")).select("a", F.col("sig").alias("b"))
+        ties = both.where(F.col("c") >= F.greatest(F.lit(1), lowered)).select("a", "b").unionByName(stars).distinct()
+    families = _components(written(ties, "jac-ties"))
+    sets = written(_whole_sets(docs, families, width), "jac-sets")
+    grouped = _groups(families.join(sets.select("sig", F.expr("int(octet_length(grams) / 8)").alias("n")), "sig").withColumnRenamed("comp", "family"), percent)
+    dealt = grouped.join(sets, "sig").repartition(*GROUP).sortWithinPartitions(*GROUP, "sig")
+    links = dealt.select(*GROUP, "side", "sig", "grams").mapInArrow(lambda batches: _search_groups(batches, percent), "a binary, b binary")
+    comps = _components(written(links, "jac-links"))
 
     # Classes of copies and components that hold more than one row; written, so that the join below can be split at a hot class.
     smallest = rows.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
@@ -369,16 +367,3 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     out = rows.join(named, "sig", "left")
     columns = ["doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")]
     return out.select(*columns) if key is None else out.select(*columns, "key", F.coalesce("comp", "sig").alias("group"))
-
-
-def _between_components(named: DataFrame, counted: DataFrame, need: Column, percent: int) -> DataFrame:
-    """``a, b`` of different components that share enough grams over long and short lists; lists are cut into blocks."""
-    parts = F.ceil(F.col("df") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("sig"), parts).cast("int")
-    cut = named.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    cut = cut.withColumns({"_lo": F.least("_own", "_other"), "_hi": F.greatest("_own", "_other"), "half": F.col("_own") > F.col("_other"), "whole": F.col("_own") == F.col("_other")})
-    # The block of two different parts gets each row once; a row of the part with itself is marked whole.
-    groups = cut.groupBy("token", "_lo", "_hi").agg(F.sort_array(F.collect_list(F.struct("n", "sig", "comp", "half", "whole"))).alias("members"))
-    pairs = _pairs_within(groups, percent, _apart).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c")).withColumn("_long", F.lit(1))
-    total = pairs.unionByName(counted.withColumn("_long", F.lit(0))).groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"), F.max("_long").alias("_long"))
-    return total.where((F.col("_long") == 1) & (F.col("c") >= need)).select("a", "b")

@@ -60,10 +60,9 @@ def test_against_brute_force(make_docs):
     assert result(make_docs(rows)) == brute_force(rows)
 
 
-def test_long_lists_and_hubs(make_docs, monkeypatch):
+def test_long_lists_and_cut_families(make_docs, monkeypatch):
     monkeypatch.setattr(jaccard, "SHORT_LIST", 4)
-    monkeypatch.setattr(jaccard, "BLOCK", 8)
-    monkeypatch.setattr(jaccard, "HUBS", 1)
+    monkeypatch.setattr(jaccard, "GROUP_GRAMS", 400)
     rnd = random.Random(7)
     rows = family(rnd, 1, 60, 60, 6, 1) + family(rnd, 2, 40, 30, 3, 500) + [(900 + i, "all of these have the same few words here " + "and then one more " * (i % 4), "a") for i in range(30)]
     assert result(make_docs(rows)) == brute_force(rows)
@@ -91,4 +90,4 @@ def test_t_occurrence_counts():
         partners = [np.unique(rnd.integers(0, 60, rnd.integers(1, 40))).astype(np.uint64) for _ in range(20)]
         for least in (1, 5, 12, len(query)):
             want = {k: len(np.intersect1d(query, p)) for k, p in enumerate(partners)}
-            assert jaccard.t_occurrence(query, partners, least) == {k: v for k, v in want.items() if v >= least}
+            assert dict(jaccard.Index(partners).search(query, least)) == {k: v for k, v in want.items() if v >= least}
