@@ -9,10 +9,17 @@ from inkgrid.functions import text
 
 
 def latest_version(history: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
-    """Last row per key as one aggregate with map-side combine, so a hot key costs no sort."""
+    """Last row per key; of rows with the same version the one with the largest other columns.
+
+    The newest version is a hash aggregate on one plain column.  Only its rows, one
+    per key but for repeats, go through the second aggregate, which compares rows.
+    """
     rest = [c for c in history.columns if c not in keys and c != version]
-    last = F.max(F.struct(version, *rest)).alias("last")
-    return history.groupBy(*keys).agg(last).select(*keys, "last.*")
+    if not rest:
+        return history.groupBy(*keys).agg(F.max(version).alias(version))
+    top = history.groupBy(*keys).agg(F.max(version).alias(version))
+    newest = history.join(top, [*keys, version], "left_semi")
+    return newest.groupBy(*keys, version).agg(F.max(F.struct(*rest)).alias("last")).select(*keys, version, "last.*")
 
 
 def running_total(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: str, name: str) -> DataFrame:

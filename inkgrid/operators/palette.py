@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from inkgrid.functions.colour import bgr_to_lab, encode_hex, parse_hex, posterize_value
 from inkgrid.functions.text import trimmed
+from inkgrid.operators.pixels import per_image
 
 COLOUR_BUDGET = 512
 _LAST_STEP = 128
@@ -64,7 +65,7 @@ def colour_steps(colours: DataFrame, budget: int = COLOUR_BUDGET) -> DataFrame:
 def unique_colors(px: DataFrame, budget: int = COLOUR_BUDGET) -> DataFrame:
     """Distinct visible colours with counts, coarsened per image to the budget."""
     exact = _exact_colours(px)
-    stepped = exact.join(colour_steps(exact, budget), "image_id")
+    stepped = per_image(exact, colour_steps(exact, budget), ["b", "g", "r"])
     return stepped.groupBy(
         "image_id", "step", *[posterize_value(F.col(c), F.col("step")).alias(c) for c in "bgr"]
     ).agg(F.sum("pixel_count").alias("pixel_count"), F.bool_or("has_partial_alpha").alias("has_partial_alpha"))
@@ -191,7 +192,7 @@ def palette(
     px: DataFrame, tolerance: float = 12.0, max_colors: int | None = None, tiny_ratio: float = 0.001,
     budget: int = COLOUR_BUDGET,
 ) -> DataFrame:
-    """One row per group: mean colour, pixel count, share of all pixels, partial alpha."""
+    """One row per group: mean colour, pixel count, share of all pixels, partial alpha, and the step to which colours were coarsened."""
     members = cluster_colors(unique_colors(px, budget), tolerance, max_colors, tiny_ratio)
     return palette_groups(members, pixel_totals(px))
 
@@ -208,12 +209,12 @@ def palette_groups(members: DataFrame, totals: DataFrame) -> DataFrame:
 
     groups = members.groupBy("image_id", "group_no").agg(
         F.sum("pixel_count").alias("n"), F.bool_or("has_partial_alpha").alias("has_partial_alpha"),
-        *[mean(c) for c in "bgr"],
+        *[mean(c) for c in "bgr"], F.first("step").alias("step"),
     )
     return groups.join(totals, "image_id").select(
         "image_id", "group_no", encode_hex(F.col("b"), F.col("g"), F.col("r")).alias("color_hex"),
         F.col("n").alias("pixel_count"), (F.col("n") / F.col("total_pixels") * 100.0).alias("area_percent"),
-        "has_partial_alpha", "transparent_percent",
+        "has_partial_alpha", "transparent_percent", "step",
     )
 
 
@@ -224,7 +225,7 @@ def label_pixels(px: DataFrame, members: DataFrame, salts: int = 16) -> DataFram
     by a salt and the (at most ``budget``) colours of each image repeated.
     """
     steps = members.groupBy("image_id").agg(F.first("step").alias("step"))
-    seen = _relevant(px).join(steps, "image_id").select(
+    seen = per_image(_relevant(px), steps, ["y", "x"], salts).select(
         "image_id", "y", "x", *[posterize_value(F.col(c), F.col("step")).alias(c) for c in "bgr"],
         F.pmod(F.xxhash64("y", "x"), F.lit(salts)).cast("int").alias("salt"),
     )
@@ -242,7 +243,7 @@ def border_touch(labels: DataFrame, canvas: DataFrame, flag_at: float = 0.5) ->
     perimeter = F.when((w <= 1) | (h <= 1), w * h).otherwise(w * 2 + h * 2 - 4)
     on_border = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == w - 1) | (F.col("y") == h - 1)
     ratio = F.count_if(on_border) / F.first(perimeter)
-    return labels.where("group_no >= 0").join(canvas, "image_id").groupBy("image_id", "group_no").agg(
+    return per_image(labels.where("group_no >= 0"), canvas.select("image_id", "width", "height"), ["y", "x"]).groupBy("image_id", "group_no").agg(
         ratio.alias("border_ratio"), (ratio >= flag_at).alias("touches_border")
     )
 
@@ -327,10 +328,10 @@ def not_merged(edges: DataFrame, ids: DataFrame) -> DataFrame:
 
 def quantized_preview(px: DataFrame, labels: DataFrame, groups: DataFrame) -> DataFrame:
     """Each pixel in the colour of its group; pixels without a group fully transparent."""
-    paint = groups.select("image_id", "group_no", parse_hex(F.col("color_hex")).alias("c"))
-    painted = px.select("image_id", "y", "x").join(labels, ["image_id", "y", "x"], "left").join(
-        paint, ["image_id", "group_no"], "left"
-    )
+    paint = groups.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("group_no", parse_hex(F.col("color_hex")).alias("c")))).alias("paint"))
+    seen = px.select("image_id", "y", "x").join(labels, ["image_id", "y", "x"], "left")
+    every = px.select("image_id").distinct().join(paint, "image_id", "left")
+    painted = per_image(seen, every, ["y", "x"]).withColumn("c", F.try_element_at("paint", F.col("group_no")))
     return painted.select(
         "image_id", "y", "x", *[F.coalesce(F.col(f"c.{k}"), F.lit(0)).alias(k) for k in "bgr"],
         F.when(F.col("c").isNull(), 0).otherwise(255).alias("a"),
@@ -339,12 +340,12 @@ def quantized_preview(px: DataFrame, labels: DataFrame, groups: DataFrame) -> Da
 
 def nearest_color(points: DataFrame, palette_lab: DataFrame) -> DataFrame:
     """Closest palette colour of each point (first on ties), palettes being at most ``budget`` rows per image."""
-    gap = F.sqrt(sum(
-        ((F.col(f"p.{f}") - F.col(f"q.{f}")) * (F.col(f"p.{f}") - F.col(f"q.{f}")) for f in ("lab_l", "lab_a", "lab_b")),
-        F.lit(0.0),
-    ))
-    return points.alias("p").join(palette_lab.alias("q"), F.col("p.image_id") == F.col("q.image_id")).groupBy(
-        F.col("p.image_id").alias("image_id"), F.col("p.point_id").alias("point_id")
-    ).agg(F.min(F.struct(gap.alias("distance"), F.col("q.group_no").alias("group_no"))).alias("best")).select(
-        "image_id", "point_id", "best.group_no", "best.distance"
-    )
+    axes = ("lab_l", "lab_a", "lab_b")
+    colours = palette_lab.groupBy("image_id").agg(F.collect_list(F.struct("group_no", *axes)).alias("palette"))
+
+    def gap(q: Column) -> Column:
+        return F.sqrt(sum(((F.col(f) - q[f]) * (F.col(f) - q[f]) for f in axes), F.lit(0.0)))
+
+    nearest = F.array_min(F.transform("palette", lambda q: F.struct(gap(q).alias("distance"), q["group_no"].alias("group_no"))))
+    best = per_image(points, colours, ["point_id"]).withColumn("best", nearest)
+    return best.select("image_id", "point_id", "best.group_no", "best.distance")

@@ -96,7 +96,14 @@ def _mirrored_positions(pos: Column, size: Column, reach: int) -> Column:
     return F.when(inner, F.array(pos)).otherwise(wanted)
 
 
-def _blur_pass(px: DataFrame, canvas: DataFrame, axis: str, other: str, strength: int) -> DataFrame:
+def per_image(rows: DataFrame, images: DataFrame, spread: list[str], salts: int = 32) -> DataFrame:
+    """Rows joined to a table with few rows per image: those are repeated per salt, so a huge image does not meet in one task."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    repeated = images.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(repeated, ["image_id", "_salt"]).drop("_salt")
+
+
+def _blur_pass(px: DataFrame, axis: str, other: str, strength: int) -> DataFrame:
     """One direction of the separable blur.
 
     Only border pixels are repeated (as their mirror images); the weighted sum
@@ -104,9 +111,7 @@ def _blur_pass(px: DataFrame, canvas: DataFrame, axis: str, other: str, strength
     shuffle of the pixels and no fan-out by the kernel size.
     """
     extent = "width" if axis == "x" else "height"
-    padded = px.join(canvas.select("image_id", F.col(extent).alias("_n")), "image_id").withColumn(
-        "_p", F.explode(_mirrored_positions(F.col(axis), F.col("_n"), strength))
-    )
+    padded = px.withColumn("_n", F.col(f"_{extent}")).withColumn("_p", F.explode(_mirrored_positions(F.col(axis), F.col("_n"), strength)))
     line = Window.partitionBy("image_id", other).orderBy("_p")
     kernel = gaussian_kernel(strength)
 
@@ -127,8 +132,8 @@ def denoise(px: DataFrame, canvas: DataFrame, strength: int) -> DataFrame:
     """Gaussian blur of width 2s+1; strength 0 changes nothing."""
     if strength <= 0:
         return px
-    across = _blur_pass(px, canvas, "x", "y", strength)
-    both = _blur_pass(across, canvas, "y", "x", strength)
+    sized = per_image(px, canvas.select("image_id", F.col("width").alias("_width"), F.col("height").alias("_height")), ["y", "x"])
+    both = _blur_pass(_blur_pass(sized, "x", "y", strength), "y", "x", strength).select(*px.columns)
     return _recolour(both, {
         c: F.least(F.greatest(F.floor(F.round(F.col(c), 6) + 0.5), F.lit(0)), F.lit(255)).cast("int")
         for c in _CHANNELS

@@ -591,13 +591,13 @@ def current_document(spark, d):
 
 @query("patch_layers", _CAT + """, patches as (select p_partkey as group_id, c_custkey as project_id, case when p_size < 20 then p_name end as name,
   p_size % 2 = 0 as visible, p_size % 3 = 0 as touch, case when p_size % 6 = 0 then 'engrave' end as operation
-  from part join customer on c_nationkey = p_partkey % 25)
+  from part join customer on c_custkey = p_partkey)
 , target as (select t.*, p.current_version_id as version_id from patches t join cprojects p on p.id = t.project_id where p.deleted_at is null)
 select l.id, l.group_id, l.version_id, coalesce(t.name, l.name) as name, l."order", coalesce(t.visible, l.visible) as visible, l.locked,
   case when t.touch then t.operation else l.operation end as operation from clayers l left join target t using (version_id, group_id)""")
 def patch_layers(spark, d):
     size = F.col("p_size")
-    patches = views.table(spark, d, "part").join(views.table(spark, d, "customer"), F.col("c_nationkey") == F.col("p_partkey") % 25).select(
+    patches = views.table(spark, d, "part").join(views.table(spark, d, "customer"), F.col("c_custkey") == F.col("p_partkey")).select(
         F.col("c_custkey").alias("project_id"), F.col("p_partkey").alias("group_id"), F.when(size < 20, F.col("p_name")).alias("name"),
         F.lit(None).cast("int").alias("order"), (size % 2 == 0).alias("visible"), F.lit(None).cast("boolean").alias("locked"),
         (size % 3 == 0).alias("touch_operation"), F.when(size % 6 == 0, "engrave").alias("operation"),

@@ -62,7 +62,7 @@ def cluster_colors(spark, d):
 @query("palette", _CLUSTERS + _TOTALS + f"""select image_id, cast(group_no as int) as group_no,
   printf('#%02x%02x%02x', {_mean('r')}, {_mean('g')}, {_mean('b')}) as color_hex,
   cast(sum(pixel_count) as bigint) as pixel_count, round(sum(pixel_count)/any_value(total)*100.0, 6) as area_percent,
-  bool_or(has_partial_alpha) as has_partial_alpha, round(any_value(transparent_percent), 6) as transparent_percent
+  bool_or(has_partial_alpha) as has_partial_alpha, round(any_value(transparent_percent), 6) as transparent_percent, any_value(step) as step
   from ranked join totals using (image_id) group by image_id, group_no""")
 def palette_exact(spark, d):
     return _rounded(palette.palette(views.px(spark, d), tolerance=0.0, tiny_ratio=0.0))
@@ -80,7 +80,7 @@ def palette_default(spark, d):
 @query("merge_tiny_groups", ctes("px") + _unique_sql("px", 512) + """select image_id, cast(0 as int) as group_no,
   cast(sum(pixel_count) as bigint) as pixel_count, count(*) as colours from colours group by image_id""")
 def merge_tiny_groups(spark, d):
-    """Every group is tiny against twice the visible area, so exactly one remains."""
+    """Every group is tiny against twice the visible area, so exactly one remains; other ratios are tested against the plain way."""
     found = palette.cluster_colors(palette.unique_colors(views.px(spark, d)), 12.0, None, tiny_ratio=2.0)
     return found.groupBy("image_id", "group_no").agg(
         F.sum("pixel_count").alias("pixel_count"), F.count("*").alias("colours")
