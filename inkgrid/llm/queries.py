@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgrid.llm import decontam, html_blocks, jaccard, licenses, lines, mixing, pst, quality, slots, warc
+from inkgrid.llm.common import written
 from inkgrid.session import run_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,7 +29,8 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as deduplicated WARC archives and read back, revisits joined to their originals."""
     folder = run_dir(spark, "warc")
     warc.write_deduplicated(_table(spark, sf_dir, "pages"), folder, min_bytes=0)
-    return warc.join_revisits(warc.read_archives(spark, folder)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    records = written(warc.read_archives(spark, folder).drop("block"), "warc-records")
+    return warc.join_revisits(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @_query

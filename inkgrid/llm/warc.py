@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkgrid.llm.common import written
+
 FILE_BYTES = 24 << 20
 RECORD = "record_id string, record_type string, page_id long, url string, payload_digest string, payload_bytes long, refers_to_id string, block binary"
 _END = b"\r\n\r\n"
@@ -47,7 +49,8 @@ def resolve(headers: DataFrame, min_bytes: int = 0) -> DataFrame:
     """
     large = headers.where(F.col("payload_bytes") >= min_bytes).select("page_id", "payload_digest")
     first = large.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
-    repeated = first.where((F.col("n") > 1) & F.col("first_id").isNotNull()).drop("n")
+    # Written, so that the join can be split where one digest has many records.
+    repeated = written(first.where((F.col("n") > 1) & F.col("first_id").isNotNull()).drop("n"), "warc-repeated")
     return large.join(repeated, "payload_digest").where(~F.col("page_id").eqNullSafe(F.col("first_id"))).select("page_id", "payload_digest", "first_id").distinct()
 
 
@@ -142,7 +145,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
 def join_revisits(records: DataFrame) -> DataFrame:
     """Adds ``payload_bytes`` and ``refers_to`` (the original's page id) to revisits; responses stay as they are."""
     originals = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("_bytes"))
-    originals = originals.dropDuplicates(["refers_to_id"])
+    originals = written(originals.dropDuplicates(["refers_to_id"]), "warc-originals")
     revisits = records.where("record_type = 'revisit'").join(originals, "refers_to_id", "left")
     columns = ["record_id", "record_type", "page_id", "url", "payload_digest"]
     return records.where("record_type = 'response'").select(*columns, "payload_bytes", F.lit(None).cast("long").alias("refers_to")).unionByName(
