@@ -9,15 +9,14 @@ from inkgrid.session import cut_lineage
 
 
 def _compressed(parent: DataFrame, scope: str) -> DataFrame:
-    """Follow ``id -> up`` until every row points at a root; every round looks four steps ahead."""
+    """Follow ``id -> up`` until every row points at a root; every pass looks four steps ahead and is written once."""
     while True:
-        state = parent.select(scope, "id", "up")
         for _ in range(2):
-            above = state.select(scope, F.col("id").alias("up"), F.col("up").alias("_next"))
-            state = state.join(above, [scope, "up"], "left").select(scope, "id", F.coalesce("_next", "up").alias("up"))
-        jumped = cut_lineage(state.join(parent.select(scope, "id", F.col("up").alias("_was")), [scope, "id"]))
-        parent = jumped.drop("_was")
-        if jumped.where("up <> _was").isEmpty():
+            above = parent.select(scope, F.col("id").alias("up"), F.col("up").alias("_next"))
+            parent = parent.join(above, [scope, "up"], "left").select(scope, "id", F.coalesce("_next", "up").alias("up"))
+        parent = cut_lineage(parent)
+        above = parent.select(scope, F.col("id").alias("up"), F.col("up").alias("_next"))
+        if parent.join(above, [scope, "up"]).where("_next <> up").isEmpty():
             return parent
 
 
