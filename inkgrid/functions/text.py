@@ -77,6 +77,11 @@ def simplification_key(epsilon: Column) -> Column:
     return F.concat(F.lit("epsilon="), _fixed6(epsilon))
 
 
+def vector_key() -> Column:
+    """The vector stage has no settings yet; the key is a fixed value."""
+    return F.lit("engine=vtracer")
+
+
 def dimension_key(width: Column, height: Column, lock: Column) -> Column:
     return F.concat(
         F.lit("width="), _fixed6(width), F.lit("|height="), _fixed6(height), F.lit("|lock="), F.initcap(lock.cast("string"))

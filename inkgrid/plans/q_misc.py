@@ -12,6 +12,7 @@ from inkgrid.plans.q_outlines import _SUBTEXT, _V, _docs
 from inkgrid.plans.registry import query
 from inkgrid.session import run_dir
 from inkgrid.sources import files
+from inkgrid.streaming import ingest
 
 
 def _t(spark, d, name):
@@ -124,6 +125,18 @@ def load_registry(spark, d):
     return files.load_registry(spark, folder, _RECORD, one_per_file=False).select("project_id", "version")
 
 
+@query("stream_latest", """select l_suppkey as project_id, max(l_orderkey*10+l_linenumber) as version, arg_max(concat(l_partkey, '-', l_linenumber), l_orderkey*10+l_linenumber) as key
+  from lineitem group by 1""")
+def stream_latest(spark, d):
+    """Records arrive as JSON files in two batches; the newest per project is kept."""
+    folder = run_dir(spark, "stream")
+    rows = _records(spark, d).withColumn("version", F.col("version") * 10 + F.split_part("key", F.lit("-"), F.lit(2)).cast("int"))
+    for part in (0, 1):
+        rows.where(F.pmod(F.xxhash64("version"), F.lit(2)) == part).select(F.to_json(F.struct("project_id", "version", "key")).alias("value")).write.mode("append").text(f"{folder}/in")
+        ingest.stream_latest(spark, f"{folder}/in", _RECORD, ["project_id"], "version", f"{folder}/out", f"{folder}/state", 16).awaitTermination()
+    return ingest.latest_snapshot(spark, _RECORD, f"{folder}/out")
+
+
 # ----------------------------------------------------------------- validation
 
 @query("validate_assets", """select l_orderkey, l_linenumber, case when not regexp_matches(lower(trim(l_returnflag || ['', ' x', '_svg'][l_linenumber%3+1])), '^[a-z0-9_-]{1,40}$') then 'invalid_type'
@@ -305,14 +318,14 @@ def clean_name(spark, d):
   concat('v=', o_orderkey%256, '|inv=', case when o_custkey%2=0 then 'True' else 'False' end) as threshold_key,
   concat('tolerance=', printf('%.6f', (o_orderkey%100)/4.0), ';maxColors=', case when o_custkey%3=0 then 'none' else cast(o_custkey%64 as varchar) end, ';tinyAreaRatio=0.001000') as palette_key,
   concat('epsilon=', printf('%.6f', (o_orderkey%100)/1000.0)) as simplification_key,
-  concat('width=', printf('%.6f', o_orderkey/8.0), '|height=', printf('%.6f', o_custkey/4.0), '|lock=True') as dimension_key from orders""")
+  concat('width=', printf('%.6f', o_orderkey/8.0), '|height=', printf('%.6f', o_custkey/4.0), '|lock=True') as dimension_key, 'engine=vtracer' as vector_key from orders""")
 def cache_key(spark, d):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     even = c % 2 == 0
     return _t(spark, d, "orders").select(
         "o_orderkey", text.preprocess_key(even, k % 30 / 10.0, k % 90, c % 10).alias("preprocess_key"), text.threshold_key(k % 256, even).alias("threshold_key"),
         text.palette_key(k % 100 / 4.0, F.when(c % 3 != 0, c % 64), F.lit(0.001)).alias("palette_key"),
-        text.simplification_key(k % 100 / 1000.0).alias("simplification_key"), text.dimension_key(k / 8.0, c / 4.0, F.lit(True)).alias("dimension_key"),
+        text.simplification_key(k % 100 / 1000.0).alias("simplification_key"), text.dimension_key(k / 8.0, c / 4.0, F.lit(True)).alias("dimension_key"), text.vector_key().alias("vector_key"),
     )
 
 

@@ -27,24 +27,39 @@ def idempotent_stream(uploads: DataFrame, key: str, ts: str | None = None, delay
 
 
 def stream_latest(
-    spark: SparkSession, folder: str, schema: T.StructType, keys: list[str], version: str, out: str, checkpoint: str
+    spark: SparkSession, folder: str, schema: T.StructType, keys: list[str], version: str, out: str, checkpoint: str, buckets: int = 64
 ):
     """Keeps the newest version per key from JSON records that arrive in ``folder``.
 
-    Every batch is merged with the last snapshot and written as a new one
-    (``out/batch=N``), so a batch that is run again gives the same snapshot.
+    Keys are hashed into buckets.  A batch reads and writes only the buckets it
+    touches, as ``out/batch=N/bucket=B``; the state of a bucket is in its latest
+    batch.  A batch that is run again writes the same files.
     """
     records = spark.readStream.schema(schema).option("recursiveFileLookup", "true").json(folder)
 
     def merge(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        fresh = batch.where(F.col(version).isNotNull())
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+        fresh = batch.where(F.col(version).isNotNull()).select(*schema.names, bucket)
         if number > 0:
-            fresh = fresh.unionByName(session.read.schema(schema).parquet(f"{out}/batch={number - 1}"))
-        latest_version(fresh, keys, version).select(*schema.names).write.mode("overwrite").parquet(f"{out}/batch={number}")
+            before = _stored(batch.sparkSession, schema, out).where(F.col("batch") < number)
+            touched = before.join(fresh.select("bucket").distinct(), "bucket", "left_semi")
+            fresh = fresh.unionByName(_newest_buckets(touched).select(*schema.names, "bucket"))
+        newest = latest_version(fresh, [*keys, "bucket"], version).select(*schema.names, "bucket")
+        newest.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/batch={number}")
 
     return records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_snapshot(spark: SparkSession, schema: T.StructType, out: str, batch: int) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{out}/batch={batch}")
+def _stored(spark: SparkSession, schema: T.StructType, out: str) -> DataFrame:
+    places = T.StructType([*schema.fields, T.StructField("batch", T.IntegerType()), T.StructField("bucket", T.IntegerType())])
+    return spark.read.schema(places).parquet(out)
+
+
+def _newest_buckets(stored: DataFrame) -> DataFrame:
+    latest = stored.groupBy("bucket").agg(F.max("batch").alias("batch"))
+    return stored.join(latest, ["bucket", "batch"], "left_semi")
+
+
+def latest_snapshot(spark: SparkSession, schema: T.StructType, out: str) -> DataFrame:
+    """The newest version of every key so far."""
+    return _newest_buckets(_stored(spark, schema, out)).select(*schema.names)

@@ -153,7 +153,7 @@ def test_streams(spark, tmp_path):
     for n, lines in enumerate((['{"key":"a","version":1,"name":"x"}', '{"key":"b","version":4,"name":"y"}'], ['{"key":"a","version":2,"name":"z"}', '{"key":"b","version":3,"name":"old"}'])):
         (src / f"{n}.json").write_text("\n".join(lines))
         ingest.stream_latest(spark, str(src), schema, ["key"], "version", out, str(tmp_path / "state")).awaitTermination()
-    got = {r.key: (r.version, r.name) for r in ingest.latest_snapshot(spark, schema, out, 1).collect()}
+    got = {r.key: (r.version, r.name) for r in ingest.latest_snapshot(spark, schema, out).collect()}
     assert got == {"a": (2, "z"), "b": (4, "y")}
 
     (src / "2.json").write_text('{"key":"","version":1}\n{"key":"","version":1}')
