@@ -9,6 +9,8 @@ from inkgrid.operators import pixels
 from inkgrid.plans import views
 from inkgrid.plans.registry import query
 from inkgrid.plans.views import ctes
+from inkgrid.session import run_dir
+from inkgrid.sources import files
 
 LUMA = "cast(floor((4899*r+9617*g+1868*b+8192)/16384.0) as int)"
 
@@ -65,6 +67,36 @@ def _blur_sql(source: str, strength: int) -> str:
 """
 
 
+def _png(px):
+    """PNG files of 8 x 8 images with alpha, as bytes: stored deflate blocks, checksums by formula."""
+    two = lambda v: F.lpad(F.hex(v), 2, "0")
+    pixels_ = F.sort_array(F.collect_list(F.struct("y", "x", F.concat(F.when(F.col("x") == 0, "00").otherwise(""), two("r"), two("g"), two("b"), two("a")).alias("h"))))
+    raw = px.groupBy("image_id").agg(F.array_join(F.transform(pixels_, lambda p: p["h"]), "").alias("raw"))
+    values = F.transform(F.sequence(F.lit(0), F.lit(263)), lambda i: F.conv(F.substring(F.col("raw"), (i * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("long"))
+    sums = F.aggregate(values, F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b")),
+                       lambda s, v: F.struct(((s["a"] + v) % 65521).alias("a"), ((s["b"] + s["a"] + v) % 65521).alias("b")))
+    adler = F.concat(F.lpad(F.hex(sums["b"]), 4, "0"), F.lpad(F.hex(sums["a"]), 4, "0"))
+    body = F.concat(F.lit("7801010801F7FE"), F.col("raw"), adler)  # one stored block of 264 bytes
+
+    def chunk(kind, data):
+        whole = F.concat(F.lit(kind), data)
+        return F.concat(F.lpad(F.hex((F.length(data) / 2).cast("int")), 8, "0"), whole, F.lpad(F.hex(F.crc32(F.unhex(whole))), 8, "0"))
+
+    head = F.lit("00000008000000080806000000")
+    return raw.select("image_id", F.unhex(F.concat(F.lit("89504E470D0A1A0A"), chunk("49484452", head), chunk("49444154", body), chunk("49454E44", F.lit("")))).alias("content"))
+
+
+@query("load_images", ctes("px") + "select y, x, b, g, r, a, count(*) as n from px group by 1,2,3,4,5,6")
+def load_images(spark, d):
+    """Images written as one PNG file each, decoded again, and counted by pixel."""
+    folder = run_dir(spark, "images")
+    pngs = _png(views.px(spark, d))
+    pngs.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    good, _ = files.load_images(spark, folder)
+    shown = pixels.explode_pixels(good)
+    return shown.groupBy("y", "x", "b", "g", "r", "a").agg(F.count("*").alias("n"))
+
+
 @query("denoise", ctes("px") + _blur_sql("px", 2) + "select pass2.*, px.a from pass2 join px using (image_id, y, x)")
 def denoise(spark, d):
     return pixels.denoise(views.px(spark, d), views.canvas(spark, d), 2)
