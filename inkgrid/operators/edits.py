@@ -142,13 +142,12 @@ def group_staleness(groups: DataFrame, analyses: DataFrame, components: DataFram
     )
 
 
-def apply_group_edits(edits: DataFrame, components: DataFrame, order: list[str], bucket: str = "day") -> DataFrame:
+def apply_group_edits(edits: DataFrame, components: DataFrame, order: list[str]) -> DataFrame:
     """Current logical groups after create / rename / ungroup edits.
 
     ``edits``: vector_id, group_id, action, name, component_ids, analysis_id and
     the order columns.  A group needs at least two distinct existing components;
     a blank name becomes ``Grupo n`` with n = live groups at that moment + 1.
-    ``order[0]`` is a timestamp; ``bucket`` is the unit its running count is cut by.
     """
     created = edits.where("action = 'create'").withColumn("component_ids", F.array_distinct("component_ids"))
     wanted = created.select("vector_id", "group_id", F.explode("component_ids").alias("component_id"))
@@ -165,8 +164,7 @@ def apply_group_edits(edits: DataFrame, components: DataFrame, order: list[str],
     ticks = starts.select("vector_id", F.col("_start").alias("_at"), F.lit(1).alias("_d")).unionByName(
         ended.select("vector_id", F.col("_end").alias("_at"), F.lit(-1).alias("_d"))
     )
-    day = F.date_trunc(bucket, F.col(f"_at.{order[0]}"))
-    live = running_total(ticks, ["vector_id"], day, ["_at"], "_d", "_live").where("_d = 1").select("vector_id", F.col("_at").alias("_start"), "_live")
+    live = running_total(ticks, ["vector_id"], ["_at"], "_d", "_live").where("_d = 1").select("vector_id", F.col("_at").alias("_start"), "_live")
     renames = edits.where((F.col("action") == "rename") & ~text.blank(F.col("name"))).select(
         "vector_id", "group_id", stamp.alias("_at"), text.trimmed(F.col("name")).alias("_new")
     )

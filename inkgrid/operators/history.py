@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrid.functions import text
+from inkgrid.session import cut_lineage
 
 
 def latest_version(history: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
@@ -22,36 +23,36 @@ def latest_version(history: DataFrame, keys: list[str], version: str = "version"
     return newest.groupBy(*keys, version).agg(F.max(F.struct(*rest)).alias("last")).select(*keys, version, "last.*")
 
 
-def running_total(df: DataFrame, keys: list[str], bucket: Column, order: list[str], value: str, name: str) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Running sum per key that does not sort a hot key in one task.
 
-    ``bucket`` must grow with the first order column.  Sums run inside
-    (key, bucket); the totals of earlier buckets are added.
+    Rows are dealt by ranges of (key, order), so a busy key runs over several
+    parts.  Sums run inside a part; the totals of the key's earlier parts are
+    added.  The parts are written, since the totals must see the same ones.
     """
-    cut = df.withColumn("_bucket", bucket)
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cut.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_n")).select(
-        *keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
+    ranged = df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    cut = cut_lineage(ranged)
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = cut.groupBy(*keys, "_part").agg(F.sum(value).alias("_n")).select(
+        *keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.withColumn("_local", F.sum(value).over(inside))
-    return local.join(offsets, [*keys, "_bucket"]).select(
+    return local.join(offsets, [*keys, "_part"]).select(
         *df.columns, (F.col("_local") + F.col("_offset")).alias(name)
     )
 
 
-def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[str], name: str) -> DataFrame:
-    """Row number per key, cut into buckets like :func:`running_total`."""
-    ones = running_total(df.withColumn("_one", F.lit(1)), keys, bucket, order, "_one", name)
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """Row number per key, cut into parts like :func:`running_total`."""
+    ones = running_total(df.withColumn("_one", F.lit(1)), keys, order, "_one", name)
     return ones.drop("_one")
 
 
-def assign_versions(
-    new: DataFrame, history: DataFrame, keys: list[str], order: list[str], bucket: Column
-) -> DataFrame:
+def assign_versions(new: DataFrame, history: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Version numbers of new rows: the key's previous maximum plus the arrival position."""
     top = history.groupBy(*keys).agg(F.max("version").alias("_top"))
-    return numbered(new, keys, bucket, order, "_n").join(top, keys, "left").select(
+    return numbered(new, keys, order, "_n").join(top, keys, "left").select(
         *new.columns, (F.col("_n") + F.coalesce("_top", F.lit(0))).alias("version")
     )
 

@@ -24,13 +24,9 @@ _HISTORY_KEYS = ["project_id", "image_id"]
 _ARRIVAL = ["created_at", "artifact_id", "seq"]
 
 
-def _month():
-    return F.date_trunc("month", "created_at")
-
-
 def _versioned(spark, d):
     rows = views.vector_history(spark, d)
-    return history.numbered(rows, _HISTORY_KEYS, _month(), _ARRIVAL, "version")
+    return history.numbered(rows, _HISTORY_KEYS, _ARRIVAL, "version")
 
 
 _VERSIONED = ctes("vector_history") + """, versioned as (select *, row_number() over (
@@ -54,9 +50,9 @@ select project_id, image_id, artifact_id, seq, created_at, n + coalesce(top, 0)
 def assign_versions(spark, d):
     rows = views.vector_history(spark, d)
     cut = F.lit("1998-01-01").cast("timestamp")
-    old = history.numbered(rows.where(F.col("created_at") < cut), _HISTORY_KEYS, _month(), _ARRIVAL, "version")
+    old = history.numbered(rows.where(F.col("created_at") < cut), _HISTORY_KEYS, _ARRIVAL, "version")
     fresh = rows.where(F.col("created_at") >= cut)
-    return history.assign_versions(fresh, old, _HISTORY_KEYS, _ARRIVAL, _month()).select(
+    return history.assign_versions(fresh, old, _HISTORY_KEYS, _ARRIVAL).select(
         *_HISTORY_KEYS, "artifact_id", "seq", "created_at", "version"
     )
 

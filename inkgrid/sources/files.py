@@ -123,9 +123,9 @@ def load_registry(spark: SparkSession, folder: str, schema: T.StructType, one_pe
     return rows.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
-def append_registry(rows: DataFrame, folder: str, partition: str = "project_id") -> None:
-    """Adds version rows; history is never rewritten."""
-    rows.write.mode("append").partitionBy(partition).parquet(folder)
+def append_registry(rows: DataFrame, folder: str, key: str = "project_id", buckets: int = 64) -> None:
+    """Adds version rows, filed by a hash of the key; history is never rewritten."""
+    rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).write.mode("append").partitionBy("bucket").parquet(folder)
 
 
 def read_registry(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
