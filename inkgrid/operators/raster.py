@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkgrid.operators.graph import cycle_positions
 from inkgrid.operators.masks import layer_contamination, layer_fidelity
+from inkgrid.operators.svg import svg_documents
 
 MASK = ["image_id", "mask_id"]
 
@@ -98,6 +99,21 @@ def ring_table(rings: DataFrame) -> DataFrame:
     )
 
 
+def mask_documents(mask_pixels: DataFrame, canvas: DataFrame, fills: DataFrame | None = None) -> DataFrame:
+    """Masks to SVG documents (``doc_id, svg``): one document per image, one even-odd path per mask that has pixels.
+
+    ``canvas`` holds image_id, width, height; ``fills`` image_id, mask_id, fill.
+    """
+    rings = trace_masks(mask_pixels)
+    order = Window.partitionBy(*MASK).orderBy("ring")
+    numbers = rings.select(*MASK, "ring").distinct().withColumn("subpath_index", F.row_number().over(order) - 1)
+    vertices = rings.join(numbers, [*MASK, "ring"]).select(
+        F.col("image_id").alias("doc_id"), F.col("mask_id").cast("int").alias("path_index"), "subpath_index", F.lit(True).alias("closed"), "i", "x", "y"
+    )
+    named = None if fills is None else fills.select(F.col("image_id").alias("doc_id"), F.col("mask_id").cast("int").alias("path_index"), "fill")
+    return svg_documents(vertices, canvas.select(F.col("image_id").alias("doc_id"), "width", "height"), named)
+
+
 def rasterize(edges: DataFrame, canvas: DataFrame, keys: list[str], canvas_keys: list[str]) -> DataFrame:
     """Pixels whose centre is inside by the even-odd rule over all edges of a key.
 

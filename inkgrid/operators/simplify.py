@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid.functions.geometry import perpendicular_distance
-from inkgrid.operators.svg import KEY
+from inkgrid.functions.svgtext import PATH_TAG, extract_subpaths, is_supported_path, without_comments
+from inkgrid.operators.outlines import drawing_bounds
+from inkgrid.operators.svg import KEY, path_text, svg_paths, svg_stats
 from inkgrid.session import cut_lineage
 
 PIECE_LIMIT = 50_000
@@ -119,6 +121,32 @@ def simplify(vertices: DataFrame, bounds: DataFrame, ratio: float, limit: int =
     return changed.unionByName(same)
 
 
+def simplified_documents(docs: DataFrame, ratio: float, limit: int = PIECE_LIMIT) -> DataFrame:
+    """``doc_id, svg`` with fewer nodes: only the data of paths made of M, L and Z is rewritten.
+
+    Paths are simplified in their own coordinates, whatever their transform; the
+    tolerance is a share of the whole drawing's diagonal.  Other paths, other
+    attributes and all other markup stay; comments go.
+    """
+    local = svg_paths(docs).where(is_supported_path(F.col("d"))).select(
+        "doc_id", "path_index", F.posexplode(extract_subpaths(F.col("d"))).alias("subpath_index", "s")
+    ).where(F.size("s.points") >= 2).select(*KEY, F.col("s.closed").alias("closed"), F.posexplode("s.points").alias("i", "p"))
+    vertices = cut_lineage(local.select(*KEY, "closed", "i", "p.x", "p.y"))
+    fewer = simplify(vertices, drawing_bounds(svg_stats(docs)), ratio, limit)
+    data = path_text(fewer).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("path_index", "d"))).alias("data"))
+    text = without_comments(F.col("svg"))
+    rows = docs.join(data, "doc_id", "left").select(
+        "doc_id", "data", F.split(text, PATH_TAG, -1).alias("between"), F.regexp_extract_all(text, F.lit(PATH_TAG), F.lit(0)).alias("tags")
+    )
+
+    def tag(i: Column) -> Column:
+        old = F.get("tags", i)
+        new = F.try_element_at("data", i)
+        return F.coalesce(F.when(new.isNotNull(), F.regexp_replace(old, F.lit(r"(\sd\s*=\s*)(\"[^\"]*\"|'[^']*')"), F.concat(F.lit('$1"'), new, F.lit('"')))), old, F.lit(""))
+
+    return rows.select("doc_id", F.array_join(F.transform("between", lambda part, i: F.concat(part, tag(i))), "").alias("svg"))
+
+
 def reduction(before: DataFrame, after: DataFrame) -> DataFrame:
     """Saved share of nodes per document, between 0 and 100."""
     b = before.groupBy("doc_id").agg(F.count("*").alias("nodes_before"))

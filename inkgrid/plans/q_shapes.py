@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkgrid.functions import svgtext
 from inkgrid.operators import outlines, raster, simplify, svg, union
 from inkgrid.plans import views
 from inkgrid.plans.q_outlines import _DISTS, _EDGES, _V
 from inkgrid.plans.registry import query
 from inkgrid.plans.views import ctes
+from inkgrid.session import cut_lineage
 
 # Lattice marks of the masks: which of the four pixels around a point are set.
 _MARKS = ctes("mask_pixels") + """, marks as (select image_id, mask_id, x+dx as x, y+dy as y, bit_or(b) as pattern from mask_pixels
@@ -80,6 +82,31 @@ def simplify_query(spark, d):
     return simplify.simplify(v, outlines.document_bounds(v), _RATIO).select("doc_id", "path_index", "subpath_index", "i", "x", "y")
 
 
+@query("simplified_documents", _SIMPLE.replace("{ratio}", repr(_RATIO)) + """, p as (select doc_id, count(distinct path_index) as paths from vertices group by 1)
+select doc_id, paths, count(*) as nodes, round(sum(x),3) as x, round(sum(y),3) as y from simple join p using (doc_id) group by 1,2""")
+def simplified_documents(spark, d):
+    """Documents written, simplified as text, and read again."""
+    docs = cut_lineage(svg.svg_documents(views.vertices(spark, d), views.vertices(spark, d).select("doc_id").distinct().withColumns({"width": F.lit(500), "height": F.lit(320)})))
+    fewer = cut_lineage(simplify.simplified_documents(docs, _RATIO))
+    paths = svg.svg_paths(fewer).groupBy("doc_id").agg(F.count("*").alias("paths"))
+    nodes = svg.svg_to_vertices(fewer).groupBy("doc_id").agg(F.count("*").alias("nodes"), F.round(F.sum("x"), 3).alias("x"), F.round(F.sum("y"), 3).alias("y"))
+    return nodes.join(paths, "doc_id").select("doc_id", "paths", "nodes", "x", "y")
+
+
+@query("mask_documents", ctes("mask_pixels") + """, named as (select image_id, mask_id, dense_rank() over (partition by image_id order by mask_id) - 1 as path_index
+  from (select distinct image_id, mask_id from mask_pixels))
+select image_id as doc_id, cast(path_index as int) as path_index, printf('#%06x', (mask_id*7919+image_id)%16777216) as fill, cast(y as int) as y, cast(x as int) as x
+  from mask_pixels join named using (image_id, mask_id)""")
+def mask_documents(spark, d):
+    """Masks to documents with fills; parsed and filled again, each path gives exactly the pixels of its mask."""
+    fills = views.masks(spark, d).select("image_id", "mask_id", F.concat(F.lit("#"), F.lower(F.lpad(F.hex((F.col("mask_id") * 7919 + F.col("image_id")) % 16777216), 6, "0"))).alias("fill"))
+    docs = cut_lineage(raster.mask_documents(views.mask_pixels(spark, d), views.canvas(spark, d), fills))
+    canvas = views.canvas(spark, d).select(F.col("image_id").alias("doc_id"), "width", "height")
+    filled = raster.rasterize(outlines.edges(svg.svg_to_vertices(docs)), canvas, ["doc_id", "path_index"], ["doc_id"])
+    colour = svg.svg_paths(docs).select("doc_id", "path_index", svgtext.attribute(F.col("tag"), "fill").alias("fill"))
+    return filled.join(colour, ["doc_id", "path_index"]).select("doc_id", "path_index", "fill", "y", "x")
+
+
 @query("reduction_percent", _SIMPLE.replace("{ratio}", repr(_RATIO)) + """, b as (select doc_id, count(*) as nodes_before from vertices group by 1)
 , a as (select doc_id, count(*) as nodes_after from simple group by 1)
 select doc_id, nodes_before, nodes_after, round((nodes_before-nodes_after)/nodes_before*100.0,6) as reduction_percent from b join a using (doc_id)""")
