@@ -185,17 +185,28 @@ def bridge_plan(spark, d):
     )
 
 
-@query("union_pieces", _V + _EDGES + """select distinct doc_id*8 + cast(floor(path_index%40/8) as bigint) as selection_id, cast(1 as bigint) as regions, true as accepted
-  from rings""")
+# Bridges lie on the common upper line of a row.  They run into a shape of the row above where that is tall enough.
+_BRIDGES = """, steps as (select doc_id, cast(floor(path_index%40/8) as bigint) as line, x0, y0, lag(x1) over (partition by doc_id, floor(path_index%40/8) order by x0, path_index) as before
+  from rings where subpath_index = 0)
+, bars as (select s.doc_id, line, y0 - w/2 as top, before - greatest(w, (x0-before)*0.05) as lo, x0 + greatest(w, (x0-before)*0.05) as hi
+  from steps s join (select doc_id, diagonal, greatest(diagonal*0.02, diagonal*0.004) as w from box) b using (doc_id) where x0 - before > diagonal*0.001)
+, runs_into as (select distinct b.doc_id*8+b.line as selection_id from bars b join rings r on r.doc_id = b.doc_id and floor(r.path_index%40/8) = b.line-1 and r.subpath_index = 0
+  where r.y1-1 >= ceil(top-0.5) and r.x0 <= ceil(hi-0.5)-1 and r.x1-1 >= ceil(lo-0.5))
+"""
+
+
+@query("union_pieces", _V + _EDGES + _BRIDGES + """select distinct doc_id*8 + cast(floor(path_index%40/8) as bigint) as selection_id, cast(1 as bigint) as regions,
+  doc_id*8 + cast(floor(path_index%40/8) as bigint) not in (select selection_id from runs_into) as accepted from rings""")
 def union_pieces(spark, d):
-    """Every selection, with its bridges, becomes exactly one region."""
+    """Every selection, with its bridges, becomes one region; refused where a bridge runs into a piece that was not selected."""
     members, sizes = _members(spark, d), _sizes(spark, d)
     canvas = sizes.select("selection_id", F.lit(500).alias("width"), F.lit(320).alias("height"))
     ring = outlines.edges(views.vertices(spark, d)).join(members, svg.KEY).select("selection_id", "piece", "x1", "y1", "x2", "y2")
     pieces = raster.rasterize(ring, canvas, ["selection_id", "piece"], ["selection_id"])
     bridges = union.bridge_edges(union.bridge_plan(_tree(spark, d), sizes))
     spans = raster.rasterize(bridges, canvas, ["selection_id", "src", "dst"], ["selection_id"])
-    others = pieces.limit(0)
+    rest = pieces.select(F.floor(F.col("selection_id") / 8).alias("doc_id"), F.col("selection_id").alias("_own"), "y", "x")
+    others = sizes.select("selection_id", "doc_id").join(rest, "doc_id").where(F.col("_own") != F.col("selection_id")).select("selection_id", "y", "x")
     return union.fuse(pieces, spans, others).select("selection_id", "regions", "accepted")
 
 
