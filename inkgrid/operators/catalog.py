@@ -95,9 +95,15 @@ def create_projects(projects: DataFrame, requests: DataFrame, now: Column) -> tu
     return projects.unionByName(fresh, allowMissingColumns=True), checked.where("_reason is not null").select("id", F.col("_reason").alias("reason"))
 
 
+def _one_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Several rows of one key become the one that sorts last, so that a join with them cannot double anything."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*keys, "_row.*")
+
+
 def update_projects(projects: DataFrame, patches: DataFrame, fields: list[str], now: Column) -> DataFrame:
-    """Null patch fields keep the old value; patched live projects are updated now."""
-    p = patches.select("id", F.lit(True).alias("_hit"), *[F.col(f).alias(f"_{f}") for f in fields])
+    """Null patch fields keep the old value; patched live projects are updated now.  Of several patches for one id one counts."""
+    p = _one_per_key(patches.select("id", F.lit(True).alias("_hit"), *[F.col(f).alias(f"_{f}") for f in fields]), ["id"])
     hit = F.col("_hit") & F.col("deleted_at").isNull()
     columns = []
     for c in projects.columns:
@@ -259,12 +265,14 @@ def patch_layers(catalog: Catalog, patches: DataFrame) -> DataFrame:
     """Layers of the current versions after patches (``project_id, group_id, ...``).
 
     Null keeps a value; the operation is replaced, even by null, when touched.
+    Of several patches for one layer one counts.
     """
     pointer = live_projects(catalog["projects"]).select(F.col("id").alias("project_id"), F.col("current_version_id").alias("version_id"))
     p = patches.join(pointer, "project_id").select(
         "version_id", "group_id", F.lit(True).alias("_hit"), F.col("touch_operation").alias("_touch"),
         *[F.col(c).alias(f"_{c}") for c in ("name", "order", "visible", "locked", "operation")],
     )
+    p = _one_per_key(p, ["version_id", "group_id"])
     columns = []
     for c in catalog["layers"].columns:
         if c in ("name", "order", "visible", "locked"):

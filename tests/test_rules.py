@@ -159,3 +159,10 @@ def test_colour_groups_against_the_plain_way():
             held[i].extend(held.pop(j))
         mine = groups.numbers()
         assert {frozenset(m) for m in held} == {frozenset(np.flatnonzero(mine == g).tolist()) for g in set(mine.tolist())}, trial
+
+
+def test_two_patches_do_not_double_a_project(spark):
+    projects = spark.createDataFrame([(1, "old", None, None)], "id long, name string, updated_at timestamp, deleted_at timestamp")
+    patches = spark.createDataFrame([(1, "a"), (1, "b"), (1, None)], "id long, name string")
+    rows = catalog.update_projects(projects, patches, ["name"], F.lit("2024-01-01").cast("timestamp")).collect()
+    assert [(r["id"], r["name"]) for r in rows] == [(1, "b")]
