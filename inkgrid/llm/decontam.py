@@ -23,7 +23,7 @@ from inkgrid.llm.common import payloads, span_hashes
 Q = 12
 EDITS = 0.05
 BLOCK_CHARS = 1 << 22
-_BITS = 22
+_BITS = 21
 MATCH = "uid long, doc_id long, item_id long, start long, stop long, edits int, shared int"
 
 
@@ -57,7 +57,7 @@ class Items:
     def matches(self, text: bytes) -> list[tuple[int, int, int, int, int]]:
         """``item index, start, stop, edits, shared``: the best region of every run of overlapping ones."""
         grams = rolling(text, self.q)
-        near = np.flatnonzero(self.seen[(grams >> np.uint64(64 - _BITS)).astype(np.int64)])
+        near = np.flatnonzero(self.seen[(grams >> np.uint64(64 - _BITS)).view(np.int64)])
         first = np.searchsorted(self.gram, grams[near], "left")
         times = np.searchsorted(self.gram, grams[near], "right") - first
         if not times.any():
@@ -65,6 +65,13 @@ class Items:
         pos = np.repeat(near, times)
         spread = np.repeat(first - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
         item, at = self.item[spread], self.at[spread]
+        # An item with fewer hits in the whole text than one band needs cannot match.
+        ids, back, hits = np.unique(item, return_inverse=True, return_counts=True)
+        enough = hits >= self.bound[ids]
+        if not enough.any():
+            return []
+        held = enough[back]
+        pos, item, at = pos[held], item[held], at[held]
         width = self.allowed[item] + 1
         diagonal = pos - at + (1 << 40)
         found: dict[int, list[tuple[int, int, int, int, int]]] = {}
@@ -75,7 +82,14 @@ class Items:
             for k in np.flatnonzero(shared >= self.bound[keys[0]]):
                 i, w = int(keys[0, k]), int(self.allowed[keys[0, k]]) + 1
                 low = int(keys[1, k]) * 2 * w - shift * w - (1 << 40)
-                hit = aligned(self.texts[i], text, low, low + 2 * w - 1, int(self.allowed[i]))
+                length = len(self.texts[i])
+                if any(edits == 0 and low <= start < low + 2 * w for start, _, edits, _ in found.get(i, ())):
+                    continue  # the other bands already gave the region without an edit
+                # The band's commonest diagonal needs no alignment where the item stands on it letter by letter.
+                here, votes = np.unique(diagonal[(item == i) & (band == keys[1, k])], return_counts=True)
+                start = int(here[votes.argmax()]) - (1 << 40)
+                same = start >= 0 and text[start:start + length] == self.texts[i]
+                hit = (start, start + length, 0) if same else aligned(self.texts[i], text, low, low + 2 * w - 1, int(self.allowed[i]))
                 if hit:
                     found.setdefault(i, []).append((*hit, int(shared[k])))
         out = []
@@ -93,10 +107,22 @@ class Items:
 
 
 def rolling(text: bytes, q: int) -> np.ndarray:
-    if len(text) < q:
+    """A hash of the q bytes from each position on: of the two 8-byte words that cover them."""
+    n = len(text) - q + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    starts = np.arange(len(text) - q + 1)
-    return span_hashes(text, starts, starts + q)
+    if q < 8:
+        starts = np.arange(n)
+        return span_hashes(text, starts, starts + q)
+    words = np.empty(len(text) - 7, np.uint64)
+    for k in range(8):
+        if len(text) - k >= 8:
+            words[k::8] = np.frombuffer(text, "<u8", (len(text) - k) // 8, k)
+    grams = words[:n] * np.uint64(0x9E3779B97F4A7C15)
+    grams ^= words[q - 8:] * np.uint64(0xC2B2AE3D27D4EB4F)
+    grams ^= grams >> np.uint64(29)
+    grams *= np.uint64(0xBF58476D1CE4E5B9)
+    return grams
 
 
 def aligned(item: bytes, text: bytes, low: int, high: int, allowed: int) -> tuple[int, int, int] | None:
