@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkgrid.llm.common import written
@@ -74,8 +74,10 @@ def write_deduplicated(pages: DataFrame, folder: str, min_bytes: int = 0, file_b
     total = rows.agg(F.sum("payload_bytes"), F.count(F.lit(1))).first()
     files = max(1, -(-((total[0] or 0) + 600 * total[1]) // file_bytes))
     key = F.concat_ws(" ", F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.col("payload_digest"))
-    revisits = resolve(headers, min_bytes).select(key.alias("_key"), "first_id").repartition(files, "_key")
-    dealt = rows.withColumn("_key", key).repartition(files, "_key").join(revisits.hint("merge"), "_key", "left")
+    # Payloads and decisions are dealt together, so that the payload is shuffled once, straight to its file.
+    revisits = resolve(headers, min_bytes).select(key.alias("_key"), "first_id", F.lit(True).alias("_told"))
+    dealt = rows.withColumn("_key", key).unionByName(revisits, allowMissingColumns=True).repartition(files, "_key")
+    dealt = dealt.withColumn("first_id", F.max("first_id").over(Window.partitionBy("_key"))).where("_told is null")
     again = F.col("first_id").isNotNull()
     head = [
         F.lit("WARC/1.1"),
