@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Rules:
     trusted, corpus = corpus_counts(docs, set(chosen[0][::2]))
     ratio = log_ratio(trusted, corpus)
     known = docs.sparkSession.createDataFrame([(i, q) for q, ids in ((1, chosen[0][1::2]), (0, chosen[1])) for i in ids], "_id long, q int")
-    scored = apply_rules(docs.join(F.broadcast(known), F.col("doc_id") == F.col("_id"), "left_semi"), Rules(ratio, -math.inf)).where("kept")
+    scored = apply_rules(docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id"), "left_semi"), Rules(ratio, -math.inf)).where("kept")
     scored = scored.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).groupBy("_id", "q").agg(F.min("score").alias("score")).collect()  # at most 2 * sample rows
     return Rules(ratio, best_threshold(*[[r["score"] for r in scored if r["q"] == q] for q in (1, 0)]))
 
