@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkgrid.session import run_dir
@@ -76,3 +77,23 @@ def fixed_table(rows: DataFrame, fold: Callable[[Iterator[pa.RecordBatch]], Iter
     """Sum ``part, cells`` rows of a sketch of fixed size by part and bring the (fixed number of) parts to the driver."""
     parts = rows.repartition("part").mapInArrow(fold, schema)
     return {r["part"]: bytes(r["cells"]) for r in parts.collect()}
+
+
+def numbered(df: DataFrame, keys: list[str], order: list[Column], label: str) -> DataFrame:
+    """Adds ``pos`` (0, 1, 2, ... within ``keys`` by ``order``) and ``n`` (rows of the key); keys must not be null.
+
+    Rows are dealt by ranges of key and order, sorted within their range and written,
+    so no key is sorted in one task; a range's first place follows from the counts
+    of the ranges before it.  The order should end in a column that differs in
+    every row, otherwise equal rows share a range.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    by = [*[F.col(k).asc() for k in keys], *order]
+    ranged = df.repartitionByRange(parts, *by).sortWithinPartitions(*by)
+    rows = written(ranged.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), label)
+    counts = rows.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_count"), F.min("_at").alias("_first"))
+    key = W.partitionBy(*keys)  # at most one row per range
+    counts = counts.select(*keys, "_part", "_first", F.sum("_count").over(key).alias("n"),
+                           (F.sum("_count").over(key.orderBy("_part")) - F.col("_count")).alias("_ahead"))
+    return rows.join(counts, [*keys, "_part"]).withColumn("pos", F.col("_at") - F.col("_first") + F.col("_ahead")).drop("_at", "_part", "_first", "_ahead")
