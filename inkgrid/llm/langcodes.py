@@ -133,8 +133,10 @@ class Model:
 
     def decode(self, texts: list[bytes]) -> np.ndarray:
         """Text x language: shares that add up to 1, from the weighted losses of the codewords."""
+        if not self.code.size or not texts:  # no language, or one alone
+            return np.ones((len(texts), len(self.langs)))
         pull = self.margins(texts) * self.slope
-        loss = np.stack([(np.logaddexp(0, -pull * word) * self.weight).sum(axis=1) for word in self.code.astype(float)], axis=1) if self.code.size else np.zeros((len(texts), len(self.langs)))
+        loss = np.stack([(np.logaddexp(0, -pull * word) * self.weight).sum(axis=1) for word in self.code.astype(float)], axis=1)
         share = np.exp(loss.min(axis=1, keepdims=True) - loss)
         return share / share.sum(axis=1, keepdims=True)
 
@@ -223,11 +225,14 @@ def sample_margins(train: DataFrame, model: Model, sample: int) -> list[Row]:
 
 
 def slope(right: np.ndarray) -> float:
-    """The factor under which the logistic loss of signed margins is least, by bisection on its derivative."""
-    low, high = 0.0, 50.0
+    """The factor of signed margins under which the logistic loss is least, by bisection on its derivative.
+
+    The aim is not certainty but (n + 1) / (n + 2), so sides that never mix get a finite slope.
+    """
+    low, high, aim = 0.0, 50.0, (len(right) + 1) / (len(right) + 2)
     for _ in range(40):
         mid = (low + high) / 2
-        if (right / (1 + np.exp(np.clip(mid * right, -500, 500)))).sum() > 0:
+        if (right * (aim - 1 / (1 + np.exp(-np.clip(mid * right, -500, 500))))).sum() > 0:
             low = mid
         else:
             high = mid
