@@ -3,7 +3,8 @@
 Text is exploded into lines, every line hashed after normalising, distinct
 documents counted per hash, and the lines over the threshold removed while the
 others are put back by position.  Only hashes and positions are shuffled for the
-counting; the text itself moves once, to meet the positions to drop.
+counting; the text itself moves once, to meet a mask of the lines to drop, so a
+text is taken apart and put together in time linear in its lines.
 """
 
 from __future__ import annotations
@@ -30,6 +31,12 @@ def shared_lines(lines: DataFrame, min_docs: int) -> DataFrame:
     return once.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("key")
 
 
+def mask_of(positions: Column) -> Column:
+    """Ascending distinct positions as an array that is true at each of them and false before."""
+    before = F.slice(F.concat(F.array(F.lit(-1)), positions), 1, F.size(positions))
+    return F.flatten(F.zip_with(positions, before, lambda at, last: F.concat(F.array_repeat(F.lit(False), at - last - 1), F.array(F.lit(True)))))
+
+
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """``doc_id, text, n_lines, n_dropped``: every document without its lines found in ``min_docs`` documents or more.
 
@@ -49,10 +56,9 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
     # What is dropped depends on the text alone, so the positions are keyed by its hash, not by an id that may repeat.
     # The small sides of both joins are written first: then a hot line or a hot text can be split between tasks.
     shared = written(shared_lines(lines, min_docs), "shared-lines")
-    drops = written(lines.select("_of", "pos", "key").join(shared, "key").groupBy("_of").agg(F.collect_set("pos").alias("gone")), "line-drops")
+    gone = lines.select("_of", "pos", "key").join(shared, "key").groupBy("_of").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    drops = written(gone.select("_of", F.size("gone").cast("long").alias("n_gone"), mask_of(F.col("gone")).alias("mask")), "line-drops")
     split = F.split("text", "\n", -1)
-    gone = F.coalesce("gone", F.array().cast("array<int>"))
-    kept = F.when(F.size(gone) == 0, F.col("text")).otherwise(
-        F.array_join(F.filter(split, lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    )
-    return base.join(drops, "_of", "left").select("doc_id", kept.alias("text"), F.size(split).cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_dropped"))
+    kept = F.when(F.col("mask").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda _, i: ~F.coalesce(F.get(F.col("mask"), i), F.lit(False))), "\n"))
+    joined = base.join(drops, "_of", "left")
+    return joined.select("doc_id", kept.alias("text"), F.size(split).cast("long").alias("n_lines"), F.coalesce("n_gone", F.lit(0).cast("long")).alias("n_dropped"))
