@@ -2,11 +2,14 @@
 
 A region that matches an item of length m within e edits shares at least
 m - q + 1 - q*e of the item's q-grams, all on diagonals at most e apart.  Shared
-q-grams are counted in overlapping bands of diagonals, bands that reach the bound
-are aligned inside the band, and regions within the budget are returned.
+q-grams are counted in overlapping bands of diagonals.  A band that reaches the
+bound must also share enough of the item's short grams with its stretch of text (a
+bit set per item and stretch, compared for all items at once), which is what
+rejects items that have only a common beginning with it.  The others are aligned
+inside their band, and regions within the budget are returned.
 
 The items are a query set.  They are compared with all documents in blocks of at
-most ``BLOCK_CHARS`` characters, so what is sent to the tasks has a fixed size.
+most ``BLOCK_CHARS`` characters, one block at a time on the driver and in the tasks.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgrid.llm.common import payloads, span_hashes
+from inkgrid.llm.common import payloads, span_hashes, written
 
 Q = 12
 EDITS = 0.05
@@ -38,12 +41,14 @@ def budget(length: int, edits: float, q: int) -> int:
 
 
 class Items:
-    """The q-grams of a block of items, sorted by hash, with a bit table in front."""
+    """The q-grams of a block of items, sorted by hash, with a bit table in front; the short grams of each item as bits."""
 
     def __init__(self, items: list[tuple[int, bytes]], q: int, edits: float):
         self.q, self.ids, self.texts = q, [i for i, _ in items], [t for _, t in items]
+        self.length = np.array([len(t) for t in self.texts], np.int64)
         self.allowed = np.array([budget(len(t), edits, q) for t in self.texts], np.int64)
-        self.bound = np.array([len(t) - q + 1 - q * int(e) for t, e in zip(self.texts, self.allowed, strict=True)], np.int64)
+        self.bound = self.length - q + 1 - q * self.allowed
+        self.at_bits = max(map(len, self.texts), default=0).bit_length()
         grams, item, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k, text in enumerate(self.texts):
             found = rolling(text, q)
@@ -53,6 +58,16 @@ class Items:
         self.gram, self.item, self.at = gram[order], self.item[order], self.at[order]
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.gram >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        self.signs = np.array([short_grams(t) for t in self.texts], np.uint64).reshape(-1, SIGN_WORDS)
+        # An edit changes at most SHORT_Q short grams, so so many bits at most go missing.
+        self.need = np.bitwise_count(self.signs).sum(axis=1).astype(np.int64) - SHORT_Q * self.allowed
+        self.masks: dict[int, tuple[dict[int, int], dict[int, int]]] = {}
+
+    def letters(self, i: int) -> tuple[dict[int, int], dict[int, int]]:
+        """Per letter of item ``i`` the bits of its places, from the front and from the back."""
+        if i not in self.masks:
+            self.masks[i] = places(self.texts[i]), places(self.texts[i][::-1])
+        return self.masks[i]
 
     def matches(self, text: bytes) -> list[tuple[int, int, int, int, int]]:
         """``item index, start, stop, edits, shared``: the best region of every run of overlapping ones."""
@@ -73,23 +88,35 @@ class Items:
         held = enough[back]
         pos, item, at = pos[held], item[held], at[held]
         width = self.allowed[item] + 1
-        diagonal = pos - at + (1 << 40)
+        diagonal = pos - at
+        shift_by = -min(0, int(diagonal.min()))
+        diagonal += shift_by  # so that none is negative
         found: dict[int, list[tuple[int, int, int, int, int]]] = {}
+        signs: dict[tuple[int, int], np.ndarray] = {}
         for shift in (0, 1):  # bands of twice the width, the second set half a band later: any run of `width` diagonals lies inside one
             band = (diagonal + shift * width) // (2 * width)
-            rows = np.unique(np.stack([item, band, at]), axis=1)
-            keys, begin, shared = np.unique(rows[:2], axis=1, return_index=True, return_counts=True)
-            for k in np.flatnonzero(shared >= self.bound[keys[0]]):
-                i, w = int(keys[0, k]), int(self.allowed[keys[0, k]]) + 1
-                low = int(keys[1, k]) * 2 * w - shift * w - (1 << 40)
-                length = len(self.texts[i])
-                if any(edits == 0 and low <= start < low + 2 * w for start, _, edits, _ in found.get(i, ())):
+            keys, back = np.unique(item << 40 | band, return_inverse=True)
+            shared = np.bincount(np.unique(back << self.at_bits | at) >> self.at_bits, minlength=len(keys))
+            owner = keys >> 40
+            able = np.flatnonzero(shared >= self.bound[owner])
+            if not len(able):
+                continue
+            wide = self.allowed[owner[able]] + 1
+            low = (keys[able] & ((1 << 40) - 1)) * 2 * wide - shift * wide - shift_by
+            able, low = self._alike(text, owner, able, low, signs)
+            order = np.argsort(back, kind="stable")
+            starts = np.searchsorted(back[order], able)
+            stops = np.searchsorted(back[order], able, "right")
+            for k, lo, start, stop in zip(able.tolist(), low.tolist(), starts.tolist(), stops.tolist(), strict=True):
+                i = int(owner[k])
+                w, length = int(self.allowed[i]) + 1, len(self.texts[i])
+                if any(edits == 0 and lo <= begin < lo + 2 * w for begin, _, edits, _ in found.get(i, ())):
                     continue  # the other bands already gave the region without an edit
                 # The band's commonest diagonal needs no alignment where the item stands on it letter by letter.
-                here, votes = np.unique(diagonal[(item == i) & (band == keys[1, k])], return_counts=True)
-                start = int(here[votes.argmax()]) - (1 << 40)
-                same = start >= 0 and text[start:start + length] == self.texts[i]
-                hit = (start, start + length, 0) if same else aligned(self.texts[i], text, low, low + 2 * w - 1, int(self.allowed[i]))
+                here, votes = np.unique(diagonal[order[start:stop]], return_counts=True)
+                begin = int(here[votes.argmax()]) - shift_by
+                same = begin >= 0 and text[begin:begin + length] == self.texts[i]
+                hit = (begin, begin + length, 0) if same else aligned(*self.letters(i), length, text, lo, lo + 2 * w - 1, int(self.allowed[i]))
                 if hit:
                     found.setdefault(i, []).append((*hit, int(shared[k])))
         out = []
@@ -105,6 +132,44 @@ class Items:
             out.append((i, *last))
         return out
 
+    def _alike(self, text: bytes, owner: np.ndarray, able: np.ndarray, low: np.ndarray, signs: dict[tuple[int, int], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The bands whose stretch of text holds enough short grams of the item; stretches are cut at multiples of 64, so many items share one."""
+        items = owner[able]
+        start = np.maximum(low - self.allowed[items], 0) // 64 * 64
+        stop = -(-(low + 3 * self.allowed[items] + 2 + self.length[items]) // 64) * 64
+        stretches, back = np.unique(np.stack([start, stop]), axis=1, return_inverse=True)
+        kept = np.zeros(len(able), bool)
+        order = np.argsort(back, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(back[order])) + 1):
+            begin, end = map(int, stretches[:, back[group[0]]])
+            if (begin, end) not in signs:
+                signs[begin, end] = short_grams(text[begin:end])
+            both = np.bitwise_count(self.signs[items[group]] & signs[begin, end]).sum(axis=1)
+            kept[group] = both >= self.need[items[group]]
+        return able[kept], low[kept]
+
+
+SHORT_Q, SIGN_WORDS = 4, 64
+
+
+def short_grams(text: bytes) -> np.ndarray:
+    """The hashed 4-byte grams of a text as 4096 bits."""
+    bits = np.zeros(SIGN_WORDS * 64, bool)
+    if len(text) >= SHORT_Q:
+        data = np.frombuffer(text, np.uint8).astype(np.uint32)
+        n = len(data) - SHORT_Q + 1
+        code = data[:n] | data[1:n + 1] << np.uint32(8) | data[2:n + 2] << np.uint32(16) | data[3:n + 3] << np.uint32(24)
+        bits[(code * np.uint32(0x9E3779B1)) >> np.uint32(20)] = True
+    return np.packbits(bits).view(np.uint64)
+
+
+def places(text: bytes) -> dict[int, int]:
+    """Per letter an integer whose bits are the places of the letter."""
+    out: dict[int, int] = {}
+    for k, letter in enumerate(text):
+        out[letter] = out.get(letter, 0) | 1 << k
+    return out
+
 
 def rolling(text: bytes, q: int) -> np.ndarray:
     """A hash of the q bytes from each position on: of the two 8-byte words that cover them."""
@@ -125,54 +190,60 @@ def rolling(text: bytes, q: int) -> np.ndarray:
     return grams
 
 
-def aligned(item: bytes, text: bytes, low: int, high: int, allowed: int) -> tuple[int, int, int] | None:
-    """``start, stop, edits`` of the whole item in ``text`` along diagonals ``low`` to ``high``; the ends of the text are free.
+def distances(masks: dict[int, int], length: int, text: bytes, free_start: bool) -> Iterator[int]:
+    """After each letter of ``text`` the least edits between the whole item and a stretch that ends there.
 
-    Row by row over the item; cells are diagonals, padded by the budget on both sides.
+    A column of the edit table is held as the signs of its differences, one bit a
+    cell in two integers, so a letter takes a dozen integer operations (Myers).  The
+    stretch may begin anywhere, or at the first letter only.
     """
-    lo, hi = low - allowed, high + allowed
-    n, width = len(text), hi - lo + 1
-    big = 1 << 20
-    data = np.frombuffer(text, np.uint8)
-    pattern = np.frombuffer(item, np.uint8)
-    columns = np.arange(lo, hi + 1)
-    cost = np.where((columns >= 0) & (columns <= n), 0, big)
-    origin = columns.copy()
-    steps = np.arange(width)
-    for r in range(len(pattern)):
-        j = columns + r  # text position that the diagonal compares with this letter
-        inside = (j >= 0) & (j < n)
-        same = np.zeros(width, bool)
-        same[inside] = data[j[inside]] == pattern[r]
-        straight = np.where(inside, cost + ~same, big)
-        skip = np.append(cost[1:] + 1, big)  # the letter is missing in the text
-        take_skip = skip < straight
-        now = np.where(take_skip, skip, straight)
-        start = np.where(take_skip, np.append(origin[1:], 0), origin)
-        now = np.where((j + 1 >= 0) & (j + 1 <= n), now, big)
-        # A letter too many in the text: from the left along the row.
-        best = np.minimum.accumulate((now - steps) * width + steps)
-        source = best % width
-        start, now = start[source], now[source] + (steps - source)
-        now = np.where((j + 1 >= 0) & (j + 1 <= n), now, big)
-        cost, origin = now, start
-    k = int(np.argmin(cost))
-    return (int(origin[k]), int(columns[k] + len(pattern)), int(cost[k])) if cost[k] <= allowed else None
-
-
-def item_blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> list[list[tuple[int, bytes]]]:
-    """The distinct items in blocks of at most ``chars`` bytes, one block on the driver at a time would do; ids ascending."""
+    full, top = (1 << length) - 1, 1 << (length - 1)
+    up, down, edits = full, 0, length
+    begin = 0 if free_start else 1
+    for letter in text:
+        same = masks.get(letter, 0)
+        vertical = same | down
+        across = (((same & up) + up) ^ up) | same
+        right, left = down | ~(across | up) & full, up & across
+        if right & top:
+            edits += 1
+        elif left & top:
+            edits -= 1
+        right, left = (right << 1 | begin) & full, left << 1 & full
+        up, down = left | ~(vertical | right) & full, right & vertical
+        yield edits
+
+
+def aligned(forward: dict[int, int], backward: dict[int, int], length: int, text: bytes, low: int, high: int, allowed: int) -> tuple[int, int, int] | None:
+    """``start, stop, edits`` of the whole item in the stretch of ``text`` that diagonals ``low`` to ``high`` and the budget reach, the best and first one."""
+    first, last = max(0, low - allowed), min(len(text), high + length + allowed)
+    best, stop = allowed + 1, 0
+    for k, edits in enumerate(distances(forward, length, text[first:last], True), first + 1):
+        if edits < best:
+            best, stop = edits, k
+    if best > allowed:
+        return None
+    start = stop
+    for k, edits in enumerate(distances(backward, length, text[max(first, stop - length - best):stop][::-1], False), 1):
+        if edits == best:
+            start = stop - k
+            break
+    return start, stop, best
+
+
+def item_blocks(benchmark: DataFrame, chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, bytes]]]:
+    """The distinct items in blocks of at most ``chars`` bytes, ids ascending; the driver holds one block at a time."""
     rows = benchmark.where(F.col("text").isNotNull()).select("item_id", "text").distinct().orderBy("item_id", "text")
-    blocks: list[list[tuple[int, bytes]]] = [[]]
+    block: list[tuple[int, bytes]] = []
     held = 0
     for row in rows.toLocalIterator():
         text = normal(row["text"].encode())
-        if held + len(text) > chars and blocks[-1]:
-            blocks.append([])
-            held = 0
-        blocks[-1].append((row["item_id"], text))
+        if block and held + len(text) > chars:
+            yield block
+            block, held = [], 0
+        block.append((row["item_id"], text))
         held += len(text)
-    return blocks
+    yield block
 
 
 def find(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -186,10 +257,9 @@ def find(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS
     come out.  An empty benchmark or table gives an empty result.
     """
     numbered = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    spark = docs.sparkSession
-    parts = []
+    out = None
     for block in item_blocks(benchmark, block_chars):
-        index = spark.sparkContext.broadcast(Items([x for x in block if len(x[1]) >= q], q, edits))
+        index = docs.sparkSession.sparkContext.broadcast(Items([x for x in block if len(x[1]) >= q], q, edits))
 
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             names = [x.split()[0] for x in MATCH.split(", ")]
@@ -202,17 +272,24 @@ def find(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-        parts.append(numbered.mapInArrow(search, MATCH))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+        part = written(numbered.mapInArrow(search, MATCH), "leaks")
+        index.destroy()
+        out = part if out is None else out.unionByName(part)
     return out
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, q: int = Q, edits: float = EDITS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of ``docs``, all columns, in which ``find`` finds nothing."""
+    """The rows of ``docs``, all columns, in which ``find`` finds nothing.
+
+    What a block of items leaves is written before the next block is sent; the
+    last block's rows are not written again.
+    """
+    previous = None
     for block in item_blocks(benchmark, block_chars):
-        index = docs.sparkSession.sparkContext.broadcast(Items([x for x in block if len(x[1]) >= q], q, edits))
+        if previous is not None:
+            docs = written(docs, "leak-free")
+            previous.destroy()
+        index = previous = docs.sparkSession.sparkContext.broadcast(Items([x for x in block if len(x[1]) >= q], q, edits))
 
         def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             items = index.value
