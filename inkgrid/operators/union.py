@@ -10,7 +10,8 @@ from inkgrid.operators.graph import connected_components
 from inkgrid.operators.grid import overlapping_boxes
 from inkgrid.operators.outlines import drawn_edges, edges, polygon_area, subpaths
 from inkgrid.operators.pairs import near_pieces
-from inkgrid.operators.svg import KEY
+from inkgrid.operators.raster import rasterize, ring_table, trace_masks
+from inkgrid.operators.svg import KEY, svg_documents
 from inkgrid.session import cut_lineage
 
 LEAST_AREA = 1e-9
@@ -173,18 +174,84 @@ def pixel_regions(pixels: DataFrame, scope: str) -> DataFrame:
     return runs.join(roots.select(scope, F.col("id").alias("run"), F.col("root").alias("region")), [scope, "run"]).select(scope, "y", "x", "region")
 
 
-def fuse(piece_pixels: DataFrame, bridge_pixels: DataFrame, other_pixels: DataFrame) -> DataFrame:
-    """Fused pixels per selection and whether the result is really one piece.
+def region_links(bridge_pixels: DataFrame, regions: DataFrame) -> DataFrame:
+    """Which regions and which other bridges each bridge overlaps or borders on (``selection_id, src, dst`` as node names)."""
+    around = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ((0, 0), (0, 1), (1, 0), (0, -1), (-1, 0))])
+    near = bridge_pixels.withColumn("o", F.explode(around)).select("selection_id", "doc_id", "bridge", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x")).distinct()
+    to_region = near.join(regions, ["doc_id", "y", "x"]).select("selection_id", F.col("bridge").alias("src"), F.concat(F.lit("r"), "region").alias("dst"))
+    other = bridge_pixels.select("selection_id", F.col("bridge").alias("dst"), "y", "x")
+    to_bridge = near.join(other, ["selection_id", "y", "x"]).where(F.col("bridge") < F.col("dst")).select("selection_id", F.col("bridge").alias("src"), "dst")
+    return to_region.unionByName(to_bridge).distinct()
 
-    ``other_pixels`` are pixels of pieces of the same document that were not
-    selected; running into one of them would join more than was asked for.
+
+def union_pieces(vertices: DataFrame, pieces: DataFrame, selected: DataFrame, bridges: DataFrame, canvas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fuses the selected pieces of each selection: a report, and the vertices of the documents that come out.
+
+    ``pieces``: doc_id, piece, path_index, subpath_index for every outline;
+    ``selected``: selection_id, doc_id, piece; ``bridges``: the bridge plan;
+    ``canvas``: doc_id, width, height.
+
+    Fused pixels are traced per connected region, and each hole belongs to the outer
+    ring of its region.  Nothing but bridges is added to a document, so its regions
+    afterwards are its regions before, linked by the bridges.  A selection is
+    accepted only if there are (before - touched by the selection + 1) of them and
+    the selection is one; then its document is the outlines that were not selected,
+    as they were, and one more path whose first outline is the outer ring and whose
+    others are the holes.  A refused selection has no document.
     """
-    cells = ["selection_id", "y", "x"]
-    fused = cut_lineage(piece_pixels.select(*cells).unionByName(bridge_pixels.select(*cells)).distinct())
-    regions = pixel_regions(fused, "selection_id")
-    hit = other_pixels.select(*cells).join(fused, cells, "left_semi").groupBy("selection_id").agg(F.count("*").alias("overlap"))
-    return regions.groupBy("selection_id").agg(F.count("*").alias("pixels"), F.count_distinct("region").alias("regions")).join(
-        hit, "selection_id", "left"
-    ).select(
-        "selection_id", "pixels", "regions", ((F.col("regions") == 1) & F.col("overlap").isNull()).alias("accepted")
-    )
+    s = ["selection_id", "doc_id"]
+    ring = edges(vertices).join(pieces, KEY).select("doc_id", "piece", "x1", "y1", "x2", "y2")
+    pixels = cut_lineage(rasterize(ring, canvas, ["doc_id", "piece"], ["doc_id"]))
+    regions = cut_lineage(pixel_regions(pixels.select("doc_id", "y", "x").distinct(), "doc_id"))
+    before = regions.groupBy("doc_id").agg(F.count_distinct("region").alias("regions_before"))
+    own = selected.select(*s, "piece").distinct()
+    ours = cut_lineage(own.join(pixels, ["doc_id", "piece"]).select(*s, "y", "x").distinct())
+    spans = bridge_edges(bridges).join(own.select(*s).distinct(), "selection_id")
+    added = cut_lineage(rasterize(spans, canvas, [*s, "src", "dst"], ["doc_id"]).select(*s, F.concat_ws("-", F.lit("b"), "src", "dst").alias("bridge"), "y", "x"))
+
+    links = cut_lineage(region_links(added, regions))
+    touched = cut_lineage(ours.join(regions, ["doc_id", "y", "x"]).select(*s, F.concat(F.lit("r"), "region").alias("id")).distinct())
+    nodes = touched.select("selection_id", "id").unionByName(added.select("selection_id", F.col("bridge").alias("id"))).unionByName(links.select("selection_id", F.col("dst").alias("id"))).distinct()
+    roots = connected_components(nodes, links, "selection_id")
+    is_region = F.col("id").startswith("r")
+    linked = roots.groupBy("selection_id").agg(F.count_if(is_region).alias("_met"), F.count_distinct("root").alias("_parts"))
+    mine = touched.join(roots, ["selection_id", "id"]).groupBy(*s).agg(F.count("*").alias("regions_selected"), F.count_distinct("root").alias("_roots"), F.min("root").alias("root"))
+    strange = roots.where(is_region).join(touched, ["selection_id", "id"], "left_anti").join(mine.select("selection_id", "root"), ["selection_id", "root"], "left_semi").select("selection_id").distinct()
+    state = cut_lineage(
+        own.select(*s).distinct().join(before, "doc_id").join(linked, "selection_id").join(mine, s).join(strange.withColumn("_strange", F.lit(True)), "selection_id", "left").select(
+            *s, "regions_before", (F.col("regions_before") - F.col("_met") + F.col("_parts")).alias("regions_after"),
+            (F.col("regions_before") - F.col("regions_selected") + 1).alias("regions_expected"), ((F.col("_roots") == 1) & F.col("_strange").isNull()).alias("_one"),
+        ).withColumn("accepted", F.col("_one") & (F.col("regions_after") == F.col("regions_expected"))).drop("_one"))
+
+    taken = state.where("accepted").select(*s)
+    fused = cut_lineage(ours.unionByName(added.select(*s, "y", "x")).distinct().join(taken, s, "left_semi"))
+    labelled = pixel_regions(fused, "selection_id").select(F.col("selection_id").alias("image_id"), F.col("region").alias("mask_id"), "y", "x")
+    traced = cut_lineage(trace_masks(labelled))
+    table = ring_table(traced)
+    areas = table.groupBy(F.col("image_id").alias("selection_id")).agg(
+        F.sum("signed_area").alias("area"), F.count_if("is_hole").alias("holes"), F.sum(F.when(F.col("is_hole"), -F.col("signed_area")).otherwise(0.0)).alias("hole_area"))
+    report = state.join(areas, "selection_id", "left")
+
+    order = Window.partitionBy("image_id").orderBy("mask_id", "is_hole", "ring")  # one row per ring of a selection
+    numbered = table.select("image_id", "mask_id", "ring", (F.row_number().over(order) - 1).alias("subpath_index"))
+    last = vertices.groupBy("doc_id").agg((F.max("path_index") + 1).alias("path_index"))
+    new = traced.join(numbered, ["image_id", "mask_id", "ring"]).withColumnRenamed("image_id", "selection_id").join(taken, "selection_id").join(last, "doc_id").select(
+        *s, "path_index", "subpath_index", F.lit(True).alias("closed"), "i", "x", "y")
+    gone = own.join(pieces, ["doc_id", "piece"]).select(*s, "path_index", "subpath_index")
+    rest = vertices.join(taken, "doc_id").join(gone, [*s, "path_index", "subpath_index"], "left_anti").select(*new.columns)
+    return report, rest.unionByName(new)
+
+
+def union_documents(result: DataFrame, selected: DataFrame, pieces: DataFrame, canvas: DataFrame, fills: DataFrame) -> DataFrame:
+    """The documents of accepted selections as SVG text (``doc_id`` is the selection).
+
+    ``fills`` (doc_id, path_index, fill) colours the paths that stay; the fused path
+    looks like the first path of the first selected piece.
+    """
+    s = ["selection_id", "doc_id"]
+    first = selected.join(pieces, ["doc_id", "piece"]).groupBy(*s).agg(F.min(F.struct("piece", "path_index")).alias("_first"))
+    fused = result.groupBy(*s).agg(F.max("path_index").alias("path_index")).join(first, s).select(*s, "path_index", F.col("_first.path_index").alias("like"))
+    paths = result.select(*s, "path_index").distinct().join(fused.select(*s, "path_index", "like"), [*s, "path_index"], "left").withColumn("like", F.coalesce("like", "path_index"))
+    named = paths.join(fills.withColumnRenamed("path_index", "like"), ["doc_id", "like"], "left").select(F.col("selection_id").alias("doc_id"), "path_index", "fill")
+    size = result.select(*s).distinct().join(canvas, "doc_id").select(F.col("selection_id").alias("doc_id"), "width", "height")
+    return svg_documents(result.drop("doc_id").withColumnRenamed("selection_id", "doc_id"), size, named)

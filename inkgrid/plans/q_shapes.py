@@ -185,29 +185,74 @@ def bridge_plan(spark, d):
     )
 
 
-# Bridges lie on the common upper line of a row.  They run into a shape of the row above where that is tall enough.
-_BRIDGES = """, steps as (select doc_id, cast(floor(path_index%40/8) as bigint) as line, x0, y0, lag(x1) over (partition by doc_id, floor(path_index%40/8) order by x0, path_index) as before
-  from rings where subpath_index = 0)
-, bars as (select s.doc_id, line, y0 - w/2 as top, before - greatest(w, (x0-before)*0.05) as lo, x0 + greatest(w, (x0-before)*0.05) as hi
-  from steps s join (select doc_id, diagonal, greatest(diagonal*0.02, diagonal*0.004) as w from box) b using (doc_id) where x0 - before > diagonal*0.001)
-, runs_into as (select distinct b.doc_id*8+b.line as selection_id from bars b join rings r on r.doc_id = b.doc_id and floor(r.path_index%40/8) = b.line-1 and r.subpath_index = 0
-  where r.y1-1 >= ceil(top-0.5) and r.x0 <= ceil(hi-0.5)-1 and r.x1-1 >= ceil(lo-0.5))
+# Bridges lie on the common upper line of a row.  They run into, or border on, a shape of the row above where that is tall enough.
+_BRIDGES = """, bars as (select doc_id, line, x0, y0 - w/2 as top, y0 + w/2 as bottom, x0 - before as gap, before - greatest(w, (x0-before)*0.05) as lo, x0 + greatest(w, (x0-before)*0.05) as hi
+  from (select doc_id, cast(floor(path_index%40/8) as bigint) as line, x0, y0, lag(x1) over (partition by doc_id, floor(path_index%40/8) order by x0, path_index) as before
+    from rings where subpath_index = 0)
+  join (select doc_id, diagonal, greatest(diagonal*0.02, diagonal*0.004) as w from box) b using (doc_id) where x0 - before > diagonal*0.001)
+, bar_cells as (select doc_id, line, cast(ceil(greatest(lo,0)-0.5) as int) as l, cast(ceil(hi-0.5) as int) - 1 as r, cast(ceil(greatest(top,0)-0.5) as int) as t, cast(ceil(bottom-0.5) as int) - 1 as b from bars)
+"""
+_UNION = """, groups as (select doc_id, line, path_index, x0, x1, y1, sum(starts) over (partition by doc_id, line order by x0, path_index) as grp
+  from (select doc_id, cast(floor(path_index%40/8) as bigint) as line, path_index, x0, x1, y1,
+    case when x0 - lag(x1) over (partition by doc_id, floor(path_index%40/8) order by x0, path_index) <= 0 then 0 else 1 end as starts from rings where subpath_index = 0))
+, counts as (select doc_id, line, count(distinct grp) as own from groups group by 1,2)
+, totals as (select doc_id, sum(own) as total from counts group by 1)
+, hits as (select b.doc_id, b.line, count(distinct g.grp) as met from bar_cells b join groups g on g.doc_id = b.doc_id and g.line = b.line - 1
+    and ((g.y1-1 >= t and g.x0 <= r+1 and g.x1-1 >= l-1) or (g.y1 = t and g.x0 <= r and g.x1-1 >= l)) group by 1,2)
+, state as (select c.doc_id, c.line, total, own, coalesce(met, 0) as met from counts c join totals using (doc_id) left join hits using (doc_id, line))
+, cell as (select doc_id, path_index, subpath_index, closed, cast(floor(path_index%40/8) as bigint) as line, cast(x0 as int) as xa, cast(x1 as int) as xb, cast(y0 as int) as ya, cast(y1 as int) as yb from rings)
+, px as (select doc_id, path_index, line, subpath_index, y, unnest(range(xa, least(xb, 500))) as x from (select *, unnest(range(ya, least(yb, 320))) as y from cell))
+, filled as (select doc_id, line, y, x from px group by doc_id, path_index, line, y, x having count(*) % 2 = 1
+  union select doc_id, line, y, x from (select *, unnest(range(l, least(r, 499) + 1)) as x from (select *, unnest(range(t, b + 1)) as y from bar_cells)))
+, inner_px as (select p.doc_id, p.line, p.path_index from px p where subpath_index = 1 and not exists (select 1 from filled f where f.doc_id = p.doc_id and f.line = p.line and f.y = p.y and f.x = p.x))
+, area as (select doc_id, line, cast(count(*) as double) as area from filled group by 1,2)
+, inner_area as (select doc_id, line, count(distinct path_index) as holes, cast(count(*) as double) as hole_area from inner_px group by 1,2)
 """
 
 
-@query("union_pieces", _V + _EDGES + _BRIDGES + """select distinct doc_id*8 + cast(floor(path_index%40/8) as bigint) as selection_id, cast(1 as bigint) as regions,
-  doc_id*8 + cast(floor(path_index%40/8) as bigint) not in (select selection_id from runs_into) as accepted from rings""")
+@query("bridge_rectangles", _V + _EDGES + _BRIDGES + """select doc_id*8+line as selection_id, round(lo,6) as min_x, round(hi,6) as max_x, round(top,6) as min_y, round(bottom,6) as max_y, round(gap,6) as distance from bars""")
+def bridge_rectangles(spark, d):
+    """The corners of every bridge; on the rows of this data all bridges are upright rectangles."""
+    plan = union.bridge_plan(_tree(spark, d), _sizes(spark, d))
+    xs, ys = F.transform("corners", lambda p: p["x"]), F.transform("corners", lambda p: p["y"])
+    ends = [F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys)]
+    return plan.select("selection_id", *[F.round(e, 6).alias(n) for e, n in zip(ends, ("min_x", "max_x", "min_y", "max_y"), strict=True)], F.round("distance", 6).alias("distance"))
+
+
+def _union(spark, d):
+    """Vertices, pieces, selected pieces, canvas, and what the union of every selection gives."""
+    v = cut_lineage(views.vertices(spark, d))
+    rows = views.rings(spark, d)
+    pieces = rows.select("doc_id", F.col("path_index").cast("long").alias("piece"), "path_index", "subpath_index")
+    selected = _members(spark, d).select("selection_id", "doc_id", "piece").distinct()
+    canvas = v.select("doc_id").distinct().withColumns({"width": F.lit(500), "height": F.lit(320)})
+    bridges = cut_lineage(union.bridge_plan(_tree(spark, d), _sizes(spark, d)))
+    return v, pieces, selected, canvas, union.union_pieces(v, pieces, selected, bridges, canvas)
+
+
+@query("union_pieces", _V + _EDGES + _BRIDGES + _UNION + """select s.doc_id*8+s.line as selection_id, cast(total as bigint) as regions_before, cast(total - own + 1 - met as bigint) as regions_after,
+  cast(total - own + 1 as bigint) as regions_expected, met = 0 as accepted, case when met = 0 then area end as area, case when met = 0 then coalesce(holes, 0) end as holes,
+  case when met = 0 then coalesce(hole_area, 0::double) end as hole_area from state s join area using (doc_id, line) left join inner_area using (doc_id, line)""")
 def union_pieces(spark, d):
-    """Every selection, with its bridges, becomes one region; refused where a bridge runs into a piece that was not selected."""
-    members, sizes = _members(spark, d), _sizes(spark, d)
-    canvas = sizes.select("selection_id", F.lit(500).alias("width"), F.lit(320).alias("height"))
-    ring = outlines.edges(views.vertices(spark, d)).join(members, svg.KEY).select("selection_id", "piece", "x1", "y1", "x2", "y2")
-    pieces = raster.rasterize(ring, canvas, ["selection_id", "piece"], ["selection_id"])
-    bridges = union.bridge_edges(union.bridge_plan(_tree(spark, d), sizes))
-    spans = raster.rasterize(bridges, canvas, ["selection_id", "src", "dst"], ["selection_id"])
-    rest = pieces.select(F.floor(F.col("selection_id") / 8).alias("doc_id"), F.col("selection_id").alias("_own"), "y", "x")
-    others = sizes.select("selection_id", "doc_id").join(rest, "doc_id").where(F.col("_own") != F.col("selection_id")).select("selection_id", "y", "x")
-    return union.fuse(pieces, spans, others).select("selection_id", "regions", "accepted")
+    """Every selection is fused with its bridges, or refused where a bridge joins a piece that was not selected; area and holes of the traced result."""
+    return _union(spark, d)[-1][0].drop("doc_id")
+
+
+@query("union_documents", _V + _EDGES + _BRIDGES + _UNION + """, ok as (select doc_id, line, area, coalesce(holes, 0) as holes from state join area using (doc_id, line) left join inner_area using (doc_id, line) where met = 0)
+, paths as (select doc_id, line, path_index, sum(case when not closed then 0 when subpath_index = 0 then 1 else -1 end * (xb-xa)*(yb-ya)) as filled, count(*) as outlines from cell group by 1,2,3)
+, stays as (select o.doc_id, o.line, count(*) as paths, sum(outlines) as outlines, cast(sum(p.filled) as double) as filled from ok o join paths p on p.doc_id = o.doc_id and p.line <> o.line group by 1,2)
+select doc_id*8+line as doc_id, cast(coalesce(paths,0)+1 as bigint) as paths, cast(coalesce(outlines,0) + 1 + holes as bigint) as outlines, coalesce(filled,0::double) + area as filled from ok left join stays using (doc_id, line)""")
+def union_documents(spark, d):
+    """The documents that come out, written and read again: what was not selected is there, and one fused path with its holes."""
+    v, pieces, selected, canvas, (_, result) = _union(spark, d)
+    fills = v.select("doc_id", "path_index").distinct().withColumn("fill", F.lit("#123456"))
+    docs = cut_lineage(union.union_documents(result, selected, pieces, canvas, fills))
+    again = svg.svg_to_vertices(docs)
+    cross = F.when(F.col("closed"), F.col("x1") * F.col("y2") - F.col("x2") * F.col("y1")).otherwise(0.0)  # open outlines have a loose end, which the SQL leaves out
+    area = outlines.edges(again).groupBy("doc_id", "path_index", "subpath_index").agg((F.sum(cross) / 2).alias("signed"))
+    inner = F.col("subpath_index") > 0
+    return area.groupBy("doc_id").agg(F.count_distinct("path_index").alias("paths"), F.count("*").alias("outlines"),
+                                      F.round(F.sum(F.when(inner, -F.abs("signed")).otherwise(F.abs("signed"))), 0).alias("filled"))
 
 
 @query("validate_selection", """with mem as (select cast(floor(p_partkey/3) as bigint) as selection_id, p_partkey as k, p_size, p_brand from part)
