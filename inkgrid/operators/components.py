@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrid.operators.graph import connected_components
+from inkgrid.operators.nesting import nesting
 from inkgrid.operators.outlines import open_paths, subpaths, with_node
-from inkgrid.operators.pairs import NODE, duplicate_pairs, nesting, outline_key, point_distances, shapes, touch_pairs
+from inkgrid.operators.pairs import NODE, duplicate_pairs, outline_key, point_distances, shapes, touch_pairs
 from inkgrid.session import cut_lineage
 
 EXACT = 1e-9

@@ -128,7 +128,7 @@ def touch_pairs(
         "doc_id", F.struct("node", "i", "closing").alias("seg"), "node", "tolerance", "x1", "y1", "x2", "y2",
         "min_x", "min_y", "max_x", "max_y",
     )
-    met = overlapping_boxes(boxes, "doc_id", "seg").where("a_node <> b_node")
+    met = overlapping_boxes(boxes, "doc_id", "seg", segments=True).where("a_node <> b_node")
     near = geometry.with_nearest(met).select(
         "doc_id", F.least("a_node", "b_node").alias("src"), F.greatest("a_node", "b_node").alias("dst"),
         F.col("gap").alias("distance"), F.col("a_tolerance").alias("tolerance"),
@@ -171,37 +171,6 @@ def containment_pairs(vertices: DataFrame, shaped: DataFrame | None = None) -> D
     return counted.where("hits % 2 = 1").select("doc_id", "inner", "outer")
 
 
-def nesting(vertices: DataFrame, shaped: DataFrame | None = None) -> DataFrame:
-    """Depth and direct parent of every outline (``doc_id, node, depth, parent, area``).
-
-    Depth counts the other outlines around the inward point, copies included;
-    the parent is the smallest of them with an area, the first one on ties.
-    """
-    shaped = cut_lineage(shapes(vertices, either_way=False)) if shaped is None else shaped
-    pairs = containment_pairs(vertices, shaped)
-    area = with_node(polygon_area(vertices)).select(*NODE, "area")
-    shape_area = area.withColumnRenamed("node", "outer").withColumnRenamed("area", "outer_area")
-    second = shaped.where("node <> shape").groupBy("doc_id", F.col("shape").alias("outer")).agg(F.min("node").alias("second"))
-    sized = shaped.where("node = shape").select("doc_id", F.col("shape").alias("outer"), "copies")
-    rich = pairs.join(sized, ["doc_id", "outer"]).join(shape_area, ["doc_id", "outer"]).join(second, ["doc_id", "outer"], "left")
-    self_pair = F.col("inner") == F.col("outer")
-    other = F.when(~self_pair & (F.col("outer_area") > 0), F.struct(F.col("outer_area").alias("area"), F.col("outer").alias("node")))
-    own_first = F.when(self_pair & (F.col("outer_area") > 0), F.struct(F.col("outer_area").alias("area"), F.col("outer").alias("node")))
-    own_second = F.when(
-        self_pair & F.col("second").isNotNull() & (F.col("outer_area") > 0),
-        F.struct(F.col("outer_area").alias("area"), F.col("second").alias("node")),
-    )
-    per_shape = rich.groupBy("doc_id", F.col("inner").alias("shape")).agg(
-        F.sum(F.col("copies") - F.when(self_pair, 1).otherwise(0)).alias("depth"),
-        F.min(other).alias("other"), F.min(own_first).alias("own_first"), F.min(own_second).alias("own_second"),
-    )
-    mine = F.when(F.col("node") == F.col("shape"), F.col("own_second")).otherwise(F.col("own_first"))
-    return shaped.join(per_shape, ["doc_id", "shape"], "left").join(area, NODE).select(
-        *NODE, F.coalesce("depth", F.lit(0)).alias("depth"),
-        F.when(F.col("depth") > 0, F.least(F.col("other"), mine)["node"]).alias("parent"), "area",
-    )
-
-
 def near_pieces(segments: DataFrame, radius: DataFrame) -> DataFrame:
     """Closest points of every two pieces of a selection that are within the selection's radius.
 
@@ -210,7 +179,7 @@ def near_pieces(segments: DataFrame, radius: DataFrame) -> DataFrame:
     """
     margin = F.col("radius") * 0.5000001 + 1e-12
     boxes = _segment_boxes(segments.join(radius, "selection_id"), margin)
-    met = overlapping_boxes(boxes, "selection_id", "seg").where("a_piece <> b_piece")
+    met = overlapping_boxes(boxes, "selection_id", "seg", segments=True).where("a_piece <> b_piece")
     low_first = F.col("a_piece") < F.col("b_piece")
 
     def side(low: str, high: str) -> Column:

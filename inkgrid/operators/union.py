@@ -26,7 +26,7 @@ def self_crossing(vertices: DataFrame) -> DataFrame:
         *[F.least(f"{c}1", f"{c}2").alias(f"min_{c}") for c in "xy"], *[F.greatest(f"{c}1", f"{c}2").alias(f"max_{c}") for c in "xy"],
     )
     step = F.pmod(F.col("a_i") - F.col("b_i"), F.col("a_n"))
-    far = overlapping_boxes(boxes, "outline", "i").where((step != 1) & (step != F.col("a_n") - 1))
+    far = overlapping_boxes(boxes, "outline", "i", segments=True).where((step != 1) & (step != F.col("a_n") - 1))
     return with_crossing(far).where("crosses").select("outline.*").distinct()
 
 

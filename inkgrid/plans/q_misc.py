@@ -466,15 +466,18 @@ def perpendicular_distance(spark, d):
     return _seg(spark, d).select("l_orderkey", "l_linenumber", F.round(geometry.perpendicular_distance(_c(_P), _c(_A), _c(_B)), 6).alias("distance"))
 
 
+def _ps(p, a, b):
+    px, py, ax, ay, bx, by = f"{p}x", f"{p}y", f"{a}x", f"{a}y", f"{b}x", f"{b}y"
+    t = f"(case when pow({bx}-{ax},2)+pow({by}-{ay},2)<=1e-18 then 0.0 else greatest(0.0,least(1.0,(({px}-{ax})*({bx}-{ax})+({py}-{ay})*({by}-{ay}))/greatest(pow({bx}-{ax},2)+pow({by}-{ay},2),1e-18))) end)"
+    return f"sqrt(pow({px}-{ax}-{t}*({bx}-{ax}),2)+pow({py}-{ay}-{t}*({by}-{ay}),2))"
+
+
 def _cross_sql():
-    """The segment p-q against a-e, by orientations."""
-    turn = lambda p, q, r: f"(({q}y-{p}y)*({r}x-{q}x)-({q}x-{p}x)*({r}y-{q}y))"
-    t = [turn("p", "q", "a"), turn("p", "q", "e"), turn("a", "e", "p"), turn("a", "e", "q")]
-    sgn = lambda e: f"(case when abs({e})<1e-12 then 0 when {e}>0 then 1 else 2 end)"
-    on = lambda p, q, r: " and ".join(f"{q}{c} between least({p}{c},{r}{c})-1e-9 and greatest({p}{c},{r}{c})+1e-9" for c in "xy")
-    parts = [f"({sgn(t[0])}<>{sgn(t[1])} and {sgn(t[2])}<>{sgn(t[3])})"]
-    parts += [f"({sgn(e)}=0 and {on(*ends)})" for e, ends in zip(t, (("p", "a", "q"), ("p", "e", "q"), ("a", "p", "e"), ("a", "q", "e")))]
-    return "(" + " or ".join(parts) + ")"
+    """Do p-q and a-e meet: where the lines cross, that point lies within both; parallel ones meet if an end of one lies on the other."""
+    det = "((qx-px)*(ey-ay)-(qy-py)*(ex-ax))"
+    along = [f"((ax-px)*({v}y-{u}y)-(ay-py)*({v}x-{u}x))/{det} between -1e-9 and 1+1e-9" for u, v in (("a", "e"), ("p", "q"))]
+    ends = ", ".join(_ps(*x) for x in (("p", "a", "e"), ("q", "a", "e"), ("a", "p", "q"), ("e", "p", "q")))
+    return f"(case when abs({det}) > 1e-12 then {along[0]} and {along[1]} else least({ends}) <= 1e-9 end)"
 
 
 _SEG2 = _SEG + ", z as (select l_orderkey, l_linenumber, px, py, px+3 as qx, py+1 as qy, ax, ay, bx as ex, by_ as ey from s)\n"
@@ -486,12 +489,6 @@ def segments_intersect(spark, d):
     return _seg(spark, d).select("l_orderkey", "l_linenumber", geometry.segments_intersect(_c(_P), q, _c(_A), _c(_B)).alias("meets"))
 
 
-def _ps(p, a, b):
-    px, py, ax, ay, bx, by = f"{p}x", f"{p}y", f"{a}x", f"{a}y", f"{b}x", f"{b}y"
-    t = f"(case when pow({bx}-{ax},2)+pow({by}-{ay},2)<=1e-18 then 0.0 else greatest(0.0,least(1.0,(({px}-{ax})*({bx}-{ax})+({py}-{ay})*({by}-{ay}))/greatest(pow({bx}-{ax},2)+pow({by}-{ay},2),1e-18))) end)"
-    return f"sqrt(pow({px}-{ax}-{t}*({bx}-{ax}),2)+pow({py}-{ay}-{t}*({by}-{ay}),2))"
-
-
 @query("segment_distance", _SEG2 + f"""select l_orderkey, l_linenumber, round(case when {_cross_sql()} then 0.0 else least({_ps('p','a','e')}, {_ps('q','a','e')}, {_ps('a','p','q')}, {_ps('e','p','q')}) end, 6) as distance from z""")
 def segment_distance(spark, d):
     q = (F.col("px") + 3, F.col("py") + 1)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from inkgrid.operators import components, graph, outlines, pairs, svg
+from inkgrid.operators import components, graph, nesting, outlines, pairs, svg
 from inkgrid.operators.svg import KEY
 from inkgrid.plans import views
 from inkgrid.plans.registry import query
@@ -216,12 +216,12 @@ def containment_pairs(spark, d):
 
 @query("nesting_depth", _V + _EDGES + _INWARD + _INSIDE + "select doc_id, node, depth, depth % 2 = 1 as is_hole from depth")
 def nesting_depth(spark, d):
-    return pairs.nesting(_v(spark, d)).select("doc_id", "node", "depth", (F.col("depth") % 2 == 1).alias("is_hole"))
+    return nesting.nesting(_v(spark, d)).select("doc_id", "node", "depth", (F.col("depth") % 2 == 1).alias("is_hole"))
 
 
 @query("direct_parent", _V + _EDGES + _INWARD + _INSIDE + "select doc_id, node, parent from depth left join parents using (doc_id, node)")
 def direct_parent(spark, d):
-    return pairs.nesting(_v(spark, d)).select("doc_id", "node", "parent")
+    return nesting.nesting(_v(spark, d)).select("doc_id", "node", "parent")
 
 
 _DIST = """

@@ -8,7 +8,7 @@ import random
 import pytest
 
 from helpers import outline, square, vertices
-from inkgrid.operators import components, outlines, pairs, simplify, svg, union
+from inkgrid.operators import components, nesting, outlines, simplify, svg, union
 
 
 def pieces(spark, *shapes, touch=0.001):
@@ -41,7 +41,7 @@ def test_shared_edge_joins_and_a_gap_does_not(spark):
 
 def test_copies_count_each_other_as_containers(spark):
     shapes = [outline(1, p, square(0, 0, 50)) for p in range(3)] + [outline(1, 3, square(10, 10, 5))]
-    got = {r.node >> 32: (r.depth, None if r.parent is None else r.parent >> 32) for r in pairs.nesting(vertices(spark, *shapes)).collect()}
+    got = {r.node >> 32: (r.depth, None if r.parent is None else r.parent >> 32) for r in nesting.nesting(vertices(spark, *shapes)).collect()}
     assert got == {0: (2, 1), 1: (2, 0), 2: (2, 0), 3: (3, 0)}
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helpers import outline, png, square, vertices
 from inkgrid.functions import geometry, svgtext, text
-from inkgrid.operators import catalog, components, outlines, pairs, svg
+from inkgrid.operators import catalog, components, nesting, outlines, pairs, svg
 from inkgrid.operators.palette import _Groups
 from inkgrid.sources import files
 
@@ -65,7 +65,7 @@ def test_reversed_copy_has_an_inward_point_of_its_own(spark):
     shapes = [outline(1, 0, points), outline(1, 1, list(reversed(points))), outline(1, 2, [(-1, 5), (11, 5), (11, 11), (-1, 11)])]
     v = vertices(spark, *shapes)
     inward = {r["node"] >> 32: (r["px"], r["py"]) for r in outlines.inward_points(v).collect()}
-    got = {r["node"] >> 32: r["depth"] for r in pairs.nesting(v).collect()}
+    got = {r["node"] >> 32: r["depth"] for r in nesting.nesting(v).collect()}
 
     def inside(p, box):
         return box[0] < p[0] < box[2] and box[1] < p[1] < box[3]
