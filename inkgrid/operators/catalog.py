@@ -95,15 +95,33 @@ def create_projects(projects: DataFrame, requests: DataFrame, now: Column) -> tu
     return projects.unionByName(fresh, allowMissingColumns=True), checked.where("_reason is not null").select("id", F.col("_reason").alias("reason"))
 
 
-def _one_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Several rows of one key become the one that sorts last, so that a join with them cannot double anything."""
-    rest = [c for c in rows.columns if c not in keys]
-    return rows.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_row")).select(*keys, "_row.*")
+def merged_patches(patches: DataFrame, keys: list[str], fields: list[str], order: list[str], touched: dict[str, str] | None = None) -> DataFrame:
+    """One patch per key: of every field the last value that was given, by ``order``.
+
+    A null says nothing about a field, except for the fields of ``touched``: there
+    the named flag tells that the value counts, even a null, and the merged flag
+    whether any patch set it.  Of patches at the same time the larger value wins.
+    Each field is a maximum of its own, so patches of one key are combined before
+    they are shuffled.
+    """
+    touched = touched or {}
+    at = [F.col(c) for c in order]
+    last = {}
+    for f in fields:
+        said = F.col(touched[f]) if f in touched else F.col(f).isNotNull()
+        last[f] = F.max(F.when(said, F.struct(*at, F.col(f).alias("_value"))))["_value"].alias(f)
+    flags = [F.coalesce(F.bool_or(flag), F.lit(False)).alias(flag) for flag in dict.fromkeys(touched.values())]
+    return patches.groupBy(*keys).agg(*last.values(), *flags)
+
 
+def update_projects(projects: DataFrame, patches: DataFrame, fields: list[str], now: Column, order: list[str] | None = None) -> DataFrame:
+    """Null patch fields keep the old value; patched live projects are updated now.
 
-def update_projects(projects: DataFrame, patches: DataFrame, fields: list[str], now: Column) -> DataFrame:
-    """Null patch fields keep the old value; patched live projects are updated now.  Of several patches for one id one counts."""
-    p = _one_per_key(patches.select("id", F.lit(True).alias("_hit"), *[F.col(f).alias(f"_{f}") for f in fields]), ["id"])
+    Several patches of one project take effect one after the other, by the columns
+    of ``order``; without them all count as made at once.
+    """
+    merged = merged_patches(patches, ["id"], fields, order or []) if fields else patches.select("id").distinct()
+    p = merged.select("id", F.lit(True).alias("_hit"), *[F.col(f).alias(f"_{f}") for f in fields])
     hit = F.col("_hit") & F.col("deleted_at").isNull()
     columns = []
     for c in projects.columns:
@@ -261,24 +279,23 @@ def save_checkpoint(
     }
 
 
-def patch_layers(catalog: Catalog, patches: DataFrame) -> DataFrame:
+def patch_layers(catalog: Catalog, patches: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Layers of the current versions after patches (``project_id, group_id, ...``).
 
     Null keeps a value; the operation is replaced, even by null, when touched.
-    Of several patches for one layer one counts.
+    Several patches of one layer take effect one after the other, by the columns of
+    ``order``; without them all count as made at once.
     """
     pointer = live_projects(catalog["projects"]).select(F.col("id").alias("project_id"), F.col("current_version_id").alias("version_id"))
-    p = patches.join(pointer, "project_id").select(
-        "version_id", "group_id", F.lit(True).alias("_hit"), F.col("touch_operation").alias("_touch"),
-        *[F.col(c).alias(f"_{c}") for c in ("name", "order", "visible", "locked", "operation")],
-    )
-    p = _one_per_key(p, ["version_id", "group_id"])
+    fields = ["name", "order", "visible", "locked", "operation"]
+    merged = merged_patches(patches, ["project_id", "group_id"], fields, order or [], {"operation": "touch_operation"})
+    p = merged.join(pointer, "project_id").select("version_id", "group_id", F.col("touch_operation").alias("_touch"), *[F.col(c).alias(f"_{c}") for c in fields])
     columns = []
     for c in catalog["layers"].columns:
-        if c in ("name", "order", "visible", "locked"):
-            columns.append(F.coalesce(f"_{c}", c).alias(c))
-        elif c == "operation":
+        if c == "operation":
             columns.append(F.when(F.col("_touch"), F.col("_operation")).otherwise(F.col(c)).alias(c))
+        elif c in fields:
+            columns.append(F.coalesce(f"_{c}", c).alias(c))
         else:
             columns.append(F.col(c))
     return catalog["layers"].join(p, ["version_id", "group_id"], "left").select(*columns)

@@ -459,6 +459,18 @@ def update_projects(spark, d):
     return catalog.update_projects(views.projects(spark, d), patches, ["name"], _now())
 
 
+@query("update_projects_in_order", ctes("projects") + f""", patches as (select l_orderkey as id,
+    (max(struct_pack(n := l_linenumber, v := concat('P', l_partkey))) filter (where l_tax > 0.04)).v as name, (max(struct_pack(n := l_linenumber, v := l_suppkey)) filter (where l_discount < 0.03)).v as owner_id from lineitem group by 1)
+select p.id, case when deleted_at is null then coalesce(t.owner_id, p.owner_id) else p.owner_id end as owner_id, case when deleted_at is null then coalesce(t.name, p.name) else p.name end as name, p.created_at,
+  case when t.id is not null and deleted_at is null then {NOW} else p.updated_at end as updated_at, p.deleted_at from projects p left join patches t using (id)""")
+def update_projects_in_order(spark, d):
+    """Several patches of a project, line by line: of each field the last one that sets it."""
+    patches = views.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("id"), "l_linenumber", F.when(F.col("l_tax") > 0.04, F.concat(F.lit("P"), F.col("l_partkey").cast("string"))).alias("name"),
+        F.when(F.col("l_discount") < 0.03, F.col("l_suppkey")).alias("owner_id"))
+    return catalog.update_projects(views.projects(spark, d), patches, ["name", "owner_id"], _now(), order=["l_linenumber"])
+
+
 @query("soft_delete", ctes("projects") + f""", ids as (select distinct l_orderkey as id from lineitem where l_returnflag='A')
 select p.id, owner_id, name, created_at, case when ids.id is not null and deleted_at is null then {NOW} else updated_at end as updated_at,
   case when ids.id is not null and deleted_at is null then {NOW} else deleted_at end as deleted_at from projects p left join ids using (id)""")
@@ -603,6 +615,25 @@ def patch_layers(spark, d):
     )
 
 
+@query("patch_layers_in_order", _CAT + """, steps as (select p_partkey as group_id, c_custkey as project_id, l_orderkey*8+l_linenumber as step, case when l_tax > 0.04 then concat('N', l_orderkey) end as name,
+  case when l_discount < 0.05 then l_quantity > 25 end as visible, l_linestatus = 'F' as touch, case when l_returnflag = 'R' then 'engrave' when l_returnflag = 'A' then 'cut' end as operation
+  from part join customer on c_custkey = p_partkey join lineitem on l_partkey = p_partkey)
+, patches as (select project_id, group_id, (max(struct_pack(n := step, v := name)) filter (where name is not null)).v as name, (max(struct_pack(n := step, v := visible)) filter (where visible is not null)).v as visible,
+  bool_or(touch) as touch, max(struct_pack(s := step, o := operation)) filter (where touch) as op from steps group by 1,2)
+, target as (select t.*, p.current_version_id as version_id from patches t join cprojects p on p.id = t.project_id where p.deleted_at is null)
+select l.id, l.group_id, l.version_id, coalesce(t.name, l.name) as name, coalesce(t.visible, l.visible) as visible, case when t.touch then t.op.o else l.operation end as operation
+  from clayers l left join target t using (version_id, group_id)""")
+def patch_layers_in_order(spark, d):
+    """Several patches of a layer: one renames, another hides, a third clears the operation; all take effect, the later of two values wins."""
+    lines = views.table(spark, d, "lineitem")
+    steps = views.table(spark, d, "part").join(views.table(spark, d, "customer"), F.col("c_custkey") == F.col("p_partkey")).join(lines, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("c_custkey").alias("project_id"), F.col("p_partkey").alias("group_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("step"),
+        F.when(F.col("l_tax") > 0.04, F.concat(F.lit("N"), F.col("l_orderkey").cast("string"))).alias("name"), F.lit(None).cast("int").alias("order"),
+        F.when(F.col("l_discount") < 0.05, F.col("l_quantity") > 25).alias("visible"), F.lit(None).cast("boolean").alias("locked"), (F.col("l_linestatus") == "F").alias("touch_operation"),
+        F.when(F.col("l_returnflag") == "R", "engrave").when(F.col("l_returnflag") == "A", "cut").alias("operation"))
+    return catalog.patch_layers(_catalog(spark, d), steps, order=["step"]).select("id", "group_id", "version_id", "name", "visible", "operation")
+
+
 @query("document_graph", _CAT + """select v.id, v.document_id, v.version_number, count(l.id) as layer_count,
   coalesce(string_agg(case when l.id is not null then concat_ws(':', l."order", l.group_id, coalesce(l.operation,'-'), c.hex) end, ';' order by l."order", l.id, l.group_id, l.visible nulls first, l.locked, l.operation nulls first, c.hex), '') as layers
   from cversions v left join (clayers l join ccolors c on c.id = l.color_id) on l.version_id = v.id group by 1,2,3""")
