@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkgrid.operators.svg import MAX_SVG_BYTES
 from inkgrid.operators.validation import extension
 
 # Content type by file ending.
