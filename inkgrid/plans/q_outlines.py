@@ -133,6 +133,24 @@ def sanitize_markup(spark, d):
     return clean.select("doc_id", "reason", F.col("removed").cast("long").alias("removed"))
 
 
+@query("sanitized_text", _V + _SUBTEXT + """select doc_id, replace(svg, '"/>', '" />') as svg from docs""")
+def sanitized_text(spark, d):
+    """The cleaned text itself: handlers, foreign links, script values, foreign url() and unsafe elements are gone, the drawing is as it was."""
+    attributes = """<path onclick="x()" href="http://a/b" clip-path="url(http://c#d)" stroke=" JavaScript:x" """
+    elements = "<script>x</script><style>p {}</style><foreignObject><p xmlns='http://www.w3.org/1999/xhtml'>x</p></foreignObject></svg>"
+    bad = F.replace(F.replace("svg", F.lit("<path "), F.lit(attributes)), F.lit("</svg>"), F.lit(elements))
+    return svg.sanitize_markup(_docs(spark, d).withColumn("svg", bad)).select("doc_id", "svg")
+
+
+@query("svg_stats_checked", _V + """select doc_id, case when doc_id % 5 = 0 then 'declaration' when doc_id % 5 = 1 then 'malformed' end as reason,
+  case when doc_id % 5 > 1 then count(distinct path_index) end as path_count, case when doc_id % 5 > 1 then count(*) end as node_count, case when doc_id % 5 > 1 then max(x)-min(x) end as width,
+  case when doc_id % 5 > 1 then max(y)-min(y) end as height from vertices group by 1""")
+def svg_stats_checked(spark, d):
+    """Statistics refuse what cannot be read instead of counting what happens to match."""
+    broken = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("<!DOCTYPE svg>"), "svg")).when(F.col("doc_id") % 5 == 1, F.replace("svg", F.lit("</svg>"), F.lit("</path>"))).otherwise(F.col("svg"))
+    return svg.checked_stats(_docs(spark, d).withColumn("svg", broken)).select("doc_id", "reason", "path_count", "node_count", "width", "height")
+
+
 @query("sanitize_removals", _V + _SUBTEXT + """select doc_id, kind, name, n from (select d.doc_id, 'event' as kind, 'onclick' as name, count(*) as n from docs d join ptext p using (doc_id) group by 1
   union all select doc_id, 'element', 'script', 1 from docs) where doc_id % 5 > 1""")
 def sanitize_removals(spark, d):
