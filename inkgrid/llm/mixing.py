@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from inkgrid.llm.common import written
 
 RANGES = 1024
+#: Weights are brought into this interval, so that no key range holds more than about 1 / (LEAST * ranges) of a source.
+LEAST, MOST = 0.25, 1.0
 
 
 def count_words(text: Column) -> Column:
@@ -25,7 +27,7 @@ def count_words(text: Column) -> Column:
 def quality_weight(text: Column) -> Column:
     """Between 0.25 and 1: the share of letters and blanks among the text's characters."""
     plain = F.length(F.regexp_replace(text, r"[^\p{L}\s]+", "")) / F.greatest(F.length(text), F.lit(1))
-    return F.greatest(F.coalesce(plain, F.lit(0.0)), F.lit(0.25))
+    return F.greatest(F.coalesce(plain, F.lit(0.0)), F.lit(LEAST))
 
 
 def source_targets(totals: DataFrame, weights: Column, cap: float = 3.0) -> DataFrame:
@@ -46,15 +48,16 @@ def source_targets(totals: DataFrame, weights: Column, cap: float = 3.0) -> Data
     return before.withColumn("_level", open_level).select("source", "source_size", F.coalesce(F.least("_cap", F.col("_level") * F.col("_w")), F.col("_cap")).alias("target"))
 
 
-def repeated(docs: DataFrame, seed: int = 17, cap: float = 3.0) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes it."""
+def repeated(docs: DataFrame, seed: int = 17, cap: float = 3.0, weight: str | None = None) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it; ``weight`` names a column of qualities."""
     numbered = written(docs.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("row")), "mix-rows")
-    times = mix_sources(numbered.select("uid", "row.doc_id", "row.source", "row.text"), seed, cap, uid="uid")
+    told = [] if weight is None else [F.col(f"row.{weight}").alias("_weight")]
+    times = mix_sources(numbered.select("uid", "row.doc_id", "row.source", "row.text", *told), seed, cap, uid="uid", weight=F.col("_weight") if told else None)
     times = times.select("uid", (F.col("epochs") + F.col("picked").cast("long")).cast("int").alias("times")).where("times > 0")
     return numbered.join(times, "uid").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
-def mix_sources(docs: DataFrame, seed: int = 17, cap: float = 3.0, ranges: int = RANGES, uid: str | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, seed: int = 17, cap: float = 3.0, ranges: int = RANGES, uid: str | None = None, weight: Column | None = None) -> DataFrame:
     """``uid, doc_id, source, size, source_size, target, epochs, picked, taken``: how often each document enters the mix.
 
     Sources by code point (null last) weigh 1, 2, 3, 1, 2, 3, ...  ``epochs``
@@ -63,11 +66,15 @@ def mix_sources(docs: DataFrame, seed: int = 17, cap: float = 3.0, ranges: int =
     picked.  Ties in the key are broken by ``doc_id`` and checksum; rows equal in
     both are taken in the order of ``uid``, a number given to each row of the
     table that is written on the way.  Other columns are ignored.
+
+    ``weight`` is the quality of a document, such as a score that a quality model
+    gave it; null counts as ``LEAST``.  Without it the share of letters stands in.
     """
+    quality = quality_weight(F.col("text")) if weight is None else F.greatest(F.least(F.coalesce(weight.cast("double"), F.lit(LEAST)), F.lit(MOST)), F.lit(LEAST))
     crc = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("_crc")), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = docs.select((F.col(uid) if uid else F.monotonically_increasing_id()).alias("uid"), "doc_id", "source", count_words(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("_q"), crc.alias("_crc"))
-    keyed = keyed.withColumn("_key", -F.log(u) / F.col("_q")).withColumn("_range", F.floor((1 - F.exp(-F.col("_key"))) * ranges).cast("int"))
+    keyed = docs.select((F.col(uid) if uid else F.monotonically_increasing_id()).alias("uid"), "doc_id", "source", count_words(F.col("text")).alias("size"), quality.alias("_q"), crc.alias("_crc"))
+    keyed = keyed.withColumn("_key", -F.log(u) / F.col("_q")).withColumn("_range", F.floor((1 - F.exp(-F.col("_key") * LEAST)) * ranges).cast("int"))
     keyed = written(keyed.drop("_q"), "mix-keys")
     sums = keyed.groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
     totals = sums.groupBy("source").agg(F.sum("_sum").alias("source_size"))

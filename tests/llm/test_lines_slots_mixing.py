@@ -1,7 +1,10 @@
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from inkgrid.llm import lines, mixing, slots
 from llm_helpers import EDGE, plain
 
@@ -87,6 +90,41 @@ def test_mixing_prefers_quality(make_docs):
     assert picked[1] > 1.5 * picked[0]
 
 
+def test_mixing_picks_by_given_weights(spark):
+    """Which documents the fractional epoch takes, recomputed from the keys in a plain loop."""
+    rows = [(i, "word " * (1 + i % 7), "ab"[i // 11 % 2], [None, 0.0, 0.4, 0.9, 7.0][i % 5]) for i in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, quality double").repartition(3)
+    out = mixing.mix_sources(docs, ranges=8, weight=F.col("quality")).collect()
+    crc = {i: zlib.crc32(t.encode()) for i, t, _, _ in rows}
+    ids = spark.createDataFrame([(i, c) for i, c in crc.items()], "doc_id long, c long")
+    u = {r["doc_id"]: (r["h"] % (1 << 52) + 0.5) / (1 << 52) for r in ids.select("doc_id", F.xxhash64(F.lit(17), "doc_id", "c").alias("h")).collect()}
+    key = {i: -math.log(u[i]) / min(1.0, max(0.25, 0.25 if q is None else q)) for i, _, _, q in rows}
+    for source in "ab":
+        found = sorted((r for r in out if r["source"] == source), key=lambda r: key[r["doc_id"]])
+        budget = found[0]["target"] - found[0]["epochs"] * found[0]["source_size"]
+        ahead, want = 0, []
+        for r in found:
+            want.append(ahead + r["size"] / 2 <= budget and ahead < budget)
+            ahead += r["size"]
+        assert [r["picked"] for r in found] == want and 0 < sum(want)
+    heavy = Counter(rows[r["doc_id"]][3] for r in out if r["picked"] and r["source"] == "b")
+    assert heavy[7.0] + heavy[0.9] > heavy[0.0] + heavy[None]
+
+
+def test_repeated_by_a_weight_column(spark):
+    docs = spark.createDataFrame([(i, "one two three", "a" if i < 400 else "b", float(i % 2)) for i in range(600)], "doc_id long, text string, source string, q double")
+    out = mixing.repeated(docs, weight="q")
+    assert out.columns == docs.columns
+    times = Counter(r["doc_id"] for r in out.where("source = 'a'").collect())
+    assert sum(n for i, n in times.items() if i % 2) > 1.5 * sum(n for i, n in times.items() if i % 2 == 0)
+
+
+def test_no_range_is_crowded_by_light_documents(spark):
+    keyed = spark.range(50_000).select(((F.pmod(F.xxhash64("id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)).alias("u")).select((-F.log("u") / mixing.LEAST).alias("k"))
+    most = keyed.groupBy(F.floor((1 - F.exp(-F.col("k") * mixing.LEAST)) * 1024)).count().agg(F.max("count")).first()[0]
+    assert most < 50_000 * 3 / 1024
+
+
 def test_mixing_edge(edge_docs, no_docs):
     assert mixing.mix_sources(edge_docs).count() == len(EDGE) and mixing.mix_sources(no_docs).count() == 0
     assert {r["taken"] for r in mixing.mix_sources(edge_docs).where("size = 0").collect()} == {0}
