@@ -131,6 +131,18 @@ def holders(points: DataFrame, ring: DataFrame) -> DataFrame:
     return held.select("scope.doc_id", "pid", "outer", "band", "px", "py").join(filed, ["doc_id", "outer", "band"]).groupBy("doc_id", "pid", "outer").agg(F.count_if(hits).alias("hits")).where("hits % 2 = 1").select("doc_id", "pid", "outer")
 
 
+def containment_pairs(vertices: DataFrame, shaped: DataFrame | None = None) -> DataFrame:
+    """``inner, outer``: the inward point of shape ``inner`` lies inside polygon ``outer``; all pairs, for callers who want each of them.
+
+    A shape holds its own point too; that row stands for the copies it has.
+    ``shaped`` folds copies of the same direction only (``shapes(..., either_way=False)``).
+    """
+    shaped = shapes(vertices, either_way=False) if shaped is None else shaped
+    firsts = cut_lineage(shape_members(vertices, shaped))
+    points = inward_points(firsts).select("doc_id", F.col("node").alias("pid"), "px", "py", F.lit(0).alias("cluster"))
+    return holders(points, with_node(edges(firsts)).withColumn("cluster", F.lit(0))).select("doc_id", F.col("pid").alias("inner"), "outer")
+
+
 def around_clusters(links: DataFrame) -> DataFrame:
     """``depth, parent`` summed up along ``up``, each pass looking twice as far (``doc_id, cluster, up, depth, parent``)."""
     state = cut_lineage(links)

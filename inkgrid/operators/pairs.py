@@ -1,4 +1,4 @@
-"""Pair operators on outlines: copies, near copies, touching, containment, distances.
+"""Pair operators on outlines: copies, near copies, touching, distances.
 
 Exact copies are folded into one shape first.  A document in which a third of
 the outlines are copies of one drawing then costs one outline in every pair
@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid.functions import geometry
-from inkgrid.operators.grid import overlapping_boxes, points_in_boxes
-from inkgrid.operators.outlines import drawn_edges, edges, inward_points, polygon_area, with_node
-from inkgrid.session import cut_lineage
+from inkgrid.operators.grid import overlapping_boxes
+from inkgrid.operators.outlines import drawn_edges, with_node
 
 NODE = ["doc_id", "node"]
 
@@ -138,39 +137,6 @@ def touch_pairs(
     )
 
 
-def containment_pairs(vertices: DataFrame, shaped: DataFrame | None = None) -> DataFrame:
-    """``inner, outer``: the inward point of shape ``inner`` lies inside polygon ``outer``.
-
-    A shape holds its own point too; that row stands for the copies it has.
-    ``shaped`` folds copies of the same direction only (``shapes(..., either_way=False)``).
-    Big polygons are cut into y bands, so a point meets about sqrt(n) edges.
-    """
-    shaped = shapes(vertices, either_way=False) if shaped is None else shaped
-    firsts = cut_lineage(shape_members(vertices, shaped))
-    points = inward_points(firsts).withColumnRenamed("node", "inner")
-    ring = with_node(edges(firsts))
-    boxes = ring.groupBy(*NODE).agg(
-        *[F.min(F.least(f"{c}1", f"{c}2")).alias(f"min_{c}") for c in "xy"],
-        *[F.max(F.greatest(f"{c}1", f"{c}2")).alias(f"max_{c}") for c in "xy"], F.count("*").alias("n"),
-    ).where("n >= 3").withColumns({
-        "bands": F.ceil(F.sqrt(F.col("n") / 4.0)).cast("int"),
-        "band_height": F.greatest((F.col("max_y") - F.col("min_y")) / F.ceil(F.sqrt(F.col("n") / 4.0)), F.lit(1e-12)),
-    })
-
-    def band(y: Column) -> Column:
-        return F.least(F.greatest(F.floor((y - F.col("min_y")) / F.col("band_height")), F.lit(0)), F.col("bands") - 1)
-
-    filed = ring.join(boxes.select(*NODE, "min_y", "band_height", "bands"), NODE).withColumn(
-        "band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2"))))
-    ).select("doc_id", F.col("node").alias("outer"), "band", "x1", "y1", "x2", "y2")
-    held = points_in_boxes(points, boxes.withColumnRenamed("node", "outer"), "doc_id").withColumn("band", band(F.col("py")))
-    hits = geometry.crosses_right((F.col("px"), F.col("py")), (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2")))
-    counted = held.select("doc_id", "inner", "outer", "band", "px", "py").join(filed, ["doc_id", "outer", "band"]).groupBy(
-        "doc_id", "inner", "outer"
-    ).agg(F.count_if(hits).alias("hits"))
-    return counted.where("hits % 2 = 1").select("doc_id", "inner", "outer")
-
-
 def near_pieces(segments: DataFrame, radius: DataFrame) -> DataFrame:
     """Closest points of every two pieces of a selection that are within the selection's radius.
 

@@ -229,7 +229,7 @@ _FIRSTS = f""", firsts as (select doc_id, {NODE} as node, min({NODE}) over (part
 @query("containment_pairs", _V + _EDGES + _INWARD + _INSIDE + _FIRSTS + """select i.doc_id, inner_node as "inner", outer_node as "outer" from inside i
   join firsts a on a.doc_id=i.doc_id and a.node=inner_node and a.shape=a.node join firsts b on b.doc_id=i.doc_id and b.node=outer_node and b.shape=b.node""")
 def containment_pairs(spark, d):
-    return pairs.containment_pairs(_v(spark, d))
+    return nesting.containment_pairs(_v(spark, d))
 
 
 @query("nesting_depth", _V + _EDGES + _INWARD + _INSIDE + "select doc_id, node, depth, depth % 2 = 1 as is_hole from depth")

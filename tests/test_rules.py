@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helpers import outline, png, square, vertices
 from inkgrid.functions import geometry, svgtext, text
-from inkgrid.operators import catalog, components, nesting, outlines, pairs, svg
+from inkgrid.operators import catalog, components, nesting, outlines, svg
 from inkgrid.operators.palette import _Groups
 from inkgrid.sources import files
 
