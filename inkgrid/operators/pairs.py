@@ -11,10 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid.functions import geometry
+from inkgrid.operators.graph import connected_components
 from inkgrid.operators.grid import overlapping_boxes
 from inkgrid.operators.outlines import drawn_edges, with_node
+from inkgrid.session import cut_lineage
 
 NODE = ["doc_id", "node"]
+_BOX = ["min_x", "min_y", "max_x", "max_y"]
+#: Outlines that can be near copies lie in the same or a neighbouring cell.
+_CELL = ["doc_id", "closed", "n", "cx", "cy"]
+#: A cell with more distinct shapes than this is thinned out by pivots, about so many per round.
+CROWD, PIVOTS = 64, 8
 
 
 def shapes(vertices: DataFrame, either_way: bool = True) -> DataFrame:
@@ -78,28 +85,113 @@ def duplicate_pairs(vertices: DataFrame, bounds: DataFrame, ratio: float = 0.002
     """
     shaped = shapes(vertices) if shaped is None else shaped
     tolerance = _tolerance(bounds, ratio)
+    cand = _filed_by_corner(vertices, tolerance, shaped)
+    pairs = _meeting(cand, F.col("tolerance"))
+    close = point_distances(pairs, vertices).join(tolerance, "doc_id").where("distance <= tolerance").drop("tolerance")
+    copies = copy_edges(shaped).join(tolerance, "doc_id", "left_semi").withColumn("distance", F.lit(0.0))
+    return copies.unionByName(close)
+
+
+def _filed_by_corner(vertices: DataFrame, tolerance: DataFrame, shaped: DataFrame) -> DataFrame:
+    """The distinct shapes with bounds, tolerance and the cell of their lower corner (cells are as wide as the tolerance)."""
     corners = with_node(vertices).groupBy(*NODE).agg(
         *[F.min(c).alias(f"min_{c}") for c in "xy"], *[F.max(c).alias(f"max_{c}") for c in "xy"]
     )
     cand = shaped.where("node = shape").select(*NODE, "closed", "n").join(corners, NODE).join(tolerance, "doc_id")
     size = F.greatest(F.col("tolerance"), F.lit(1e-9))
-    cand = cand.withColumns({"cx": F.floor(F.col("min_x") / size), "cy": F.floor(F.col("min_y") / size)})
-    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)])
+    return cand.withColumns({"cx": F.floor(F.col("min_x") / size), "cy": F.floor(F.col("min_y") / size)})
+
+
+def _meeting(cand: DataFrame, reach: Column, reach_cells: int = 1) -> DataFrame:
+    """Pairs of filed shapes (``doc_id, src, dst, n``) whose bounds differ by at most ``reach``, which spans ``reach_cells`` cells."""
+    steps = range(-reach_cells, reach_cells + 1)
+    around = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in steps for dy in steps])
     probe = cand.withColumn("o", F.explode(around)).select(
         "doc_id", "closed", "n", (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"),
-        F.col("node").alias("dst"), *[F.col(c).alias(f"b_{c}") for c in ("min_x", "min_y", "max_x", "max_y")],
+        F.col("node").alias("dst"), *[F.col(c).alias(f"b_{c}") for c in _BOX],
     )
-    slack = F.col("tolerance") * 1.000001 + 1e-12
-    near = None
-    for c in ("min_x", "min_y", "max_x", "max_y"):
-        one = F.abs(F.col(c) - F.col(f"b_{c}")) <= slack
-        near = one if near is None else near & one
-    pairs = cand.withColumnRenamed("node", "src").join(probe, ["doc_id", "closed", "n", "cx", "cy"]).where(
-        (F.col("src") < F.col("dst")) & near
-    ).select("doc_id", "src", "dst", "n")
-    close = point_distances(pairs, vertices).join(tolerance, "doc_id").where("distance <= tolerance").drop("tolerance")
-    copies = copy_edges(shaped).join(tolerance, "doc_id", "left_semi").withColumn("distance", F.lit(0.0))
-    return copies.unionByName(close)
+    slack = reach * 1.000001 + 1e-12
+    near = F.col("src") < F.col("dst")
+    for c in _BOX:
+        near = near & (F.abs(F.col(c) - F.col(f"b_{c}")) <= slack)
+    return cand.withColumnRenamed("node", "src").join(probe, _CELL).where(near).select("doc_id", "src", "dst", "n")
+
+
+def _cores(cand: DataFrame, vertices: DataFrame, crowd: int) -> DataFrame:
+    """Shapes of crowded cells with the pivot ``core`` they are within half the tolerance of, and their distance ``off`` to it.
+
+    Two shapes around one pivot are within the tolerance of each other (the distance
+    of outlines, in the better direction, obeys the triangle inequality).  Every round
+    takes a few pivots of each crowded cell by hash; a cell that a round does not thin
+    out by a quarter is left.  Shapes without a pivot are cores of their own.
+    """
+    live = cand.select(*_CELL, "node", "tolerance")
+    cells = live.groupBy(*_CELL).agg(F.count("*").alias("k"))
+    found, rounds = None, 0
+    while True:
+        crowded = cut_lineage(cells.where(F.col("k") > crowd))
+        if crowded.isEmpty():
+            break
+        rounds += 1
+        inside = cut_lineage(live.join(crowded, _CELL))
+        place = F.pmod(F.xxhash64("node", F.lit(rounds)), F.greatest(F.floor(F.col("k") / PIVOTS), F.lit(1)))
+        pivots = inside.where((place == 0)).select(*_CELL, F.col("node").alias("core"))
+        tries = inside.join(pivots, _CELL).where("node <> core").select("doc_id", F.col("core").alias("src"), F.col("node").alias("dst"), "n", "tolerance")
+        tight = point_distances(tries.drop("tolerance"), vertices).join(tries.select("doc_id", "src", "dst", "tolerance"), ["doc_id", "src", "dst"])
+        taken = tight.where("distance <= tolerance * 0.4999999").select("doc_id", F.col("dst").alias("node"), F.col("src").alias("core"), F.col("distance").alias("off"))
+        # a pivot near another pivot of a smaller id follows it only if that one stays a pivot, so pivots stay with themselves
+        own = pivots.select("doc_id", F.col("core").alias("node"), "core", F.lit(0.0).alias("off"))
+        others = taken.join(own.select(*NODE), NODE, "left_anti").groupBy(*NODE).agg(F.min(F.struct("off", "core")).alias("b")).select(*NODE, "b.core", "b.off")
+        step = cut_lineage(own.unionByName(others))
+        found = step if found is None else found.unionByName(step)
+        live = cut_lineage(live.join(step.select(*NODE), NODE, "left_anti"))
+        left = live.groupBy(*_CELL).agg(F.count("*").alias("_left"))
+        cells = crowded.join(left, _CELL).where(F.col("_left") * 4 <= F.col("k") * 3).select(*_CELL, F.col("_left").alias("k"))
+    alone = live.select(*NODE, F.col("node").alias("core"), F.lit(0.0).alias("off"))
+    return alone if found is None else alone.unionByName(found)
+
+
+def duplicate_links(vertices: DataFrame, bounds: DataFrame, ratio: float = 0.002, shaped: DataFrame | None = None, crowd: int = CROWD) -> DataFrame:
+    """Enough edges between duplicates to join every group that :func:`duplicate_pairs` joins, and no others.
+
+    Many near copies in one spot are stars around pivots.  Pivots are compared with
+    each other; their followers only where that leaves it open whether two stars
+    touch and no other link has joined them.
+    """
+    shaped = shapes(vertices) if shaped is None else shaped
+    tolerance = _tolerance(bounds, ratio)
+    cand = cut_lineage(_filed_by_corner(vertices, tolerance, shaped))
+    cores = cut_lineage(_cores(cand, vertices, crowd))
+    stars = cores.where("node <> core").select("doc_id", F.col("core").alias("src"), F.col("node").alias("dst"), F.col("off").alias("distance"))
+    links = copy_edges(shaped).join(tolerance, "doc_id", "left_semi").withColumn("distance", F.lit(0.0)).unionByName(stars)
+    if stars.isEmpty():
+        close = point_distances(_meeting(cand, F.col("tolerance")), vertices)
+        return links.unionByName(close.join(tolerance, "doc_id").where("distance <= tolerance").drop("tolerance"))
+    radius = cores.groupBy("doc_id", F.col("core").alias("node")).agg(F.max("off").alias("r"))
+    heads = cand.join(radius, NODE)
+    ends = [radius.select("doc_id", F.col("node").alias(e), F.col("r").alias(f"{e}_r")) for e in ("src", "dst")]
+    apart = point_distances(_meeting(heads, F.col("tolerance") * 2, 2), vertices).join(tolerance, "doc_id").join(ends[0], ["doc_id", "src"]).join(ends[1], ["doc_id", "dst"])
+    apart = cut_lineage(apart.where(F.col("distance") <= (F.col("tolerance") + F.col("src_r") + F.col("dst_r")) * 1.000001))
+    near = apart.where("distance <= tolerance").select("doc_id", "src", "dst", "distance")
+    links = links.unionByName(near)
+    roots = connected_components(radius.select("doc_id", F.col("node").alias("id")), near)
+    sides = [roots.select("doc_id", F.col("id").alias(e), F.col("root").alias(f"{e}_root")) for e in ("src", "dst")]
+    unsure = cut_lineage(apart.where("distance > tolerance").join(sides[0], ["doc_id", "src"]).join(sides[1], ["doc_id", "dst"]).where("src_root <> dst_root"))
+    if unsure.isEmpty():
+        return links
+    sized = cand.select(*NODE, "n")
+
+    def reaching(here: str, there: str) -> DataFrame:
+        """Followers of one pivot that can be near a follower of the other."""
+        rows = unsure.join(cores.select("doc_id", F.col("core").alias(here), "node"), ["doc_id", here]).join(sized, NODE)
+        tries = rows.select("doc_id", F.col(there).alias("src"), F.col("node").alias("dst"), "n").distinct()
+        far = point_distances(tries, vertices).select("doc_id", F.col("src").alias(there), F.col("dst").alias("node"), F.col("distance").alias("_d"))
+        return rows.join(far, ["doc_id", there, "node"]).where(F.col("_d") <= (F.col("tolerance") + F.col(f"{there}_r")) * 1.000001).select(
+            "doc_id", "src", "dst", "n", F.col("node").alias(f"_{here}"))
+
+    opened = reaching("src", "dst").join(reaching("dst", "src").drop("n"), ["doc_id", "src", "dst"]).select("doc_id", F.col("_src").alias("src"), F.col("_dst").alias("dst"), "n").distinct()
+    close = point_distances(opened, vertices).join(tolerance, "doc_id").where("distance <= tolerance").drop("tolerance")
+    return links.unionByName(close)
 
 
 def _segment_boxes(segments: DataFrame, margin: Column) -> DataFrame:
