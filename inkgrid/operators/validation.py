@@ -9,6 +9,7 @@ from inkgrid.functions.text import EXTENSIONS, trimmed
 from inkgrid.functions.text import blank as is_blank
 
 MAX_UPLOAD_BYTES = 15 * 1024 * 1024
+MAX_SIDE, MAX_PIXELS = 6000, 25_000_000
 
 # Accepted file endings by content type, and the presets.
 _ENDINGS = {"image/png": [".png"], "image/jpeg": [".jpg", ".jpeg"], "image/webp": [".webp"]}
@@ -54,7 +55,7 @@ def validate_assets(assets: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES) -> Dat
     return assets.withColumn("reason", reason)
 
 
-def dimension_guard(images: DataFrame, max_side: int = 6000, max_pixels: int = 25_000_000) -> DataFrame:
+def dimension_guard(images: DataFrame, max_side: int = MAX_SIDE, max_pixels: int = MAX_PIXELS) -> DataFrame:
     w, h = F.col("width"), F.col("height")
     too_big = (w > max_side) | (h > max_side) | (w.cast("long") * h > max_pixels)
     return images.withColumn("reason", F.when(too_big, "dimensions_exceeded"))

@@ -97,6 +97,26 @@ def load_images(spark, d):
     return shown.groupBy("y", "x", "b", "g", "r", "a").agg(F.count("*").alias("n"))
 
 
+_GUARDED = ctes("px") + """, files as (select distinct image_id, case image_id % 4 when 1 then 'dimensions_exceeded' when 2 then 'corrupt_image' end as reason from px)
+select f.reason, count(distinct f.image_id) as files, case when f.reason is null then sum(p.r + p.g + p.b) end as channel_sum
+  from files f left join px p on p.image_id = f.image_id group by f.reason"""
+
+
+@query("guarded_images", _GUARDED)
+def guarded_images(spark, d):
+    """One kind of files names 30 000 x 30 000 pixels in its header, another ends early; what is left is decoded and summed."""
+    folder = run_dir(spark, "guarded")
+    body, kind = F.col("content"), F.col("image_id") % 4
+    side = F.unhex(F.lit("0000753000007530"))
+    wide = F.concat(F.substring(body, 1, 16), side, F.expr("substring(content, 25)"))
+    bytes_ = F.when(kind == 1, wide).when(kind == 2, F.substring(body, 1, 40)).otherwise(body)
+    _png(views.px(spark, d)).select(bytes_.cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    good, bad = files.load_images(spark, folder)
+    sums = pixels.explode_pixels(good).groupBy("image_id").agg(F.sum(F.col("r") + F.col("g") + F.col("b")).alias("s"))
+    fine = sums.agg(F.lit(None).cast("string").alias("reason"), F.count("*").alias("files"), F.sum("s").alias("channel_sum"))
+    return fine.unionByName(bad.groupBy("reason").agg(F.count("*").alias("files")).withColumn("channel_sum", F.lit(None).cast("long")))
+
+
 @query("denoise", ctes("px") + _blur_sql("px", 2) + "select pass2.*, px.a from pass2 join px using (image_id, y, x)")
 def denoise(spark, d):
     return pixels.denoise(views.px(spark, d), views.canvas(spark, d), 2)

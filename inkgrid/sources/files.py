@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkgrid.operators.validation import extension
+from inkgrid.operators.validation import MAX_PIXELS, MAX_SIDE, MAX_UPLOAD_BYTES, dimension_guard, extension, validate_uploads
+from inkgrid.session import cut_lineage, run_dir
 
 # Content type by file ending.
 _MIME = {".png": "image/png", ".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".webp": "image/webp", ".svg": "image/svg+xml"}
@@ -19,18 +21,98 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
 
 
-def load_images(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Decoded images and rejected files (``corrupt_image`` or ``unsupported_format``).
+def _origin(path: Column) -> Column:
+    """A listed path as the image source writes it (it gives local files three slashes)."""
+    return F.regexp_replace(path, "^file:/(?!/)", "file:///")
 
+
+#: So many refused paths are put into one listing filter.
+REFUSED_BLOCK = 10_000
+
+
+def image_headers(spark: SparkSession, folder: str, max_side: int = MAX_SIDE, max_pixels: int = MAX_PIXELS, max_bytes: int | None = None) -> DataFrame:
+    """``path, length, width, height`` of every file and the ``reason`` not to decode it (null when fine).
+
+    Nothing is decoded.  Files over ``max_bytes`` are not even read: the length is
+    known from the listing.
+    """
+    listed = read_files(spark, folder).select(F.col("_metadata.file_path").alias("path"), "length", "content")
+    small = listed if max_bytes is None else listed.where(F.col("length") <= max_bytes)
+    sized = dimension_guard(header_dims(small), max_side, max_pixels).drop("content")
+    if max_bytes is None:
+        return sized
+    nothing = F.lit(None).cast("int")
+    return sized.unionByName(listed.where(F.col("length") > max_bytes).select(
+        "path", "length", nothing.alias("width"), nothing.alias("height"), F.lit("file_too_large").alias("reason")))
+
+
+def _decoded(spark: SparkSession, folder: str, refused: DataFrame, block: int) -> DataFrame:
+    """Image rows of all files but the refused ones, which the listing leaves out, so that they are never opened.
+
+    Refused paths come to the driver one block at a time; with more than one block,
+    files are taken by ranges of paths and each range is written before the next.
+    """
+    images = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(folder)
+    path = F.col("_metadata.file_path")
+    paths = (r.path for r in refused.select("path").orderBy("path").toLocalIterator())
+    after, target = None, None
+    while True:
+        names = list(itertools.islice(paths, block))
+        last = len(names) < block
+        here = images if after is None else images.where(path > after)
+        here = here if last else here.where(path <= names[-1])
+        here = (here.where(~path.isin(names)) if names else here).select("image.*")
+        if last and target is None:
+            return here
+        target = target or run_dir(spark, "decoded")
+        here.write.mode("append").parquet(target)
+        if last:
+            return spark.read.schema(here.schema).parquet(target)
+        after = names[-1]
+
+
+def load_images(
+    spark: SparkSession, folder: str, max_side: int = MAX_SIDE, max_pixels: int = MAX_PIXELS, max_bytes: int | None = None, block: int = REFUSED_BLOCK,
+) -> tuple[DataFrame, DataFrame]:
+    """Decoded images, and rejected files with a reason.
+
+    Headers come first: ``dimensions_exceeded`` (by what the header says) and
+    ``file_too_large`` (only with ``max_bytes``) are named before decoding and never
+    decoded.  ``corrupt_image`` and ``unsupported_format`` are what decoding refuses; a
+    decoded image whose header could not be read is held against the bounds again.
     Ids are hashes of the path.  Whether a fourth channel counts is decided
     when the pixels are listed (``explode_pixels(..., keep_alpha=False)``).
     """
-    rows = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").load(folder).select("image.*")
+    headers = image_headers(spark, folder, max_side, max_pixels, max_bytes)
+    refused = cut_lineage(headers.where("reason is not null").select("path", "reason"))
     ident = F.xxhash64("origin").alias("image_id")
-    good = rows.where("width > 0").select(ident, "origin", "width", "height", F.col("nChannels").alias("n_channels"), "data")
     webp = extension(F.col("origin")) == ".webp"
-    bad = rows.where("width <= 0").select(ident, "origin", F.when(webp, "unsupported_format").otherwise("corrupt_image").alias("reason"))
-    return good, bad
+    rows = dimension_guard(_decoded(spark, folder, refused, block), max_side, max_pixels).withColumn(
+        "reason", F.when(F.col("width") > 0, F.col("reason")).otherwise(F.when(webp, "unsupported_format").otherwise("corrupt_image")))
+    good = rows.where("reason is null").select(ident, "origin", "width", "height", F.col("nChannels").alias("n_channels"), "data")
+    bad = rows.where("reason is not null").select(ident, "origin", "reason")
+    return good, bad.unionByName(refused.select(_origin(F.col("path")).alias("origin"), "reason").select(ident, "origin", "reason"))
+
+
+def checked_uploads(spark: SparkSession, folder: str, types: DataFrame, max_bytes: int = MAX_UPLOAD_BYTES) -> DataFrame:
+    """``file_name, reason``: the first upload rule that a stored file breaks, its decode result included (null when fine).
+
+    ``types``: file_name, mime as declared, one row per name.  A file without a declared
+    type is ``unsupported_format``; a declared one without bytes, which a listing passes
+    over, is ``empty_file``.  Dimensions beyond the bounds and WebP files, which are not
+    decoded here, are no upload fault.
+    """
+    _, bad = load_images(spark, folder, max_bytes=max_bytes)
+    broken = bad.where("reason = 'corrupt_image'").select("origin", F.lit(False).alias("decodable"))
+    listed = read_files(spark, folder).select(
+        _origin(F.col("_metadata.file_path")).alias("origin"), F.col("_metadata.file_name").alias("name"), "length", "content")
+    declared = types.select(F.col("file_name").alias("name"), "mime")
+    heads = listed.where(F.col("length") <= max_bytes).select("origin", "name", F.substring("content", 1, 12).alias("content"))
+    told = heads.join(declared, "name", "left").join(broken, "origin", "left").withColumn("decodable", F.coalesce("decodable", F.lit(True)))
+    ruled = validate_uploads(told, max_bytes).select(F.col("name").alias("file_name"), "reason")
+    large = listed.where(F.col("length") > max_bytes).select(F.col("name").alias("file_name"), F.lit("file_too_large").alias("reason"))
+    empty = declared.join(listed.select("name"), "name", "left_anti").select(F.col("name").alias("file_name"), F.lit("empty_file").alias("reason"))
+    return ruled.unionByName(large).unionByName(empty)
 
 
 def image_catalog(files: DataFrame) -> DataFrame:

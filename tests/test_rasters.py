@@ -134,6 +134,44 @@ def test_image_source_and_catalogue(spark, tmp_path):
     assert rows["broken.png"].width is None
 
 
+def _files_opened(df):
+    """Number of files that the scans of a collected frame were given."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+    leaves, scans = plan.collectLeaves(), []
+    for k in range(leaves.size()):
+        metric = leaves.apply(k).metrics().get("numFiles")
+        if metric.isDefined():
+            scans.append(metric.get().value())
+    return scans
+
+
+def test_headers_are_looked_at_before_decoding(spark, tmp_path):
+    good = png(3, 2, lambda x, y: (x, y, 0, 255))
+    wide = good[:16] + bytes.fromhex("0000753000007530") + good[24:]
+    for name, data in {"a.png": good, "b b.png": wide, "c.png": good[:40], "d.webp": b"RIFF0000WEBPVP8 ", "e.png": good + bytes(5000), "f.png": png(6001, 1, lambda x, y: (0, 0, 0, 255)), "g.png": wide}.items():
+        (tmp_path / name).write_bytes(data)
+    want = {"b%20b.png": "dimensions_exceeded", "c.png": "corrupt_image", "d.webp": "unsupported_format", "e.png": "file_too_large", "f.png": "dimensions_exceeded", "g.png": "dimensions_exceeded"}
+    for block in (10_000, 4, 2, 1):
+        images, rejects = files.load_images(spark, str(tmp_path), max_bytes=4000, block=block)
+        assert {r.origin.rsplit("/", 1)[1]: r.reason for r in rejects.collect()} == want, block
+        assert [r.origin.rsplit("/", 1)[1] for r in images.collect()] == ["a.png"]
+    # the scan that decodes is given the three files left: a, c and d
+    images, _ = files.load_images(spark, str(tmp_path), max_bytes=4000)
+    assert _files_opened(images) == [3]
+    assert files.load_images(spark, str(tmp_path), max_side=30_000, max_pixels=10**9, max_bytes=10**6)[0].count() == 3
+
+
+def test_upload_rules_know_the_decode_result(spark, tmp_path):
+    good = png(3, 2, lambda x, y: (x, y, 0, 255))
+    for name, data in {"a.png": good, "b.png": good[:40], "c.png": b"", "d.png": good + bytes(5000), "e.gif": good, "f.png": b"\0" + good, "g.png": good}.items():
+        (tmp_path / name).write_bytes(data)
+    types = spark.createDataFrame([(f"{n}.png", "image/png") for n in "abcdf"] + [("e.gif", "image/png")], "file_name string, mime string")
+    rows = files.checked_uploads(spark, str(tmp_path), types, max_bytes=4000).collect()
+    assert {r.file_name: r.reason for r in rows} == {"a.png": None, "b.png": "corrupt_file", "c.png": "empty_file", "d.png": "file_too_large", "e.gif": "unsupported_format", "f.png": "corrupt_file", "g.png": "unsupported_format"}
+
+
 def test_registry_skips_unreadable_files(spark, tmp_path):
     from pyspark.sql import types as T
 
