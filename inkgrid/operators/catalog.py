@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrid.functions.text import blank, trimmed
+from inkgrid.operators.history import numbered
 
 Catalog = dict[str, DataFrame]
 
@@ -18,6 +19,8 @@ Catalog = dict[str, DataFrame]
 ORIGINS = ["VECTORIZE", "MANUAL_EDIT", "AUTOSAVE", "RESTORE", "AI_EDIT"]
 
 PAGE_SIZE, MAX_PAGE_SIZE = 20, 100
+#: Pages that begin farther behind are found by numbered ranges instead of one sorted head.
+DEEP_ROWS = 10_000
 
 
 def live_projects(projects: DataFrame) -> DataFrame:
@@ -33,23 +36,43 @@ def _matching(projects: DataFrame, owner: int | str | None, search: str | None)
     return found
 
 
+def _behind(column: str, descending: bool, value: object, ident: int | str) -> Column:
+    """Rows that come after (``value``, ``ident``) in the order of the listing; nulls are the smallest values."""
+    col, later = F.col(column), F.col("id") > F.lit(ident)
+    if value is None:
+        return (col.isNull() & later) if descending else ((col.isNull() & later) | col.isNotNull())
+    tie = (col == F.lit(value)) & later
+    return (col < F.lit(value)) | tie | col.isNull() if descending else (col > F.lit(value)) | tie
+
+
 def list_projects(
     projects: DataFrame, owner: int | str | None = None, search: str | None = None, sort: str | None = None,
-    page: int | None = None, size: int | None = None,
+    page: int | None = None, size: int | None = None, after: tuple[object, int | str] | None = None, deep: int = DEEP_ROWS,
 ) -> DataFrame:
-    """One page of an owner's live projects with ``total_count``; ties go by id."""
-    orders = {
-        "lastmodified": [F.col("updated_at").desc(), "id"],
-        "name": ["name", "id"],
-        "created": [F.col("created_at").desc(), "id"],
-    }
+    """One page of an owner's live projects with ``total_count``; ties go by id.
+
+    ``after`` is the sort value and id of the last row seen: the page that follows it
+    costs as much as the first, wherever it lies, and ``page`` is passed over.  A page
+    by number keeps the rows before it in one task only up to ``deep`` of them;
+    farther pages are found by numbers given to ranges of the sorted rows.
+    """
+    orders = {"lastmodified": ("updated_at", True), "name": ("name", False), "created": ("created_at", True)}
     chosen = (sort or "").strip().lower() or "lastmodified"
     if chosen not in orders:
         raise ValueError("invalid_sort")
+    column, descending = orders[chosen]
+    order = [F.col(column).desc() if descending else F.col(column).asc(), F.col("id").asc()]
     page = page if page and page > 0 else 1
     size = min(size, MAX_PAGE_SIZE) if size and size > 0 else PAGE_SIZE
     found = _matching(projects, owner, search)
-    rows = found.orderBy(*orders[chosen]).offset((page - 1) * size).limit(size)
+    first = (page - 1) * size
+    if after is not None:
+        rows = found.where(_behind(column, descending, *after)).orderBy(*order).limit(size)
+    elif first <= deep:
+        rows = found.orderBy(*order).offset(first).limit(size)
+    else:
+        placed = numbered(found, [], order, "_position")
+        rows = placed.where(F.col("_position").between(first + 1, first + size)).orderBy("_position").drop("_position")
     total = found.agg(F.count("*").alias("total_count"))
     return rows.withColumn("total_count", total.scalar())
 

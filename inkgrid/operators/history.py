@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrid.functions import text
 from inkgrid.session import cut_lineage
 
+ColumnOrName = Column | str
+
 
 def latest_version(history: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
     """Last row per key; of rows with the same version the one with the largest other columns.
@@ -23,7 +25,7 @@ def latest_version(history: DataFrame, keys: list[str], version: str = "version"
     return newest.groupBy(*keys, version).agg(F.max(F.struct(*rest)).alias("last")).select(*keys, version, "last.*")
 
 
-def running_total(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+def running_total(df: DataFrame, keys: list[str], order: list[ColumnOrName], value: str, name: str) -> DataFrame:
     """Running sum per key that does not sort a hot key in one task.
 
     Rows are dealt by ranges of (key, order), so a busy key runs over several
@@ -43,7 +45,7 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
     )
 
 
-def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], order: list[ColumnOrName], name: str) -> DataFrame:
     """Row number per key, cut into parts like :func:`running_total`."""
     ones = running_total(df.withColumn("_one", F.lit(1)), keys, order, "_one", name)
     return ones.drop("_one")

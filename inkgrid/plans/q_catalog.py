@@ -415,6 +415,25 @@ def list_projects(spark, d):
     return catalog.list_projects(views.projects(spark, d), search=" urg ", page=2, size=500)
 
 
+@query("list_projects_deep", ctes("projects") + """, found as (select * from projects where deleted_at is null)
+select id, owner_id, name, created_at, updated_at, deleted_at, (select count(*) from found) as total_count
+  from found order by updated_at desc, id limit 100 offset (select cast(floor(count(*) / 200) * 100 as bigint) from found)""")
+def list_projects_deep(spark, d):
+    """The page in the middle of all live projects, found by numbered ranges."""
+    rows = views.projects(spark, d)
+    return catalog.list_projects(rows, page=catalog.live_projects(rows).count() // 200 + 1, size=100, deep=0)
+
+
+@query("list_projects_after", ctes("projects") + """, found as (select * from projects where deleted_at is null)
+select id, owner_id, name, created_at, updated_at, deleted_at, (select count(*) from found) as total_count
+  from found order by name, id limit 100 offset 100""")
+def list_projects_after(spark, d):
+    """The second page by name, asked for by the last row of the first."""
+    rows = views.projects(spark, d)
+    last = catalog.list_projects(rows, sort="name", size=100).collect()[-1]
+    return catalog.list_projects(rows, sort="name", size=100, after=(last["name"], last["id"]))
+
+
 @query("list_versions", _CAT + "select id, document_id, version_number, width_mm, height_mm, origin, created_at from cversions")
 def list_versions(spark, d):
     return catalog.list_versions(_catalog(spark, d)["versions"])
