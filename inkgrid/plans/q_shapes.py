@@ -27,7 +27,28 @@ def trace_masks(spark, d):
     return rings.groupBy("image_id", "mask_id").agg(F.sum("corners").alias("node_count"), F.sum("signed_area").alias("enclosed_area"))
 
 
-@query("trace_rings")
+# Unit edges with the mask on their right; at a point where two pixels meet by a corner, the way turns right and so stays with its pixel.
+# Directions are 0 right, 1 down, 2 left, 3 up.  Every corner walks on until it meets a smaller one; the smallest closes its ring.
+_WALK = ctes("mask_pixels").replace("with", "with recursive", 1) + """, mp as (select distinct image_id, mask_id, x::bigint as x, y::bigint as y from mask_pixels)
+, sides as (select * from (values (0,-1,0,0,0), (1,0,1,0,1), (0,1,1,1,2), (-1,0,0,1,3)) t(sx,sy,ox,oy,d))
+, unit as (select image_id, mask_id, x+ox as x, y+oy as y, d from mp, sides where not exists (
+  select 1 from mp o where o.image_id=mp.image_id and o.mask_id=mp.mask_id and o.x=mp.x+sx and o.y=mp.y+sy))
+, step as (select * from (values (0,1,0,1), (1,0,1,2), (2,-1,0,3), (3,0,-1,0)) t(d,dx,dy,rightwards))
+, corner as (select * from (select u.image_id, u.mask_id, u.x+s.dx as x, u.y+s.dy as y, u.d as din,
+    arg_min(v.d, case when v.d=s.rightwards then 0 when v.d=u.d then 1 else 2 end) as dout
+  from unit u join step s on s.d=u.d join unit v on v.image_id=u.image_id and v.mask_id=u.mask_id and v.x=u.x+s.dx and v.y=u.y+s.dy
+  group by all) where din <> dout)
+, named as (select *, y*17179869184 + x*4 + din as cid from corner)
+, jump as (select a.image_id, a.mask_id, a.cid, arg_min(b.cid, (b.x-a.x)*s.dx+(b.y-a.y)*s.dy) as ncid from named a join step s on s.d=a.dout
+  join named b on b.image_id=a.image_id and b.mask_id=a.mask_id and b.din=a.dout and (b.x-a.x)*s.dx+(b.y-a.y)*s.dy > 0 and (b.x-a.x)*s.dy=0 and (b.y-a.y)*s.dx=0 group by 1,2,3)
+, walk as (select image_id, mask_id, cid as ring, 0 as i, cid as here from named
+  union all select w.image_id, w.mask_id, w.ring, w.i+1, j.ncid from walk w join jump j on j.image_id=w.image_id and j.mask_id=w.mask_id and j.cid=w.here where j.ncid > w.ring)
+, closed as (select w.image_id, w.mask_id, w.ring from walk w join jump j on j.image_id=w.image_id and j.mask_id=w.mask_id and j.cid=w.here where j.ncid = w.ring)
+select w.image_id, w.mask_id, cast(w.ring as bigint) as ring, cast(w.i as int) as i, cast(n.x as double) as x, cast(n.y as double) as y
+  from walk w join closed using (image_id, mask_id, ring) join named n on n.image_id=w.image_id and n.mask_id=w.mask_id and n.cid=w.here"""
+
+
+@query("trace_rings", _WALK)
 def trace_rings(spark, d):
     return raster.trace_masks(views.mask_pixels(spark, d))
 
