@@ -526,6 +526,25 @@ def duplicate_project_layers(spark, d):
     return catalog.duplicate_projects(cat, cat["projects"].select("id"), _now())["layers"]
 
 
+@query("duplicate_project_versions", _CAT + _COPY_MAP + f"""select sha256(concat(v.id,'|copy')) as id, sha256(concat(v.document_id,'|copy')) as document_id,
+  sha256(concat(p.id,'|copy')) as project_id, v.version_number, v.width_mm, v.height_mm, v.view_box, v.schema_version, v.origin, v.metadata_json, {NOW} as created_at
+  from cversions v join cprojects p on p.id = v.document_id where p.deleted_at is null""")
+def duplicate_project_versions(spark, d):
+    """Copied versions with the copied document and project they hang on; copies of deleted projects are not made."""
+    cat = _catalog(spark, d)
+    made = catalog.duplicate_projects(cat, cat["projects"].select("id"), _now())
+    docs = made["documents"].withColumnRenamed("id", "document_id")
+    return made["versions"].join(docs, "document_id").select(
+        "id", "document_id", "project_id", "version_number", "width_mm", "height_mm", "view_box", "schema_version", "origin", "metadata_json", "created_at")
+
+
+@query("duplicate_project_colors", _CAT + _COPY_MAP + """select sha256(concat(c.id,'|',m.new_version,'|copy')) as id, m.new_version as version_id, c.hex, c.coverage, c.is_background, c."order"
+  from ccolors c join vmap m on m.old_version = c.version_id""")
+def duplicate_project_colors(spark, d):
+    cat = _catalog(spark, d)
+    return catalog.duplicate_projects(cat, cat["projects"].select("id"), _now())["colors"].select("id", "version_id", "hex", "coverage", "is_background", "order")
+
+
 _RESTORE = """, nexts as (select document_id, max(version_number)+1 as next_number from cversions group by 1)
 , req as (select o_custkey as project_id, min(cast(floor(o_orderkey/10)+1 as int)) as version_number from orders group by 1)
 , src as (select v.*, n.next_number, sha256(concat(v.id,'|',n.next_number,'|restore')) as new_id from cversions v join nexts n using (document_id)
