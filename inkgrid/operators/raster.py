@@ -34,6 +34,10 @@ def outline_corners(mask_pixels: DataFrame) -> DataFrame:
         F.struct((x + dx).alias("x"), (y + dy).alias("y"), F.lit(bit).alias("bit"))
         for dx, dy, bit in ((0, 0, 8), (1, 0, 4), (0, 1, 2), (1, 1, 1))
     ])).alias("p")).groupBy(*MASK, F.col("p.x").alias("x"), F.col("p.y").alias("y")).agg(F.bit_or("p.bit").alias("pattern"))
+    return _turned(marks)
+
+
+def _turned(marks: DataFrame) -> DataFrame:
     turn = F.create_map(*[
         v for pattern, turns in _TURNS.items()
         for v in (F.lit(pattern), F.array(*[F.struct(F.lit(a).alias("din"), F.lit(b).alias("dout")) for a, b in turns]))
@@ -43,6 +47,24 @@ def outline_corners(mask_pixels: DataFrame) -> DataFrame:
     )
 
 
+def run_corners(runs: DataFrame) -> DataFrame:
+    """The same corners from the maximal runs of every mask row (``image_id, mask_id, y, a, b``).
+
+    The outline turns only where a run of the row above or below a lattice point begins
+    or ends, so the work grows with the runs and not with the pixels between their ends.
+    """
+    ends = [(1, "a", 1, 0), (1, "b", -1, 0), (0, "a", 0, 1), (0, "b", 0, -1)]
+    events = runs.select(*MASK, F.explode(F.array(*[
+        F.struct((F.col("y") + dy).alias("y"), (F.col(end) + int(end == "b")).alias("x"), F.lit(up).alias("up"), F.lit(down).alias("down")) for dy, end, up, down in ends
+    ])).alias("p")).select(*MASK, "p.*")
+    line = Window.partitionBy(*MASK, "y").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    points = events.repartition(*MASK, "y").groupBy(*MASK, "y", "x").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    covered = points.withColumns({"_up": F.sum("up").over(line), "_down": F.sum("down").over(line)})
+    sides = [F.col("_up") - F.col("up"), F.col("_up"), F.col("_down") - F.col("down"), F.col("_down")]
+    pattern = sum((F.when(side > 0, 1 << k).otherwise(0) for k, side in enumerate(sides)), F.lit(0))
+    return _turned(covered.select(*MASK, "x", "y", pattern.alias("pattern")))
+
+
 def _corner_id(x: Column, y: Column, din: Column) -> Column:
     return F.shiftleft(y.cast("long"), 34) + F.shiftleft(x.cast("long"), 2) + din
 
@@ -53,7 +75,11 @@ def outline_links(mask_pixels: DataFrame) -> DataFrame:
     Along a line and direction, corners leaving and corners arriving take
     turns, so the next event of the line is the end of the run.
     """
-    corners = outline_corners(mask_pixels).withColumn("id", _corner_id(F.col("x"), F.col("y"), F.col("din")))
+    return _links(outline_corners(mask_pixels))
+
+
+def _links(corners: DataFrame) -> DataFrame:
+    corners = corners.withColumn("id", _corner_id(F.col("x"), F.col("y"), F.col("din")))
 
     def event(direction: str, leaving: bool) -> Column:
         way = F.col(direction)
@@ -81,7 +107,15 @@ def trace_masks(mask_pixels: DataFrame) -> DataFrame:
     Outer rings run clockwise (positive shoelace sum), holes the other way.
     The result fills back to exactly the mask it came from.
     """
-    links = outline_links(mask_pixels)
+    return _rings(outline_links(mask_pixels))
+
+
+def trace_runs(runs: DataFrame) -> DataFrame:
+    """The rings of :func:`trace_masks` from the maximal runs of every mask row (``image_id, mask_id, y, a, b``)."""
+    return _rings(_links(run_corners(runs)))
+
+
+def _rings(links: DataFrame) -> DataFrame:
     places = cycle_positions(links.select(*MASK, "id", "next"), MASK)
     return links.join(places, [*MASK, "id"]).select(
         *MASK, "ring", F.col("pos").cast("int").alias("i"), F.col("x1").cast("double").alias("x"), F.col("y1").cast("double").alias("y")
@@ -115,11 +149,16 @@ def mask_documents(mask_pixels: DataFrame, canvas: DataFrame, fills: DataFrame |
 
 
 def rasterize(edges: DataFrame, canvas: DataFrame, keys: list[str], canvas_keys: list[str]) -> DataFrame:
-    """Pixels whose centre is inside by the even-odd rule over all edges of a key.
+    """Pixels whose centre is inside by the even-odd rule over all edges of a key: those of its :func:`filled_runs`."""
+    return filled_runs(edges, canvas, keys, canvas_keys).select(*keys, "y", F.explode(F.sequence("a", "b")).alias("x"))
+
+
+def filled_runs(edges: DataFrame, canvas: DataFrame, keys: list[str], canvas_keys: list[str]) -> DataFrame:
+    """Runs of pixels ``y, a, b`` (first and last column) whose centre is inside by the even-odd rule over all edges of a key.
 
     ``edges`` holds x1, y1, x2, y2 of closed rings; ``canvas`` width and height.
     Each edge gives its crossings with the pixel rows; crossings of a row are
-    paired in order and the pixels between are listed.
+    paired in order, so the runs of a key have no pixel in common.
     """
     def first_centre(v: Column) -> Column:
         return F.ceil(v - 0.5).cast("int")
@@ -134,7 +173,28 @@ def rasterize(edges: DataFrame, canvas: DataFrame, keys: list[str], canvas_keys:
     spans = crossings.withColumns({"n": F.row_number().over(line), "to": F.lead("at").over(line)}).where("n % 2 = 1")
     a = F.greatest(first_centre(F.col("at")), F.lit(0))
     b = F.least(first_centre(F.col("to")) - 1, F.col("width") - 1)
-    return spans.select(*keys, "y", F.explode(F.when(a <= b, F.sequence(a, b))).alias("x")).distinct()
+    return spans.select(*keys, "y", a.alias("a"), b.alias("b")).where("a <= b")
+
+
+def merged_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """Maximal runs ``y, a, b`` of every key from runs that may overlap or border on each other."""
+    line = Window.partitionBy(*keys, "y").orderBy("a")
+    before = F.max("b").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    begun = runs.withColumn("_begins", F.coalesce(F.col("a") > before + 1, F.lit(True)).cast("int"))
+    numbered = begun.withColumn("_n", F.sum("_begins").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "y", "_n").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_n")
+
+
+def meeting_runs(runs: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of both sides whose runs (``y, a, b`` and ``y, a2, b2``) of a key share a column.
+
+    Runs are filed under blocks of columns, so that a long row with many runs is
+    not compared run by run; a pair that shares several blocks comes more than once.
+    """
+    def filed(df: DataFrame, lo: str, hi: str) -> DataFrame:
+        return df.withColumn("_block", F.explode(F.sequence(F.shiftright(lo, 5), F.shiftright(hi, 5))))
+
+    return filed(runs, "a", "b").join(filed(others, "a2", "b2"), [*keys, "y", "_block"]).where("a <= b2 and a2 <= b").drop("_block")
 
 
 def trace_layers(mask_pixels: DataFrame, masks: DataFrame, canvas: DataFrame) -> DataFrame:

@@ -200,3 +200,32 @@ def test_streams(spark, tmp_path):
     query.awaitTermination()
     counts = {r.key: r["count"] for r in spark.table("first_uploads").groupBy("key").count().collect()}
     assert counts == {"a": 1, "b": 1, "": 2}
+
+
+def test_runs_give_the_corners_and_rings_of_their_pixels(spark):
+    rng = random.Random(3)
+    m = mask(spark, *ART, *[["".join(rng.choice("#.") for _ in range(70)) for _ in range(9)] for _ in range(4)])
+    pieces = m.selectExpr(*raster.MASK, "y", "x as a", "x as b").unionByName(m.where("x % 3 = 0").selectExpr(*raster.MASK, "y", "x as a", "x as b"))
+    runs = raster.merged_runs(pieces, raster.MASK)
+    filled = runs.selectExpr(*raster.MASK, "y", "explode(sequence(a, b)) as x")
+    assert sorted(filled.collect()) == sorted(m.select(*raster.MASK, "y", "x").collect())
+    assert runs.count() == m.join(m.selectExpr(*raster.MASK, "y", "x + 1 as x"), [*raster.MASK, "y", "x"], "left_anti").count()
+    assert sorted(raster.run_corners(runs).collect()) == sorted(raster.outline_corners(m).collect())
+    assert sorted(raster.trace_runs(runs).collect()) == sorted(raster.trace_masks(m).collect())
+
+
+def test_runs_meet_once_they_share_a_column(spark):
+    rng = random.Random(5)
+    rows = [[(rng.randrange(2), rng.randrange(3), a, a + rng.randrange(90)) for a in (rng.randrange(-2, 200) for _ in range(40))] for _ in range(2)]
+    here, there = (spark.createDataFrame(r, f"k int, y int, {n}") for r, n in zip(rows, ("a int, b int", "a2 int, b2 int"), strict=True))
+    got = {tuple(r) for r in raster.meeting_runs(here, there, ["k"]).select("k", "y", "a", "b", "a2", "b2").collect()}
+    assert got == {(*p, *q[2:]) for p in rows[0] for q in rows[1] if p[:2] == q[:2] and p[2] <= q[3] and q[2] <= p[3]}
+
+
+def test_wide_fills_move_no_pixels(spark):
+    edges = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 2.0), (1, 90.0, 0.0, 90.0, 2.0)], "doc_id long, x1 double, y1 double, x2 double, y2 double")
+    canvas = spark.createDataFrame([(1, 100, 2)], "doc_id long, width int, height int")
+    filled = raster.rasterize(edges, canvas, ["doc_id"], ["doc_id"])
+    assert sorted((r.y, r.x) for r in filled.collect()) == [(y, x) for y in range(2) for x in range(90)]
+    plan = filled._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("Generate explode(sequence(a")]
