@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkgrid.llm.common import fixed_table, payloads, span_hashes, word_spans, written
+from inkgrid.llm.common import fixed_table, payloads, sliced, span_hashes, word_spans, written
 from inkgrid.operators.graph import connected_components
 
 WIDTH, PERCENT = 3, 90
@@ -96,7 +96,7 @@ def signed(docs: DataFrame, width: int, key: Column) -> DataFrame:
         schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("key", pa.string()), ("sig", pa.binary()), ("n", pa.int32()), ("part", pa.int32()), ("cells", pa.binary())])
         seen: set[bytes] = set()
         cells = np.zeros(CELLS, np.uint32)
-        for batch in batches:
+        for batch in sliced(batches):
             sigs, sizes = [], []
             for text in payloads(batch, "text"):
                 grams, _ = shingles(text, width)
@@ -123,7 +123,7 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, width: int, percent: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             tokens, sigs, sizes, repeats = [], [], [], []
             for text in payloads(batch, "text"):
                 grams, lengths = shingles(text, width)
@@ -219,7 +219,7 @@ def _search_groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[
         links = group_links(sigs, sides, sets, percent) if len(sets) > 1 else []
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.binary()), pa.array([y for _, y in links], pa.binary())], schema=schema)
 
-    for batch in batches:
+    for batch in sliced(batches):
         for *key, side, sig, grams in zip(*[batch.column(c).to_pylist() for c in (*GROUP, "side", "sig", "grams")], strict=True):
             if key != group:
                 yield found()
@@ -263,7 +263,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.uint32)
-        for batch in batches:
+        for batch in sliced(batches):
             for sig in batch.column("sig").to_pylist():
                 cells[int.from_bytes(sig[:8], "little") & (CELLS - 1)] = 1
         parts = list(pack(cells))
@@ -275,7 +275,7 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for batch in batches:
+        for batch in sliced(batches):
             sigs, sets, held = [], [], 0
             for text in payloads(batch, "text"):
                 grams, _ = shingles(text, width)

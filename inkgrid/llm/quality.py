@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgrid.llm.common import fixed_table, mix, payloads, word_hashes
+from inkgrid.llm.common import fixed_table, mix, payloads, sliced, word_hashes
 
 BUCKETS = 1 << 16
 PARTS = 64
@@ -67,7 +67,7 @@ def corpus_counts(docs: DataFrame, trusted: set[int], buckets: int = BUCKETS) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, buckets), np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             for doc, text in zip(batch.column("doc_id").to_pylist(), payloads(batch, "text"), strict=True):
                 hit = np.bincount(gram_buckets(word_hashes(text.split()), buckets), minlength=buckets)
                 sums[1] += hit
@@ -103,7 +103,7 @@ def features(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
     table = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = []
             for text in payloads(batch, "text"):
                 rows.append(figures(text, table.value))
@@ -172,7 +172,7 @@ def kept_rows(docs: DataFrame, rules: Rules) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratio, cut = shared.value.ratio, shared.value.cut
-        for batch in batches:
+        for batch in sliced(batches):
             good = []
             for text in payloads(batch, "text"):
                 n, *_, repeated, mean = figures(text, ratio)
