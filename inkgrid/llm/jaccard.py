@@ -299,7 +299,7 @@ def _components(links: DataFrame) -> DataFrame:
     """``sig, comp`` of every linked signature."""
     edges = links.select(F.lit(0).alias("doc_id"), F.col("a").alias("src"), F.col("b").alias("dst"))
     nodes = edges.select("doc_id", F.col("src").alias("id")).unionByName(edges.select("doc_id", F.col("dst").alias("id"))).distinct()
-    return written(connected_components(nodes, edges).select(F.col("id").alias("sig"), F.col("root").alias("comp")), "jac-comp")
+    return written(connected_components(nodes, edges, small=0).select(F.col("id").alias("sig"), F.col("root").alias("comp")), "jac-comp")
 
 
 def row_key() -> Column:

@@ -40,7 +40,7 @@ def contact_clusters(ring: DataFrame) -> DataFrame:
     step = F.pmod(F.col("a_i") - F.col("b_i"), F.col("a_n"))
     met = overlapping_boxes(boxes, "doc_id", "seg", segments=True).where((F.col("a_node") != F.col("b_node")) | ((step != 1) & (step != F.col("a_n") - 1)))
     crossing = cut_lineage(geometry.with_crossing(met).where("crosses").select("doc_id", F.col("a_node").alias("src"), F.col("b_node").alias("dst")).distinct())
-    roots = connected_components(ring.select("doc_id", F.col("node").alias("id")).distinct(), crossing)
+    roots = cut_lineage(connected_components(ring.select("doc_id", F.col("node").alias("id")).distinct(), crossing))
     tangled = crossing.select("doc_id", F.explode(F.array("src", "dst")).alias("id")).distinct().join(roots, ["doc_id", "id"]).select("doc_id", "root").distinct().withColumn("tangled", F.lit(True))
     return roots.join(tangled, ["doc_id", "root"], "left").select("doc_id", F.col("id").alias("node"), F.col("root").alias("cluster"), F.coalesce("tangled", F.lit(False)).alias("tangled"))
 
