@@ -116,8 +116,7 @@ def trace_runs(runs: DataFrame) -> DataFrame:
 
 
 def _rings(links: DataFrame) -> DataFrame:
-    places = cycle_positions(links.select(*MASK, "id", "next"), MASK)
-    return links.join(places, [*MASK, "id"]).select(
+    return cycle_positions(links.select(*MASK, "id", "next", "x1", "y1"), MASK).select(
         *MASK, "ring", F.col("pos").cast("int").alias("i"), F.col("x1").cast("double").alias("x"), F.col("y1").cast("double").alias("y")
     )
 
