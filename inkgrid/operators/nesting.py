@@ -23,9 +23,11 @@ from inkgrid.operators.grid import overlapping_boxes, points_in_boxes
 from inkgrid.operators.history import numbered
 from inkgrid.operators.outlines import edges, inward_points, polygon_area, with_node
 from inkgrid.operators.pairs import NODE, shape_members, shapes
-from inkgrid.session import cut_lineage
+from inkgrid.session import cut_lineage, shuffled
 
 FAN = 64
+#: In a document with at most so many distinct outlines every point is held against all of them.
+FEW = 256
 _CELL = ["doc_id", "level", "slab"]
 _ENDS = ["x1", "y1", "x2", "y2"]
 
@@ -114,8 +116,11 @@ def shoot(points: DataFrame, filed: DataFrame) -> DataFrame:
     return first.unionByName(crossed).groupBy("doc_id", "pid").agg(F.max(F.struct("x", "cluster"))["cluster"].alias("hit"))
 
 
-def holders(points: DataFrame, ring: DataFrame) -> DataFrame:
-    """``doc_id, pid, outer``: outlines of the point's ``cluster`` that hold the point; long ones are cut into y bands."""
+def holders(points: DataFrame, ring: DataFrame, few: bool = False) -> DataFrame:
+    """``doc_id, pid, outer``: outlines of the point's ``cluster`` that hold the point; long ones are cut into y bands.
+
+    ``few``: no cluster has many points or outlines, so that boxes need no grid.
+    """
     boxes = ring.groupBy("doc_id", "cluster", "node").agg(
         *[F.min(F.least(f"{c}1", f"{c}2")).alias(f"min_{c}") for c in "xy"], *[F.max(F.greatest(f"{c}1", f"{c}2")).alias(f"max_{c}") for c in "xy"], F.count("*").alias("n"),
     ).where("n >= 3").withColumn("bands", F.ceil(F.sqrt(F.col("n") / 4.0)).cast("int")).withColumn("height", F.greatest((F.col("max_y") - F.col("min_y")) / F.col("bands"), F.lit(1e-12)))
@@ -126,7 +131,10 @@ def holders(points: DataFrame, ring: DataFrame) -> DataFrame:
     filed = ring.join(boxes.select(*NODE, "min_y", "height", "bands"), NODE).withColumn("band", F.explode(F.sequence(band(F.least("y1", "y2")), band(F.greatest("y1", "y2"))))).select(
         "doc_id", F.col("node").alias("outer"), "band", *_ENDS)
     scope = F.struct("doc_id", "cluster").alias("scope")
-    held = points_in_boxes(points.select(scope, "pid", "px", "py"), boxes.select(scope, F.col("node").alias("outer"), "min_x", "min_y", "max_x", "max_y", "bands", "height"), "scope").withColumn("band", band(F.col("py")))
+    asked = points.select(scope, "pid", "px", "py")
+    boxed = boxes.select(scope, F.col("node").alias("outer"), "min_x", "min_y", "max_x", "max_y", "bands", "height")
+    met = asked.join(shuffled(boxed), "scope").where("px between min_x and max_x and py between min_y and max_y") if few else points_in_boxes(asked, boxed, "scope")
+    held = met.withColumn("band", band(F.col("py")))
     hits = geometry.crosses_right((F.col("px"), F.col("py")), (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2")))
     return held.select("scope.doc_id", "pid", "outer", "band", "px", "py").join(filed, ["doc_id", "outer", "band"]).groupBy("doc_id", "pid", "outer").agg(F.count_if(hits).alias("hits")).where("hits % 2 = 1").select("doc_id", "pid", "outer")
 
@@ -154,21 +162,60 @@ def around_clusters(links: DataFrame) -> DataFrame:
             return state.drop("up")
 
 
-def nesting(vertices: DataFrame, shaped: DataFrame | None = None) -> DataFrame:
+def nesting(vertices: DataFrame, shaped: DataFrame | None = None, few: int = FEW) -> DataFrame:
     """Depth and direct parent of every outline (``doc_id, node, depth, parent, area``).
 
     Depth counts the other outlines around the inward point, copies included; the
-    parent is the smallest of them with an area, the first one on ties.  What lies
-    all around a cluster is larger than all in it, so the smallest one is searched
-    from the inside out.
+    parent is the smallest of them with an area, the first one on ties.  Documents
+    with more than ``few`` distinct outlines go by rays, the others by pairs.
     """
     shaped = cut_lineage(shapes(vertices, either_way=False)) if shaped is None else shaped
+    large = cut_lineage(shaped.where("node = shape").groupBy("doc_id").agg(F.count("*").alias("k")).where(F.col("k") > few).select("doc_id"))
+    if large.isEmpty():
+        return _by_pairs(vertices, shaped)
+    small = _by_pairs(*[df.join(large, "doc_id", "left_anti") for df in (vertices, shaped)])
+    return small.unionByName(_by_rays(*[df.join(large, "doc_id", "left_semi") for df in (vertices, shaped)]))
+
+
+def _prepared(vertices: DataFrame, shaped: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The vertices of the distinct outlines, the area of every outline, and per distinct outline its copies, area and second copy."""
     firsts = cut_lineage(shape_members(vertices, shaped))
     area = cut_lineage(with_node(polygon_area(vertices)).select(*NODE, "area"))
-    sizes = shaped.where("node = shape").select(*NODE, "n", "copies")
     second = shaped.where("node <> shape").groupBy("doc_id", F.col("shape").alias("node")).agg(F.min("node").alias("second"))
-    sized = cut_lineage(sizes.join(area, NODE).join(second, NODE, "left").select("doc_id", F.col("node").alias("outer"), "copies", "area", "second"))
-    bare = cut_lineage(with_node(edges(firsts)).join(sizes.select(*NODE, "n"), NODE).select(*NODE, "i", "n", *_ENDS))
+    sizes = shaped.where("node = shape").select(*NODE, "copies")
+    return firsts, area, sizes.join(area, NODE).join(second, NODE, "left").select("doc_id", F.col("node").alias("outer"), "copies", "area", "second")
+
+
+def _by_pairs(vertices: DataFrame, shaped: DataFrame) -> DataFrame:
+    """:func:`nesting` from the outlines that hold each inward point, for documents of few distinct outlines."""
+    firsts, area, sized = _prepared(vertices, shaped)
+    alone = F.lit(0).alias("cluster")
+    points = inward_points(firsts).select("doc_id", F.col("node").alias("pid"), "px", "py", alone)
+    held = holders(points, with_node(edges(firsts)).select(*NODE, "i", *_ENDS, alone), few=True).join(shuffled(sized), ["doc_id", "outer"])
+    itself = F.col("outer") == F.col("pid")
+
+    def smallest(condition: Column, node: str) -> Column:
+        return F.min(F.when(condition & (F.col("area") > 0), F.struct("area", F.col(node).alias("node"))))
+
+    per_point = held.groupBy("doc_id", "pid").agg(
+        (F.sum("copies") - F.max(itself.cast("int"))).alias("depth"), smallest(~itself, "outer").alias("other"),
+        smallest(itself, "outer").alias("own_first"), smallest(itself & F.col("second").isNotNull(), "second").alias("own_second"))
+    rows = shaped.select(*NODE, F.col("shape").alias("pid")).join(shuffled(per_point), ["doc_id", "pid"], "left").join(area, NODE)
+    mine = F.when(F.col("node") == F.col("pid"), F.col("own_second")).otherwise(F.col("own_first"))
+    return rows.select(*NODE, F.coalesce("depth", F.lit(0)).alias("depth"), F.least(F.col("other"), mine)["node"].alias("parent"), "area")
+
+
+def _by_rays(vertices: DataFrame, shaped: DataFrame) -> DataFrame:
+    """:func:`nesting` by one ray an outline.
+
+    What lies all around a cluster is larger than all in it, so the smallest one is
+    searched from the inside out.
+    """
+    shaped = cut_lineage(shaped)
+    firsts, area, sized = _prepared(vertices, shaped)
+    sized = cut_lineage(sized)
+    sizes = shaped.where("node = shape").select(*NODE, "n")
+    bare = cut_lineage(with_node(edges(firsts)).join(sizes, NODE).select(*NODE, "i", "n", *_ENDS))
     clusters = cut_lineage(contact_clusters(bare))
     ring = cut_lineage(bare.join(clusters, NODE))
 

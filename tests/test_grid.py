@@ -27,6 +27,16 @@ def test_boxes_against_all_pairs(spark, limit):
     assert len(got) == len(want) and {tuple(sorted(p)) for p in got} == want
 
 
+def test_a_scope_of_few_boxes_needs_no_cells(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(d, k, x, y, x + rng.choice([0.0, 3.0, 70.0]), y + rng.choice([0.0, 2.0, 30.0])) for d, n in ((1, 20), (2, 90)) for k in range(n) for x, y in [(float(rng.randint(0, 90)), float(rng.randint(0, 90)))]]
+    boxes = spark.createDataFrame([*rows, (None, 1, 0.0, 0.0, 9.0, 9.0), (None, 2, 0.0, 0.0, 9.0, 9.0)], BOX)
+    found = [sorted(tuple(r) for r in grid.overlapping_boxes(boxes, "doc_id", "id", limit=limit).collect()) for limit in (1, 100, 1 << 16)]
+    assert found[0] == found[1] == found[2] and {r[0] for r in found[0]} == {1, 2}  # the same sides as well
+    monkeypatch.setattr(grid, "_by_cells", None)
+    assert len(grid.overlapping_boxes(boxes, "doc_id", "id").collect()) == len(found[0])
+
+
 def segment(k, x1, y1, x2, y2, margin):
     return (1, k, min(x1, x2) - margin, min(y1, y2) - margin, max(x1, x2) + margin, max(y1, y2) + margin, x1, y1, x2, y2)
 

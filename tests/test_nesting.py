@@ -63,6 +63,29 @@ def test_random_outlines_that_cross_touch_and_nest(spark):
     check(spark, shapes)
 
 
+def random_documents(rng, docs=5):
+    shapes = []
+    for doc in range(1, docs + 1):
+        for n in range(rng.randint(4, 25)):
+            x, y = rng.randint(0, 40), rng.randint(0, 40)
+            points = [(float(a), float(b)) for a, b in square(x, y, rng.randint(1, 40))] if rng.random() < 0.6 else star(rng, x, y, rng.uniform(1, 30), rng.randint(3, 9))
+            for k in range(rng.choice([1, 1, 2, 3])):
+                shapes.append(outline(doc, 4 * n + k, points, closed=rng.random() < 0.9))
+    return shapes
+
+
+def test_documents_of_few_outlines_go_by_pairs_and_others_by_rays(spark, monkeypatch):
+    v = vertices(spark, *random_documents(random.Random(5)))
+    want = sorted(map(repr, nesting.nesting(v).collect()))
+    for few in (0, 15):
+        assert sorted(map(repr, nesting.nesting(v, few=few).collect())) == want
+    assert len(want) > 80 and {k: (x.depth, x.parent) for x in nesting.nesting(v).collect() for k in [(x.doc_id, x.node)]} == by_hand(v)
+    # small documents shoot no rays and file nothing under slabs or cells
+    monkeypatch.setattr(nesting, "shoot", None)
+    monkeypatch.setattr(nesting, "points_in_boxes", None)
+    assert sorted(map(repr, nesting.nesting(v).collect())) == want
+
+
 def test_nested_siblings_and_something_just_inside_the_edge(spark):
     shapes = [outline(1, 0, square(0, 0, 1000)), outline(1, 1, square(0.1, 0.1, 999.8)), outline(1, 2, square(300, 0.4, 50))]
     n = 3
