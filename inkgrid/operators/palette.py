@@ -78,14 +78,15 @@ class _Groups:
         """Heaviest colours first: a colour goes to the nearest group in reach, or opens one."""
         self.sums, self.mass = np.zeros_like(points), np.zeros(len(points))
         self.of = np.zeros(len(points), dtype=np.int64)
-        opened = 0
+        opened, centres = 0, np.zeros(points.shape)
         for k, (point, weight) in enumerate(zip(points, weights)):
-            away = np.sqrt((((self.sums[:opened] / self.mass[:opened, None]) - point) ** 2).sum(axis=1))
+            away = np.sqrt(((centres[:opened] - point) ** 2).sum(axis=1))
             best = int(away.argmin()) if opened else -1
             if best < 0 or away[best] > reach:
                 best, opened = opened, opened + 1
             self.sums[best] += point * weight
             self.mass[best] += weight
+            centres[best] = self.sums[best] / self.mass[best]
             self.of[k] = best
         self.alive = np.arange(len(points)) < opened
 
@@ -112,31 +113,29 @@ class _Groups:
             self._merge(int(self._away(lightest).argmin()), lightest)
 
     def shrink_to(self, count: int) -> None:
-        """Merges the closest two until ``count`` are left.  Every group remembers its nearest one, so a merge looks again only from the groups it concerns."""
+        """Merges the closest two until ``count`` are left.  Every group remembers its nearest one and all distances, so a merge measures only from the group that grew."""
         left = int(self.alive.sum())
         if left <= count:
             return
-        near, gap = np.zeros(len(self.alive), dtype=np.int64), np.full(len(self.alive), np.inf)
-
-        def look(i: int) -> None:
-            away = self._away(i)
-            near[i] = away.argmin()
-            gap[i] = away[near[i]]
-
-        for i in np.flatnonzero(self.alive):
-            look(i)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            centres = self.sums / self.mass[:, None]
+            apart = np.sqrt(((centres[None, :, :] - centres[:, None, :]) ** 2).sum(axis=2))
+        apart[~self.alive] = np.inf
+        apart[:, ~self.alive] = np.inf
+        np.fill_diagonal(apart, np.inf)
+        near, gap = apart.argmin(axis=1), apart.min(axis=1)
         while left > count and left > 1:
             i = int(gap.argmin())
             keep, drop = sorted((i, int(near[i])))
             self._merge(keep, drop)
             left -= 1
-            gap[drop] = np.inf
-            fresh = self._away(keep)
-            for k in np.flatnonzero(self.alive):
-                if k == keep or near[k] in (keep, drop):
-                    look(k)
-                elif fresh[k] < gap[k] or (fresh[k] == gap[k] and keep < near[k]):
-                    near[k], gap[k] = keep, fresh[k]
+            apart[drop] = apart[:, drop] = np.inf
+            apart[keep] = apart[:, keep] = fresh = self._away(keep)
+            again = self.alive & ((near == keep) | (near == drop))
+            again[keep] = True
+            near[again], gap[again], gap[drop] = apart[again].argmin(axis=1), apart[again].min(axis=1), np.inf
+            closer = self.alive & ~again & ((fresh < gap) | ((fresh == gap) & (keep < near)))
+            near[closer], gap[closer] = keep, fresh[closer]
 
     def numbers(self) -> np.ndarray:
         """Number of each colour's group, 0 for the heaviest; the earlier group first on ties."""

@@ -166,3 +166,13 @@ def test_two_patches_do_not_double_a_project(spark):
     patches = spark.createDataFrame([(1, "a"), (1, "b"), (1, None)], "id long, name string")
     rows = catalog.update_projects(projects, patches, ["name"], F.lit("2024-01-01").cast("timestamp")).collect()
     assert [(r["id"], r["name"]) for r in rows] == [(1, "b")]
+
+
+def test_a_merge_measures_only_from_the_group_that_grew(monkeypatch):
+    import numpy as np
+
+    points = np.array([[float(k * k), 0.0, 0.0] for k in range(40)])
+    groups, seen, plain = _Groups(points, np.ones(40), 0.0), [], _Groups._away
+    monkeypatch.setattr(_Groups, "_away", lambda self, i: seen.append(i) or plain(self, i))
+    groups.shrink_to(10)
+    assert len(seen) == 30 and int(groups.alive.sum()) == 10
