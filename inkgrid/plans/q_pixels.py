@@ -110,7 +110,7 @@ def guarded_images(spark, d):
     side = F.unhex(F.lit("0000753000007530"))
     wide = F.concat(F.substring(body, 1, 16), side, F.expr("substring(content, 25)"))
     bytes_ = F.when(kind == 1, wide).when(kind == 2, F.substring(body, 1, 40)).otherwise(body)
-    _png(views.px(spark, d)).select(bytes_.cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    files.write_files(spark, _png(views.px(spark, d)).select(F.col("image_id").cast("string").alias("name"), bytes_.alias("content")), folder)
     good, bad = files.load_images(spark, folder)
     sums = pixels.explode_pixels(good).groupBy("image_id").agg(F.sum(F.col("r") + F.col("g") + F.col("b")).alias("s"))
     fine = sums.agg(F.lit(None).cast("string").alias("reason"), F.count("*").alias("files"), F.sum("s").alias("channel_sum"))

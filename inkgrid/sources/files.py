@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import math
+import os
+import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +26,65 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
 
 
+#: So many bytes are put into one task where a scan deals out fewer.
+TASK_BYTES = 512 * 1024 * 1024
+
+
+def _size(text: str) -> int:
+    """Bytes of a size as Spark's settings write it."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([a-z]*)\s*", text.lower()).groups()
+    return int(number) << 10 * ("bkmgtp".index(unit[0]) if unit else 0)
+
+
+def fewer_tasks(scan: DataFrame) -> DataFrame:
+    """``scan`` in fewer tasks, each of up to ``TASK_BYTES``.
+
+    A file counts as ``spark.sql.files.openCostInBytes`` at least, so a scan of small
+    files has a task for every few of them, and starting tasks takes most of the time.
+    """
+    spark = scan.sparkSession
+    dealt, least = scan.rdd.getNumPartitions(), 4 * spark.sparkContext.defaultParallelism
+    each = max(1, TASK_BYTES // max(1, _size(spark.conf.get("spark.sql.files.maxPartitionBytes"))))
+    return scan.coalesce(max(least, math.ceil(dealt / each))) if dealt > least and each > 1 else scan
+
+
+def _local_path(spark: SparkSession, folder: str) -> str | None:
+    """``folder`` as a path of the operating system; None where only Spark's file systems reach it."""
+    place = folder
+    if ":" not in folder.split("/")[0]:  # no file system is named, so the cluster's own counts
+        probe = run_dir(spark, "place")
+        spark.range(1, numPartitions=1).write.parquet(probe)
+        place = spark.read.parquet(probe).select("_metadata.file_path").first()[0]
+    return os.path.abspath(re.sub("^file:/*", "/", folder)) if place.startswith("file:") else None
+
+
+def write_files(spark: SparkSession, rows: DataFrame, folder: str) -> None:
+    """One file per row of ``name, content`` in a folder below the shared one: the content (null: none) and a line end.
+
+    Names are distinct and, apart from null, fit a file system; a task that is run
+    again puts the same files in place.  On a disk, tasks write the files themselves:
+    Spark's writers start processes to set the rights of every single file, and the
+    driver moves them one by one.  Elsewhere the text writer does it under names of its own.
+    """
+    local = _local_path(spark, folder)
+    if local is None:
+        rows.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+        return
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.makedirs(local, exist_ok=True)
+        draft = os.path.join(local, f".{uuid.uuid4().hex}")  # listings pass over it
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"], strict=True):
+                with open(draft, "wb") as f:
+                    f.write((content.as_py() or b"") + b"\n")
+                os.replace(draft, os.path.join(local, name.as_py() or "null"))
+            yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64())})
+
+    os.makedirs(local, exist_ok=True)  # also without rows
+    rows.select("name", "content").mapInArrow(put, "files long").agg(F.sum("files")).collect()
+
+
 def _origin(path: Column) -> Column:
     """A listed path as the image source writes it (it gives local files three slashes)."""
     return F.regexp_replace(path, "^file:/(?!/)", "file:///")
@@ -38,7 +102,7 @@ def image_headers(spark: SparkSession, folder: str, max_side: int = MAX_SIDE, ma
     """
     listed = read_files(spark, folder).select(F.col("_metadata.file_path").alias("path"), "length", "content")
     small = listed if max_bytes is None else listed.where(F.col("length") <= max_bytes)
-    sized = dimension_guard(header_dims(small), max_side, max_pixels).drop("content")
+    sized = dimension_guard(header_dims(fewer_tasks(small), keep_content=False), max_side, max_pixels)
     if max_bytes is None:
         return sized
     nothing = F.lit(None).cast("int")
@@ -46,6 +110,11 @@ def image_headers(spark: SparkSession, folder: str, max_side: int = MAX_SIDE, ma
         "path", "length", nothing.alias("width"), nothing.alias("height"), F.lit("file_too_large").alias("reason")))
 
 
+def _among(names: list[str]) -> Column:
+    """Is a file's path one of the names?  The list is one text, since a literal each takes the driver a millisecond."""
+    return F.expr("_metadata.file_path in ({})".format(", ".join(f"cast(X'{n.encode().hex()}' as string)" for n in names)))
+
+
 def _decoded(spark: SparkSession, folder: str, refused: DataFrame, block: int) -> DataFrame:
     """Image rows of all files but the refused ones, which the listing leaves out, so that they are never opened.
 
@@ -61,7 +130,7 @@ def _decoded(spark: SparkSession, folder: str, refused: DataFrame, block: int) -
         last = len(names) < block
         here = images if after is None else images.where(path > after)
         here = here if last else here.where(path <= names[-1])
-        here = (here.where(~path.isin(names)) if names else here).select("image.*")
+        here = fewer_tasks((here.where(~_among(names)) if names else here).select("image.*"))
         if last and target is None:
             return here
         target = target or run_dir(spark, "decoded")
@@ -122,7 +191,7 @@ def image_catalog(files: DataFrame) -> DataFrame:
     return header_dims(files.select(
         "path", name.alias("file_name"), F.try_element_at(kinds, extension(name)).alias("mime"),
         F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("checksum"), "content",
-    )).drop("content").withColumn("status", F.lit("uploaded"))
+    ), keep_content=False).withColumn("status", F.lit("uploaded"))
 
 
 def _big_endian(at: int, length: int) -> Column:
@@ -138,8 +207,11 @@ def _little_endian(at: int, length: int) -> Column:
     return sum((F.shiftleft(byte(k), 8 * k) for k in range(1, length)), byte(0))
 
 
-def header_dims(files: DataFrame) -> DataFrame:
-    """Width and height read from the header bytes only; null where there are none."""
+def header_dims(files: DataFrame, keep_content: bool = True) -> DataFrame:
+    """Width and height read from the header bytes only; null where there are none.
+
+    Without ``keep_content`` the column ``content`` is left out, and every file is read once only.
+    """
     head = F.hex(F.substring("content", 1, 16))
     png = head.startswith("89504E470D0A1A0A") & (F.octet_length("content") >= 24)
     riff = (F.substring(head, 1, 8) == "52494646") & (F.substring(head, 17, 8) == "57454250")
@@ -155,12 +227,14 @@ def header_dims(files: DataFrame) -> DataFrame:
         width, height = width.when(riff & (chunk == code), w.cast("int")), height.when(riff & (chunk == code), h.cast("int"))
     native = files.withColumns({"width": width, "height": height})
     is_jpeg = F.coalesce(head.startswith("FFD8"), F.lit(False))
+    if not keep_content:
+        return jpeg_dims(native.withColumn("content", F.when(is_jpeg, F.col("content")))).drop("content")
     walked = jpeg_dims(native.where(is_jpeg))
     return native.where(~is_jpeg).unionByName(walked)
 
 
 def jpeg_dims(files: DataFrame) -> DataFrame:
-    """Walks the JPEG segments to the frame header (the one step that needs a loop per file)."""
+    """Walks the JPEG segments to the frame header (the one step that needs a loop per file); rows without content stay as they are."""
     def find(data: bytes) -> tuple[int | None, int | None]:
         at = 2
         while at + 9 <= len(data):
@@ -176,14 +250,16 @@ def jpeg_dims(files: DataFrame) -> DataFrame:
             at += 2 if bare else 2 + int.from_bytes(data[at + 2:at + 4], "big")
         return None, None
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims = [find(bytes(c)) for c in batch["content"]]
-            yield batch.assign(
-                width=pd.array([d[0] for d in dims], dtype="Int32"), height=pd.array([d[1] for d in dims], dtype="Int32")
-            )
-
-    return files.mapInPandas(walk, files.schema)
+            dims = list(zip(batch["width"].to_pylist(), batch["height"].to_pylist(), strict=True))
+            dims = [find(c.as_py()) if c.is_valid else d for c, d in zip(batch["content"], dims, strict=True)]
+            for k, side in enumerate(("width", "height")):
+                at = batch.schema.get_field_index(side)
+                batch = batch.set_column(at, batch.schema.field(at), pa.array([d[k] for d in dims], pa.int32()))
+            yield batch
+
+    return files.mapInArrow(walk, files.schema)
 
 
 def load_svg(files: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:

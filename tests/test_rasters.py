@@ -163,6 +163,46 @@ def test_headers_are_looked_at_before_decoding(spark, tmp_path):
     assert files.load_images(spark, str(tmp_path), max_side=30_000, max_pixels=10**9, max_bytes=10**6)[0].count() == 3
 
 
+def test_files_are_written_as_told(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([("1", bytearray(b"\x89PNG\xff\0")), ("2", None), (None, bytearray(b"x\ny"))], "name string, content binary")
+    want = [b"\n", b"\x89PNG\xff\0\n", b"x\ny\n"]
+    for folder in (str(tmp_path / "plain"), f"file://{tmp_path}/named"):
+        files.write_files(spark, rows, folder)
+        files.write_files(spark, rows, folder)  # a task that is run again
+    assert {f.name: f.read_bytes() for f in (tmp_path / "plain").iterdir()} == {"1": want[1], "2": want[0], "null": want[2]}
+    assert sorted(bytes(r.content) for r in files.read_files(spark, str(tmp_path / "named")).collect()) == sorted(want)
+    files.write_files(spark, rows.limit(0), str(tmp_path / "none"))
+    assert files.read_files(spark, str(tmp_path / "none")).count() == 0
+    monkeypatch.setattr(files, "_local_path", lambda *_: None)
+    files.write_files(spark, rows, str(tmp_path / "far"))
+    assert sorted(bytes(r.content) for r in files.read_files(spark, str(tmp_path / "far")).collect()) == sorted(want)
+
+
+def test_small_files_share_tasks_and_are_read_once(spark, tmp_path):
+    jpeg = bytes.fromhex("ffd8ffe000040000ffc0000b08") + (7).to_bytes(2, "big") + (9).to_bytes(2, "big") + bytes(8)
+    for k in range(600):
+        (tmp_path / f"{k}.bin").write_bytes(png(1, 1, lambda x, y: (0, 0, 0, 0)) if k % 3 else jpeg if k % 2 else b"no image")
+    scan = files.read_files(spark, str(tmp_path))
+    least = 4 * spark.sparkContext.defaultParallelism
+    assert scan.rdd.getNumPartitions() > least and files.fewer_tasks(scan).rdd.getNumPartitions() == least
+    headers = files.image_headers(spark, str(tmp_path), max_side=8)
+    assert _files_opened(headers) == [600]
+    got = {(r.width, r.height, r.reason): r["count"] for r in headers.groupBy("width", "height", "reason").count().collect()}
+    assert got == {(1, 1, None): 400, (9, 7, "dimensions_exceeded"): 100, (None, None, None): 100}
+    assert [files._size(t) for t in ("16m", "128MB", "134217728b", "7", "1g")] == [1 << 24, 1 << 27, 1 << 27, 7, 1 << 30]
+
+
+def test_refused_paths_are_taken_letter_by_letter(spark, tmp_path):
+    wide = png(6001, 1, lambda x, y: (0, 0, 0, 255))
+    for name in ("it's.png", 'a"b.png', "ü ß.png", "c%20d.png"):
+        (tmp_path / name).write_bytes(wide)
+    (tmp_path / "its.png").write_bytes(png(2, 1, lambda x, y: (1, 2, 3, 255)))
+    for block in (10_000, 2):
+        images, rejects = files.load_images(spark, str(tmp_path), block=block)
+        assert [r.reason for r in rejects.collect()] == ["dimensions_exceeded"] * 4
+        assert [r.origin.rsplit("/", 1)[1] for r in images.collect()] == ["its.png"]
+
+
 def test_upload_rules_know_the_decode_result(spark, tmp_path):
     good = png(3, 2, lambda x, y: (x, y, 0, 255))
     for name, data in {"a.png": good, "b.png": good[:40], "c.png": b"", "d.png": good + bytes(5000), "e.gif": good, "f.png": b"\0" + good, "g.png": good}.items():
