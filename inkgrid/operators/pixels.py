@@ -17,6 +17,8 @@ from inkgrid.functions.colour import bgr_to_lab, contrast_brightness_value, luma
 
 PIXEL_SCHEMA = "image_id long, y int, x int, b int, g int, r int, a int"
 _CHANNELS = ("b", "g", "r")
+#: Slices of one shape are unpacked together up to so many bytes.
+_FRAME_BYTES = 4 * 1024 * 1024
 
 
 def explode_pixels(images: DataFrame, rows_per_slice: int = 64, keep_alpha: bool = True) -> DataFrame:
@@ -38,20 +40,24 @@ def explode_pixels(images: DataFrame, rows_per_slice: int = 64, keep_alpha: bool
 
     def reshape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for s in batch.itertuples(index=False):
-                block = np.frombuffer(s.data, np.uint8).reshape(-1, s.width, s.n_channels)
-                height = block.shape[0]
-                colour = np.repeat(block[:, :, :1], 3, axis=2) if s.n_channels < 3 else block[:, :, :3]
-                alpha = block[:, :, 3] if s.n_channels == 4 and keep_alpha else np.full((height, s.width), 255, np.uint8)
-                yield pd.DataFrame({
-                    "image_id": s.image_id,
-                    "y": np.repeat(np.arange(s.y0, s.y0 + height, dtype=np.int32), s.width),
-                    "x": np.tile(np.arange(s.width, dtype=np.int32), height),
-                    "b": colour[:, :, 0].ravel().astype(np.int32),
-                    "g": colour[:, :, 1].ravel().astype(np.int32),
-                    "r": colour[:, :, 2].ravel().astype(np.int32),
-                    "a": alpha.ravel().astype(np.int32),
-                })
+            for (width, channels, size), like in batch.groupby(["width", "n_channels", batch["data"].map(len)], sort=False, dropna=False):
+                few = max(1, _FRAME_BYTES // max(1, size))  # slices of one shape are taken together
+                for at in range(0, len(like), few):
+                    s = like.iloc[at:at + few]
+                    block = np.frombuffer(b"".join(s["data"]), np.uint8).reshape(len(s), -1, width, channels)
+                    shape = block.shape[:3]
+                    colour = np.repeat(block[..., :1], 3, axis=3) if channels < 3 else block[..., :3]
+                    alpha = block[..., 3] if channels == 4 and keep_alpha else np.full(shape, 255, np.uint8)
+                    y = s["y0"].to_numpy(np.int32)[:, None, None] + np.arange(shape[1], dtype=np.int32)[:, None]
+                    yield pd.DataFrame({
+                        "image_id": np.repeat(s["image_id"].to_numpy(), shape[1] * width),
+                        "y": np.broadcast_to(y, shape).ravel(),
+                        "x": np.broadcast_to(np.arange(width, dtype=np.int32), shape).ravel(),
+                        "b": colour[..., 0].ravel().astype(np.int32),
+                        "g": colour[..., 1].ravel().astype(np.int32),
+                        "r": colour[..., 2].ravel().astype(np.int32),
+                        "a": alpha.ravel().astype(np.int32),
+                    })
 
     return slices.mapInPandas(reshape, PIXEL_SCHEMA)
 

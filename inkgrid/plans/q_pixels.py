@@ -90,8 +90,7 @@ def _png(px):
 def load_images(spark, d):
     """Images written as one PNG file each, decoded again, and counted by pixel."""
     folder = run_dir(spark, "images")
-    pngs = _png(views.px(spark, d))
-    pngs.select(F.col("content").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    files.write_files(spark, _png(views.px(spark, d)).select(F.col("image_id").cast("string").alias("name"), "content"), folder)
     good, _ = files.load_images(spark, folder)
     shown = pixels.explode_pixels(good)
     return shown.groupBy("y", "x", "b", "g", "r", "a").agg(F.count("*").alias("n"))

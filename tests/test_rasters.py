@@ -203,6 +203,22 @@ def test_refused_paths_are_taken_letter_by_letter(spark, tmp_path):
         assert [r.origin.rsplit("/", 1)[1] for r in images.collect()] == ["its.png"]
 
 
+def test_images_of_one_batch_keep_their_shapes(spark, monkeypatch):
+    shapes = [(3, 2, 4), (3, 2, 1), (2, 3, 4), (4, 2, 3), (3, 2, 4), (3, 130, 4)]
+    rng = random.Random(5)
+    given = [(k, w, h, c, bytearray(rng.randrange(256) for _ in range(w * h * c))) for k, (w, h, c) in enumerate(shapes)]
+    images = spark.createDataFrame(given, "image_id long, width int, height int, n_channels int, data binary").coalesce(1)
+    want = set()
+    for k, w, h, c, data in given:
+        for at in range(w * h):
+            cell = data[at * c:at * c + c]
+            want.add((k, at // w, at % w, *(cell[:3] if c > 2 else [cell[0]] * 3), cell[3] if c == 4 else 255))
+    for limit in (1, 100, 1 << 22):
+        monkeypatch.setattr(pixels, "_FRAME_BYTES", limit)
+        got = [tuple(r) for r in pixels.explode_pixels(images).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
 def test_upload_rules_know_the_decode_result(spark, tmp_path):
     good = png(3, 2, lambda x, y: (x, y, 0, 255))
     for name, data in {"a.png": good, "b.png": good[:40], "c.png": b"", "d.png": good + bytes(5000), "e.gif": good, "f.png": b"\0" + good, "g.png": good}.items():
