@@ -120,3 +120,22 @@ def test_ordinals_without_issues_and_bounds(spark):
     v = vertices(spark, outline(1, 0, [(0, 0), (5, 0), (5, 5)]))
     groups, members = components.duplicate_groups(v, outlines.document_bounds(v))
     assert groups.count() == 0 and members.count() == 0
+
+
+def test_every_pair_within_the_tolerance(spark):
+    """Copies among each other and copies of near copies, against plain loops; also with copies in blocks of two."""
+    rng = random.Random(11)
+    bases = [jittered(rng, b, 0.3) for b in [[(0, 0), (9, 1), (8, 7), (1, 6)]] * 3 + [[(40, 10), (49, 11), (48, 17)]]]
+    shapes = [s[::-1] if k % 2 else s for b in bases for k, s in enumerate([b] * rng.randint(3, 6))]
+    rng.shuffle(shapes)
+    v = vertices(spark, *[outline(1, k, s) for k, s in enumerate(shapes)], *[outline(2, k, [(1, 1)]) for k in range(2)])
+    bounds = spark.createDataFrame([(1, 100.0), (2, 0.0)], "doc_id long, diagonal double")
+    want = {(i, j): apart(shapes[i], shapes[j]) for i, j in itertools.combinations(range(len(shapes)), 2) if apart(shapes[i], shapes[j]) <= TOLERANCE}
+    shaped = pairs.shapes(v).where("doc_id = 1")
+    firsts = {r.node: r.shape for r in shaped.collect()}
+    close = [(1, a, b, want[a >> 32, b >> 32]) for a in set(firsts.values()) for b in set(firsts.values()) if (a >> 32, b >> 32) in want]
+    blocks = pairs.member_pairs(spark.createDataFrame(close, "doc_id long, src long, dst long, distance double"), shaped, 2)
+    for found in (pairs.duplicate_pairs(v, bounds, TOLERANCE / 100, every=True), blocks):
+        rows = found.collect()
+        assert all(r.doc_id == 1 and abs(r.distance - want[r.src >> 32, r.dst >> 32]) < 1e-9 for r in rows)
+        assert sorted((r.src >> 32, r.dst >> 32) for r in rows) == sorted(want)
