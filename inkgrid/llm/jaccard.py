@@ -24,6 +24,7 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +36,16 @@ WIDTH, PERCENT = 3, 90
 CELLS, PARTS = 1 << 21, 512
 SHARED = 3
 SHORT_LIST = 64
+#: Grams so many times (as a power of two) as frequent as the median cell are dealt to so many tasks.
+HOT, SALTS = 4, 64
 #: Grams held by one group of a family at a time.
 GROUP_GRAMS = 1 << 16
 GROUP = ["family", "c1", "b1", "c2", "b2"]
+#: Bits of the table of rows that may have to go.
+BITS = 1 << 24
 _PART = pa.schema([("part", pa.int32()), ("cells", pa.binary())])
-_SIGNED = "kind byte, doc_id long, key string, sig binary, n int, part int, cells binary"
+_SIGNED = "kind byte, doc_id long, key string, sig binary, mark long, n int, part int, cells binary"
+_LISTS = "token long, n int, mark long, members array<struct<n: int, sig: long>>"
 
 
 def shingles(text: bytes, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -58,6 +64,11 @@ def signature(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
+def mark_of(sig: bytes) -> int:
+    """The first eight bytes of a signature, which stand for it in the inverted lists: sets that share them are one there and come apart when whole sets are compared."""
+    return int.from_bytes(sig[:8], "little", signed=True)
+
+
 def least_overlap(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
@@ -90,10 +101,10 @@ def _whole(parts: dict[int, bytes], cells: int = CELLS) -> np.ndarray:
 
 
 def signed(docs: DataFrame, width: int, key: Column) -> DataFrame:
-    """Kind 0: ``doc_id, key, sig, n`` of every row; kind 1: the task's part of the sketch of gram frequencies."""
+    """Kind 0: ``doc_id, key, sig, mark, n`` of every row; kind 1: the task's part of the sketch of gram frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("key", pa.string()), ("sig", pa.binary()), ("n", pa.int32()), ("part", pa.int32()), ("cells", pa.binary())])
+        schema = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("key", pa.string()), ("sig", pa.binary()), ("mark", pa.int64()), ("n", pa.int32()), ("part", pa.int32()), ("cells", pa.binary())])
         seen: set[bytes] = set()
         cells = np.zeros(CELLS, np.uint32)
         for batch in sliced(batches):
@@ -106,25 +117,26 @@ def signed(docs: DataFrame, width: int, key: Column) -> DataFrame:
                     np.add.at(cells, (grams & np.uint64(CELLS - 1)).astype(np.int64), 1)
                 sigs.append(sig), sizes.append(len(grams))
             k = len(sigs)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int8)), batch.column("doc_id"), batch.column("key"), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, np.int8)), batch.column("doc_id"), batch.column("key"), pa.array(sigs, pa.binary()), pa.array([x and mark_of(x) for x in sigs], pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], schema=schema)
         parts = list(pack(cells))
         if parts:
             k = len(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()),
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(k, np.int8)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()),
                                               pa.array([p for p, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), "text").mapInArrow(run, _SIGNED)
 
 
 def prefixes(docs: DataFrame, ranks: np.ndarray, width: int, percent: int) -> DataFrame:
-    """``token, sig, n``: the first n - T + SHARED grams of every distinct set, rare and long grams first."""
+    """``token, mark, n, salt``: the first n - T + SHARED grams of every distinct set of a task, rare and long grams first; ``salt`` is -1 but for grams that may be very frequent."""
+    hot = max(int(np.median(ranks[ranks > 0])) + HOT, SHORT_LIST.bit_length()) if ranks.any() else 0
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # CELLS bytes
-    schema = pa.schema([("token", pa.int64()), ("sig", pa.binary()), ("n", pa.int32())])
+    schema = pa.schema([("token", pa.int64()), ("mark", pa.int64()), ("n", pa.int32()), ("salt", pa.int8())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in sliced(batches):
-            tokens, sigs, sizes, repeats = [], [], [], []
+            tokens, marks, sizes, salts = [], [], [], []
             for text in payloads(batch, "text"):
                 grams, lengths = shingles(text, width)
                 n = len(grams)
@@ -134,12 +146,61 @@ def prefixes(docs: DataFrame, ranks: np.ndarray, width: int, percent: int) -> Da
                 seen.add(sig)
                 rank = shared.value[(grams & np.uint64(CELLS - 1)).astype(np.int64)]
                 order = np.lexsort((grams, -lengths, rank))[:n - least_overlap(n, percent) + SHARED]
-                tokens.append(grams[order].view(np.int64)), sigs.append(sig), sizes.append(n), repeats.append(len(order))
+                mark = mark_of(sig)
+                tokens.append(grams[order].view(np.int64)), marks.append(np.full(len(order), mark)), sizes.append(np.full(len(order), n, np.int32))
+                salts.append(np.where(rank[order] > hot, mark % SALTS, -1).astype(np.int8))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(sigs, pa.binary()).take(pa.array(np.repeat(np.arange(len(sigs)), repeats))), pa.array(np.repeat(np.array(sizes, np.int32), repeats))], schema=schema)
-
-    rows = docs.select("text").mapInArrow(run, "token long, sig binary, n int")
-    return rows.groupBy("token", "sig", "n").count().drop("count")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, marks, sizes, salts)], schema=schema)
+
+    return docs.select("text").mapInArrow(run, "token long, mark long, n int, salt byte")
+
+
+def _listed(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Rows ``token, salt, n, mark`` in this order to lists of distinct members: a row a list of 2 to ``most``, a row a member of longer and of salted ones."""
+    names = ["token", "salt", "n", "mark"]
+    member = pa.struct([("n", pa.int32()), ("sig", pa.int64())])
+    schema = pa.schema([("token", pa.int64()), ("n", pa.int32()), ("mark", pa.int64()), ("members", pa.list_(member))])
+
+    def lists(c: dict[str, np.ndarray], open_token: bool) -> pa.RecordBatch:
+        """``open_token``: the first token's list was found to be long before."""
+        first = np.flatnonzero(np.append(True, c["token"][1:] != c["token"][:-1]))
+        sizes = np.diff(np.append(first, len(c["token"])))
+        loose = (sizes > most) | (c["salt"][first] >= 0)
+        loose[0] |= open_token
+        one, short = np.repeat(loose, sizes), ~loose & (sizes > 1)
+        kept = np.repeat(short, sizes)
+        offsets = np.append(0, np.cumsum(sizes[short])).astype(np.int32)
+        members = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(c["n"][kept]), pa.array(c["mark"][kept])], fields=list(member)))
+        k, j = int(one.sum()), int(short.sum())
+        columns = [
+            pa.concat_arrays([pa.array(c["token"][one]), pa.array(c["token"][first[short]])]), pa.concat_arrays([pa.array(c["n"][one]), pa.nulls(j, pa.int32())]),
+            pa.concat_arrays([pa.array(c["mark"][one]), pa.nulls(j, pa.int64())]), pa.concat_arrays([pa.nulls(k, pa.list_(member)), members.cast(pa.list_(member))]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    held, last, open_token = None, None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        c = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in names}
+        new = np.ones(batch.num_rows, dtype=bool)
+        new[1:] = (c["token"][1:] != c["token"][:-1]) | (c["mark"][1:] != c["mark"][:-1]) | (c["n"][1:] != c["n"][:-1]) | (c["salt"][1:] != c["salt"][:-1])
+        new[0] = last != tuple(int(c[x][0]) for x in names)
+        last = tuple(int(c[x][-1]) for x in names)
+        c = {x: v[new] for x, v in c.items()}
+        held = c if held is None else {x: np.concatenate([held[x], v]) for x, v in c.items()}
+        if not len(held["token"]):
+            continue
+        at = len(held["token"]) - int(np.argmax(np.append(held["token"][::-1] != held["token"][-1], True)))
+        if len(held["token"]) - at > most:  # the last token's list is long, whatever follows
+            now, at = int(held["token"][-1]), len(held["token"])
+        else:
+            now = open_token if open_token == held["token"][-1] else None
+        if at:
+            yield lists({x: v[:at] for x, v in held.items()}, open_token is not None and open_token == held["token"][0])
+        held, open_token = {x: v[at:] for x, v in held.items()}, now
+    if held is not None and len(held["token"]):
+        yield lists(held, open_token is not None and open_token == held["token"][0])
 
 
 def _pairs(lists: DataFrame, percent: int) -> DataFrame:
@@ -258,41 +319,69 @@ def _groups(members: DataFrame, percent: int) -> DataFrame:
     return small.unionByName(large.select("family", "sig", F.explode(F.concat(own, up, down)).alias("g")).select("family", "g.*", "sig"))
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``sig, grams`` of the wanted signatures: a bit table of fixed size in the scan, the exact join afterwards."""
+def _bit_table(rows: DataFrame, bits: int) -> np.ndarray:
+    """A table of so many bits with those set that ``rows`` (``at``, any long) names."""
+    step = bits // PARTS
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.uint32)
-        for batch in sliced(batches):
-            for sig in batch.column("sig").to_pylist():
-                cells[int.from_bytes(sig[:8], "little") & (CELLS - 1)] = 1
-        parts = list(pack(cells))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(bits, np.uint8)
+        for batch in batches:
+            table[batch.column("at").to_numpy(zero_copy_only=False) & (bits - 1)] = 1
+        parts = [int(part) for part in np.flatnonzero(table.reshape(PARTS, step).any(axis=1))]
         if parts:
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in parts], pa.int32()), pa.array([c for _, c in parts], pa.binary())], schema=_PART)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([zlib.compress(np.packbits(table[p * step:(p + 1) * step]).tobytes(), 1) for p in parts], pa.binary())], schema=_PART)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, cells in zip(batch.column("part").to_pylist(), batch.column("cells").to_pylist(), strict=True):
+                found = np.frombuffer(zlib.decompress(cells), np.uint8)
+                total[part] = total[part] | found if part in total else found
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], schema=_PART)
+
+    out = np.zeros(bits // 8, np.uint8)
+    for part, data in fixed_table(rows.select("at").mapInArrow(run, "part int, cells binary"), merge, "part int, cells binary").items():
+        out[part * step // 8:(part + 1) * step // 8] = np.frombuffer(data, np.uint8)
+    return out
 
-    bits = docs.sparkSession.sparkContext.broadcast(_whole(fixed_table(wanted.select("sig").mapInArrow(mark, "part int, cells binary"), _sum_parts, "part int, cells binary")))
-    schema = pa.schema([("sig", pa.binary()), ("grams", pa.binary())])
+
+def _has_bit(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    at = at & (len(table) * 8 - 1)
+    return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _whole_texts(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``sig, packed`` (the text, compressed) of the wanted signatures (``sig, mark``): a bit table of fixed size in the scan, the exact join later on.
+
+    A text takes a quarter of the room of its grams, and gives them again.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(_bit_table(wanted.select(F.col("mark").alias("at")), BITS))
+    schema = pa.schema([("sig", pa.binary()), ("packed", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in sliced(batches):
-            sigs, sets, held = [], [], 0
+            sigs, texts = [], []
             for text in payloads(batch, "text"):
                 grams, _ = shingles(text, width)
                 sig = signature(grams) if len(grams) else None
-                if not sig or sig in seen or not bits.value[int.from_bytes(sig[:8], "little") & (CELLS - 1)]:
+                if not sig or sig in seen or not _has_bit(bits.value, np.array([mark_of(sig)]))[0]:
                     continue
                 seen.add(sig)
-                sigs.append(sig), sets.append(grams.tobytes())
-                held += len(grams)
-                if held > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], schema=schema)
-                    sigs, sets, held = [], [], 0
+                sigs.append(sig), texts.append(zlib.compress(text, 1))
             if sigs:
-                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(sigs, pa.binary()), pa.array(texts, pa.binary())], schema=schema)
 
-    found = docs.select("text").mapInArrow(run, "sig binary, grams binary")
-    return found.join(wanted.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.first("grams").alias("grams"))
+    return docs.select("text").mapInArrow(run, "sig binary, packed binary").groupBy("sig").agg(F.first("packed").alias("packed"))
+
+
+def _with_grams(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The compressed texts as the grams they hold, few rows at a time."""
+    for batch in sliced(batches, 64):
+        grams = pa.array([shingles(zlib.decompress(x), width)[0].tobytes() for x in batch.column("packed").to_pylist()], pa.binary())
+        names = [x for x in batch.schema.names if x != "packed"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], grams], names=[*names, "grams"])
 
 
 def _components(links: DataFrame) -> DataFrame:
@@ -310,14 +399,24 @@ def row_key() -> Column:
 def keep_first(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` without all but one of each group of linked documents: the one with the smallest id stays.
 
-    Rows without words stay.  A row repeated with its id and text stays once.
+    Rows without words stay.  A row repeated with its id and text stays once.  A bit
+    table of fixed size tells the rows that are alone with their key and stay; only
+    the others are shuffled.
     """
-    rows = link_components(docs, width, percent, row_key()).where("n_shingles > 0")
+    rows = written(link_components(docs, width, percent, row_key()).where("n_shingles > 0").select("doc_id", "key", "group"), "jac-grouped")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    winners = rows.groupBy("group").agg(F.min(order).alias("first")).select("first.key")
+    winners = written(rows.groupBy("group").agg(F.min(order).alias("first")).select("first.key"), "jac-winners")
+    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).join(winners.withColumn("wins", F.lit(1)), "key", "left").where("k > 1 or wins is null")
+    table = docs.sparkSession.sparkContext.broadcast(_bit_table(often.select(F.xxhash64("key").alias("at")), BITS))
+
+    @F.pandas_udf("boolean")
+    def doubtful(at: pd.Series) -> pd.Series:
+        return pd.Series(_has_bit(table.value, at.to_numpy()))
+
     packed = docs.select(F.struct("*").alias("row"), row_key().alias("key"), F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("worded"))
-    kept = packed.where("worded").join(winners, "key", "left_semi").dropDuplicates(["key"])
-    return packed.where("not worded").select("row.*").unionByName(kept.select("row.*"))
+    packed = packed.withColumn("shuffled", F.col("worded") & doubtful(F.xxhash64("key")))
+    kept = packed.where("shuffled").join(winners.hint("merge"), "key", "left_semi").dropDuplicates(["key"])
+    return packed.where("not shuffled").select("row.*").unionByName(kept.select("row.*"))
 
 
 def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, key: Column | None = None) -> DataFrame:
@@ -331,15 +430,19 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     """
     spark = docs.sparkSession
     passed = written(signed(docs, width, F.lit(None).cast("string") if key is None else key), "jac-signed")
-    rows = passed.where("kind = 0").select("doc_id", "key", "sig", "n")
+    rows = passed.where("kind = 0").select("doc_id", "key", "sig", "mark", "n")
     ranks = _whole(fixed_table(passed.where("kind = 1").select("part", "cells"), _sum_parts, "part int, cells binary"))
 
-    index = written(prefixes(docs, ranks, width, percent), "jac-index")
-    df = index.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
-    lists = written(index.join(df, "token"), "jac-lists")
-    long = lists.where(F.col("df") > SHORT_LIST)
+    dealt = prefixes(docs, ranks, width, percent).repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "mark")
+    most = SHORT_LIST
+    lists = written(dealt.select("token", "salt", "n", "mark").mapInArrow(lambda batches: _listed(batches, most), _LISTS), "jac-lists")
+    loose = lists.where("members is null").select("token", "mark", "n")
+    df = loose.groupBy("token").agg(F.count(F.lit(1)).cast("int").alias("df")).where("df > 1")
+    loose = written(loose.join(df, "token"), "jac-loose")
+    long = loose.where(F.col("df") > SHORT_LIST).withColumnRenamed("mark", "sig")
 
-    members = lists.where(F.col("df") <= SHORT_LIST).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", "sig"))).alias("members"))
+    members = loose.where(F.col("df") <= SHORT_LIST).groupBy("token").agg(F.sort_array(F.collect_list(F.struct("n", F.col("mark").alias("sig")))).alias("members"))
+    members = lists.where("members is not null").select("token", "members").unionByName(members)
     counted = _pairs(members, percent).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("c"))
     need = F.least(F.lit(SHARED), F.ceil(F.col("na") * percent / 100)).cast("int")
     if long.isEmpty():
@@ -351,11 +454,12 @@ def link_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         hubs = written(long.groupBy("token").agg(F.min("sig").alias("a")), "jac-hubs")
         stars = long.join(hubs, "token").where(F.col("sig") != F.col("a")).select("a", F.col("sig").alias("b"))
         ties = both.where(F.col("c") >= F.greatest(F.lit(1), lowered)).select("a", "b").unionByName(stars).distinct()
-    families = _components(written(ties, "jac-ties"))
-    sets = written(_whole_sets(docs, families, width), "jac-sets")
-    grouped = _groups(families.join(sets.select("sig", F.expr("int(octet_length(grams) / 8)").alias("n")), "sig").withColumnRenamed("comp", "family"), percent)
-    dealt = grouped.join(sets, "sig").repartition(*GROUP).sortWithinPartitions(*GROUP, "sig")
-    links = dealt.select(*GROUP, "side", "sig", "grams").mapInArrow(lambda batches: _search_groups(batches, percent), "a binary, b binary")
+    families = _components(written(ties, "jac-ties")).select(F.col("sig").alias("mark"), F.col("comp").alias("family"))
+    classes = rows.where("sig is not null").select("sig", "mark", "n").distinct()
+    wanted = written(families.join(classes, "mark"), "jac-wanted")
+    grouped = _groups(wanted.select("family", "sig", "n"), percent)
+    dealt = grouped.join(_whole_texts(docs, wanted, width).hint("merge"), "sig").repartition(*GROUP).sortWithinPartitions(*GROUP, "sig")
+    links = dealt.select(*GROUP, "side", "sig", "packed").mapInArrow(lambda batches: _search_groups(_with_grams(batches, width), percent), "a binary, b binary")
     comps = _components(written(links, "jac-links"))
 
     # Classes of copies and components that hold more than one row; written, so that the join below can be split at a hot class.
