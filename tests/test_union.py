@@ -1,10 +1,15 @@
 """Fusing pieces: rings, holes, the untouched rest of the document, and refusals; every case is a document of its own."""
 
+import glob
+import os
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import outline, square, vertices
-from inkgrid.operators import outlines, svg, union
+from inkgrid.operators import fuse, outlines, svg, union
+from inkgrid.session import cut_lineage, shared_dir
 
 RING = {0: [square(0, 0, 30)], 1: [square(30, 0, 30)], 2: [square(60, 0, 30)], 3: [square(0, 30, 30)], 4: [square(60, 30, 30)], 5: [square(0, 60, 30)], 6: [square(30, 60, 30)], 7: [square(60, 60, 30)]}
 
@@ -104,3 +109,50 @@ def test_the_documents_read_back(spark, fused):
     again = svg.svg_to_vertices(docs).groupBy("doc_id").agg(F.count_distinct("path_index", "subpath_index").alias("n")).collect()
     want = {k: sum(map(len, found.values())) for k, (_, found, text) in enumerate(fused.values()) if text}
     assert {r.doc_id: r.n for r in again} == want
+
+
+def test_documents_fused_in_a_task_and_by_joins_are_the_same(spark, monkeypatch):
+    """Random pieces, copies, overlaps, holes and open ends; a few documents at a time, and a selection over two documents."""
+    rng = random.Random(12)
+    rows, chosen = [], []
+    for d in range(1, 9):
+        for p in range(9):
+            x, y, side = rng.randrange(0, 150), rng.randrange(-5, 100), rng.choice([1, 4, 15, 30, 45])
+            slant = rng.choice([0, 0, 7.3])
+            points = [(x, y), (x + side, y + slant), (x + side - slant, y + side), (x, y + side + 0.5)]
+            rows += outline(d, p, points, closed=rng.random() < 0.8)
+            if side > 15:
+                rows += outline(d, p, square(x + 5, y + 5, 6)[::-1], 1)
+            chosen += [(10 * d + p % 2, d, p)] + [(10 * d + 2, d, p)] * (rng.random() < 0.4)
+    chosen += [(1, 1, 0), (1, 2, 3), (1, 2, 4)]
+    v = vertices(spark, rows)
+    pieces = v.selectExpr("doc_id", "cast(path_index as bigint) as piece", "path_index", "subpath_index").distinct()
+    picked = spark.createDataFrame(chosen, "selection_id long, doc_id long, piece long")
+    sizes = picked.select("selection_id", "doc_id").distinct().join(outlines.document_bounds(v), "doc_id").where("selection_id > 1")
+    segments = union.piece_segments(picked.where("selection_id > 1").join(pieces, ["doc_id", "piece"]), v)
+    bridges = cut_lineage(union.bridge_plan(union.spanning_tree(union.linking_distances(segments)), sizes))
+    canvas = spark.createDataFrame([(d, 200, 120) for d in range(1, 9)], "doc_id long, width int, height int")
+    monkeypatch.setattr(fuse, "MOST", 3000)
+    found = []
+    for most in (400_000, 0):
+        report, result = union.union_pieces(v, pieces, picked, bridges, canvas, most)
+        found.append([sorted(map(str, df.select(*sorted(df.columns)).collect())) for df in (report, result)])
+    assert found[0] == found[1] and len(found[0][0]) > 20
+    assert any("accepted=True" in r for r in found[0][0]) and any("accepted=False" in r for r in found[0][0])
+
+
+def test_small_documents_write_no_runs(spark):
+    """What is written does not grow with the height of the pieces."""
+    def written(scale):
+        v = vertices(spark, *[outline(d, p, square(60 * p * scale, 0, 40 * scale)) for d in range(40) for p in range(3)])
+        pieces = v.selectExpr("doc_id", "cast(path_index as bigint) as piece", "path_index", "subpath_index").distinct()
+        picked = spark.createDataFrame([(d, d, p) for d in range(40) for p in range(2)], "selection_id long, doc_id long, piece long")
+        bridges = spark.createDataFrame([], "selection_id long, src long, dst long, corners array<struct<x: double, y: double>>")
+        canvas = spark.createDataFrame([(d, 400 * scale, 60 * scale) for d in range(40)], "doc_id long, width int, height int")
+        before = set(glob.glob(f"{shared_dir(spark)}/*"))
+        report, _ = union.union_pieces(v, pieces, picked, bridges, canvas)
+        assert report.where("not accepted and regions_before = 3").count() == 40
+        new = set(glob.glob(f"{shared_dir(spark)}/*")) - before
+        return sum(os.path.getsize(p) for f in new for p in glob.glob(f"{f}/*.parquet"))
+
+    assert written(30) < 1.5 * written(1)
